@@ -2,10 +2,36 @@
 
 from __future__ import annotations
 
-from rulegrid.operators import changes, history, orphans
+from rulegrid.operators import changes, hierarchy, history, orphans
 from rulegrid.plans.registry import Query
 from rulegrid.runtime import table
 
+_TREES = """
+RECURSIVE cur AS (
+  SELECT id, parent_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC, parent_id DESC NULLS LAST) AS rn FROM source_clauses) WHERE rn = 1
+),
+edge AS (SELECT c.id, c.parent_id FROM cur c JOIN cur p ON p.id = c.parent_id),
+walk AS (SELECT id, parent_id AS spot FROM edge UNION SELECT w.id, e.parent_id FROM walk w JOIN edge e ON e.id = w.spot),
+looped AS (SELECT id FROM walk WHERE id = spot),
+caught AS (SELECT w.id, min(w.spot) AS cycle_id FROM walk w JOIN looped l ON l.id = w.spot GROUP BY w.id),
+tree AS (
+  SELECT id, id AS root, 0 AS depth, CAST(id AS VARCHAR) AS path FROM cur WHERE id NOT IN (SELECT id FROM edge) OR id IN (SELECT id FROM looped)
+  UNION ALL
+  SELECT e.id, t.root, t.depth + 1, t.path || '/' || e.id FROM tree t JOIN edge e ON e.parent_id = t.id WHERE e.id NOT IN (SELECT id FROM looped)
+)
+"""
+
+P1_SQL = f"WITH {_TREES} SELECT id AS clause_id, cycle_id FROM caught"
+P1_HIERARCHY_SQL = f"""
+WITH {_TREES}, pairs AS (SELECT t.id, unnest(string_split(t.path, '/')) AS above FROM tree t),
+sizes AS (SELECT CAST(above AS BIGINT) AS id, count(*) - 1 AS n_descendants FROM pairs GROUP BY above)
+SELECT t.id, t.root, t.depth, s.n_descendants, c.cycle_id, t.path FROM tree t JOIN sizes s ON s.id = t.id LEFT JOIN caught c ON c.id = t.id
+"""
+P1_DESCENDANTS_SQL = f"""
+WITH {_TREES}, pairs AS (SELECT id, depth, unnest(string_split(path, '/')) AS above, generate_subscripts(string_split(path, '/'), 1) AS pos FROM tree)
+SELECT CAST(above AS BIGINT) AS ancestor_id, id AS descendant_id, depth + 1 - pos AS distance FROM pairs WHERE pos <= depth
+"""
+
 _LIVE = """
 live AS (
   SELECT DISTINCT seq, lower(trim(identity_hash)) AS identity_hash, lower(trim(full_hash)) AS full_hash, lower(trim(verdict)) AS verdict,
@@ -145,6 +171,19 @@ def _citations(spark, d):
     return table(spark, d, "unresolved_citations"), table(spark, d, "source_clauses"), table(spark, d, "ingestion_runs")
 
 
+def p1_found(spark, d):
+    trees = hierarchy.hierarchy(table(spark, d, "source_clauses"), with_paths=False)
+    return trees.where("cycle_id IS NOT NULL").selectExpr("CAST(id AS INT) AS clause_id", "CAST(cycle_id AS INT) AS cycle_id")
+
+
+def p1_hierarchy(spark, d):
+    return hierarchy.hierarchy(table(spark, d, "source_clauses")).drop("entry", "exit")
+
+
+def p1_descendants(spark, d):
+    return hierarchy.closure(table(spark, d, "source_clauses"))
+
+
 def p3_found(spark, d):
     return changes.in_force(_log(spark, d))
 
@@ -171,6 +210,9 @@ def p5_history(spark, d):
 
 
 QUERIES = {
+    "p1_found": Query(p1_found, P1_SQL),
+    "p1_hierarchy": Query(p1_hierarchy, P1_HIERARCHY_SQL),
+    "p1_descendants": Query(p1_descendants, P1_DESCENDANTS_SQL),
     "p3_found": Query(p3_found, P3_SQL),
     "p3_state": Query(p3_state, P3_STATE_SQL),
     "p4_found": Query(p4_found, P4_SQL),
