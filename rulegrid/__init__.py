@@ -5,3 +5,10 @@ a session, collects a table or caches behind the caller's back.
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so that only the driver needs it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

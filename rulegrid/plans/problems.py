@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rulegrid.operators import changes, hierarchy, history, orphans
+from rulegrid.operators import changes, hierarchy, history, orphans, units
 from rulegrid.plans.registry import Query
 from rulegrid.runtime import table
 
@@ -184,6 +184,18 @@ def p1_descendants(spark, d):
     return hierarchy.closure(table(spark, d, "source_clauses"))
 
 
+def _limits(spark, d):
+    return units.common_units(table(spark, d, "obligations"), table(spark, d, "attributes"))
+
+
+def p2_found(spark, d):
+    return _limits(spark, d).where("stated").select("obligation_id", "attribute_id", "common_value").distinct()
+
+
+def p2_units(spark, d):
+    return _limits(spark, d)
+
+
 def p3_found(spark, d):
     return changes.in_force(_log(spark, d))
 
@@ -213,6 +225,8 @@ QUERIES = {
     "p1_found": Query(p1_found, P1_SQL),
     "p1_hierarchy": Query(p1_hierarchy, P1_HIERARCHY_SQL),
     "p1_descendants": Query(p1_descendants, P1_DESCENDANTS_SQL),
+    "p2_found": Query(p2_found),
+    "p2_units": Query(p2_units),
     "p3_found": Query(p3_found, P3_SQL),
     "p3_state": Query(p3_state, P3_STATE_SQL),
     "p4_found": Query(p4_found, P4_SQL),
