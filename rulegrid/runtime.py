@@ -49,3 +49,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def fan_out(df: DataFrame, salts: int, name: str = "salt") -> DataFrame:
     """Repeats each row once per salt value, for the small side of a salted join."""
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+def spread(df: DataFrame, key: str, per_core: int = 3) -> DataFrame:
+    """At least `per_core` partitions a core ahead of work that costs far more than moving the rows.
+
+    Few large input files would otherwise leave most of a cluster idle; an input of enough splits is left as it lies.
+    """
+    wanted = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
