@@ -138,17 +138,14 @@ def _matcher(radius: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return match
 
 
-def _verify(floor: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at_a, unit_a = unit_rows(batch.column("va"))
-            at_b, unit_b = unit_rows(batch.column("vb"))
-            sim = np.full(batch.num_rows, np.nan)
-            both, i, j = np.intersect1d(at_a, at_b, return_indices=True)
-            sim[both] = (unit_a[i] * unit_b[j]).sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "ca", "cb")] + [pa.array(np.minimum(sim, 1.0))], ["a", "b", "ca", "cb", "similarity"])
-
-    return verify
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at_a, unit_a = unit_rows(batch.column("va"))
+        at_b, unit_b = unit_rows(batch.column("vb"))
+        sim = np.full(batch.num_rows, -1.0)
+        both, i, j = np.intersect1d(at_a, at_b, return_indices=True)
+        sim[both] = (unit_a[i] * unit_b[j]).sum(1)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.minimum(sim, 1.0))], ["a", "b", "similarity"])
 
 
 def similar(vectors: DataFrame, k: int = 5, floor: float = 0.9) -> DataFrame:
@@ -176,11 +173,12 @@ def similar(vectors: DataFrame, k: int = 5, floor: float = 0.9) -> DataFrame:
     tree = Tree(_points(pd.Series(sample)) if sample else np.zeros((0, M), "f4"), depth)
     visits = reps.mapInPandas(_visitor(tree, REACH * wanted), "leaf int, own boolean, id long, code binary")
     pairs = visits.groupBy("leaf").applyInPandas(_matcher(wanted * STOP_QUANTILE), "a long, b long").distinct()
+    # The vectors are moved once: each pair asks for its two, and they meet again at the pair.
+    asked = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
     one = raw.where(F.size("embedding") == DIMS).withColumn("id", F.col("id").cast("long"))
-    met = pairs.join(one.select(F.col("id").alias("a"), F.col("created_at").alias("ca"), F.col("embedding").alias("va")), "a")
-    met = met.join(one.select(F.col("id").alias("b"), F.col("created_at").alias("cb"), F.col("embedding").alias("vb")), "b")
-    sims = met.mapInArrow(_verify(floor), "a long, b long, ca timestamp, cb timestamp, similarity double")
-    sims = sims.groupBy("a", "b").agg(F.max_by("similarity", F.struct("ca", "cb")).alias("similarity")).where(F.col("similarity") >= floor)
+    side = lambda c: F.max_by(F.when(F.col("id") == F.col(c), F.col("embedding")), F.when(F.col("id") == F.col(c), F.col("created_at"))).alias(f"v{c}")
+    met = asked.join(one, "id").groupBy("a", "b").agg(side("a"), side("b"))
+    sims = met.mapInArrow(_verify, "a long, b long, similarity double").where(F.col("similarity") >= floor)
     both = sims.unionByName(sims.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     # Back from directions to rows. A direction of more than k rows fills its rows' lists by itself.
     group = heads.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
