@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rulegrid.llm import neighbours
+from rulegrid.llm import leakage, mixing, neighbours
 from rulegrid.plans.registry import Query
 from rulegrid.runtime import table
 
@@ -15,7 +15,32 @@ def p6_neighbours(spark, d):
     return neighbours.similar(table(spark, d, "source_clauses"))
 
 
+def p7_found(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_items(spark, d):
+    return leakage.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark, d):
+    return mixing.short_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_selection(spark, d):
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark, d):
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 QUERIES = {
     "p6_found": Query(p6_found),
     "p6_neighbours": Query(p6_neighbours),
+    "p7_found": Query(p7_found),
+    "p7_items": Query(p7_items),
+    "p8_found": Query(p8_found),
+    "p8_selection": Query(p8_selection),
+    "p8_shares": Query(p8_shares),
 }
