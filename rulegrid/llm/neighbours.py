@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from rulegrid.runtime import checkpointed, fan_out
 
-DIMS, M = 64, 24
+DIMS, M = 64, 40
 LEAF = 1024
 #: Rows the tree's medians are fitted on; every row is indexed.
 SAMPLE = 65_536
@@ -31,8 +31,8 @@ STEP = 1 / 20
 SEED = 20240615
 #: Squared box distance up to which leaves are visited, as a share of the squared distance wanted.
 REACH = 0.6
-#: Fixed value: the 0.999 quantile of chi-square with 24 degrees of freedom.
-STOP_QUANTILE = 51.18
+#: Fixed value: the 0.999 quantile of chi-square with 40 degrees of freedom.
+STOP_QUANTILE = 73.40
 SALTS = 32
 
 
