@@ -1,0 +1,114 @@
+"""Links between clauses and rules, and the consistency of rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from rulegrid.operators.orphans import clause_key, container_key, doc_key
+
+
+def resolved(citations: DataFrame, clauses: DataFrame) -> DataFrame:
+    """(citation_id, result, clause_id, candidates): the clause a citation with a number names.
+
+    result: `unique` (clause_id is it), `ambiguous` (several citable clauses of the circular and container have the
+    number), `absent`, or `external` (no clause number). Keys match as in rulegrid.operators.orphans; a null target_doc
+    means the circular of from_clause_id. The counts per key are aggregated before the join.
+    """
+    homes = clauses.groupBy("id").agg(F.max_by("doc_id", "created_at").alias("d")).select(F.col("id").alias("from_clause_id"), doc_key(F.col("d")).alias("home"))
+    cites = citations.dropDuplicates(["id"]).join(homes, "from_clause_id", "left").select(
+        F.col("id").alias("citation_id"), F.coalesce(doc_key(F.col("target_doc")), "home").alias("doc"), container_key(F.col("target_container")).alias("box"), clause_key(F.col("target_clause_no")).alias("no")
+    )
+    keyed = clauses.where("citable").select("id", doc_key(F.col("doc_id")).alias("doc"), container_key(F.col("container")).alias("box"), clause_key(F.col("clause_no")).alias("no")).where("no IS NOT NULL").distinct()
+    targets = keyed.groupBy("doc", "box", "no").agg(F.count(F.lit(1)).alias("candidates"), F.min("id").alias("first"))
+    found = cites.join(targets, ["doc", "box", "no"], "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
+    result = F.when(F.col("no").isNull(), "external").when(F.col("candidates") == 1, "unique").when(F.col("candidates") > 1, "ambiguous").otherwise("absent")
+    return found.select("citation_id", result.alias("result"), F.when(result == "unique", F.col("first")).alias("clause_id"), F.when(result == "external", 0).otherwise(F.col("candidates")).alias("candidates"))
+
+
+def proposed_edges(citations: DataFrame, clauses: DataFrame, rules: DataFrame) -> DataFrame:
+    """(from_id, to_id, type, citations): the rule a citation stands in, to each rule drawn from the clause it names.
+
+    Only uniquely resolved citations; a rule does not point at itself. Rules per clause fan out, edges are counted.
+    """
+    uses = citations.dropDuplicates(["id"]).where("from_obligation_id IS NOT NULL").select(F.col("id").alias("citation_id"), F.col("from_obligation_id").alias("from_id"), F.col("edge_type").alias("type"))
+    at = resolved(citations, clauses).where("result = 'unique'").select("citation_id", F.col("clause_id").alias("source_clause_id"))
+    ends = rules.select(F.col("id").alias("to_id"), "source_clause_id").where("source_clause_id IS NOT NULL").distinct()
+    return uses.join(at, "citation_id").join(ends, "source_clause_id").where("from_id <> to_id").groupBy("from_id", "to_id", "type").agg(F.count(F.lit(1)).alias("citations"))
+
+
+def shared_evidence(rules: DataFrame) -> DataFrame:
+    """(centre, rule_id): rules with exactly the same set of two or more attributes, linked to the smallest id of the group."""
+    return _star(rules.where("size(attribute_ids) >= 2").select("id", F.array_join(F.array_sort(F.array_distinct("attribute_ids")), ",").alias("key")))
+
+
+def split_of(rules: DataFrame) -> DataFrame:
+    """(centre, rule_id): rules drawn from one clause, linked to the smallest id of them."""
+    return _star(rules.where("source_clause_id IS NOT NULL").select("id", F.col("source_clause_id").cast("string").alias("key")))
+
+
+def _star(keyed: DataFrame) -> DataFrame:
+    keyed = keyed.distinct()
+    centres = keyed.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keyed.join(centres, "key").where("id <> centre").select("centre", F.col("id").alias("rule_id"))
+
+
+def intervals(number: Column, op: Column) -> Column:
+    """struct(lo, hi, lo_open, hi_open) of `x op number`; null for != and unknown operators."""
+    inf = F.lit(float("inf"))
+    pick = lambda lo, hi, a, b: F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(a).alias("lo_open"), F.lit(b).alias("hi_open"))
+    return (
+        F.when(op == ">=", pick(number, inf, False, False)).when(op == ">", pick(number, inf, True, False))
+        .when(op == "<=", pick(-inf, number, False, False)).when(op == "<", pick(-inf, number, False, True)).when(op == "==", pick(number, number, False, False))
+    )
+
+
+CONSTRAINT = r"\[(\w+)\.(\w+)\] ?(<=|>=|==|<|>|≤|≥) ?(\d+(?:\.\d+)?)(?: (?:AND|and|&&) |\)?$)"
+
+
+def plain_constraints(rules: DataFrame) -> DataFrame:
+    """(rule_id, audience_id, attribute, op, value, lo, hi, lo_open, hi_open): comparisons of one attribute with a bare
+    number, read with built-in expressions. Repeated rows count once."""
+    hits = F.explode(F.regexp_extract_all("rule_expression", F.lit(CONSTRAINT), F.lit(0)))
+    part = lambda i: F.regexp_extract("hit", CONSTRAINT, i)
+    rows = rules.where("rule_expression IS NOT NULL").select(F.col("id").alias("rule_id"), "audience_id", hits.alias("hit"))
+    op = F.replace(F.replace(part(3), F.lit("≤"), F.lit("<=")), F.lit("≥"), F.lit(">="))
+    read = rows.select("rule_id", "audience_id", F.lower(F.concat_ws(".", part(1), part(2))).alias("attribute"), op.alias("op"), part(4).cast("double").alias("value")).distinct()
+    return read.withColumn("i", intervals(F.col("value"), F.col("op"))).select("rule_id", "audience_id", "attribute", "op", "value", "i.*")
+
+
+def conflict_counts(constraints: DataFrame) -> DataFrame:
+    """(rule_id, audience_id, attribute, op, value, conflicts): for each constraint the number of constraints of the
+    same attribute and audience that no value can meet along with it; only where there are any.
+
+    Two intervals conflict if one ends before the other begins, or at the same point with an open end. Bounds are
+    folded into counts per distinct value first and one pass in value order counts, for each bound, the opposite
+    bounds beyond it; no pair of rules is ever formed, so a much used attribute costs its distinct values.
+    """
+    base = constraints.where("audience_id IS NOT NULL")
+    group = ["attribute", "audience_id"]
+    # On a shared scale: an upper bound at v is at (v, -1) if open, else (v, 0); a lower bound at (v, 1) if open, else (v, 0).
+    highs = base.where("hi < double('Infinity')").groupBy(*group, F.col("hi").alias("v"), F.when(F.col("hi_open"), -1).otherwise(0).alias("o")).agg(F.count(F.lit(1)).alias("ends"))
+    lows = base.where("lo > double('-Infinity')").groupBy(*group, F.col("lo").alias("v"), F.when(F.col("lo_open"), 1).otherwise(0).alias("o")).agg(F.count(F.lit(1)).alias("begins"))
+    points = highs.withColumn("begins", F.lit(0).cast("long")).unionByName(lows.withColumn("ends", F.lit(0).cast("long"))).groupBy(*group, "v", "o").agg(F.sum("ends").alias("ends"), F.sum("begins").alias("begins"))
+    up = Window.partitionBy(*group).orderBy("v", "o").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*group).orderBy("v", "o").rowsBetween(1, Window.unboundedFollowing)
+    scan = points.select(*group, "v", "o", F.coalesce(F.sum("ends").over(up), F.lit(0)).alias("below"), F.coalesce(F.sum("begins").over(down), F.lit(0)).alias("above"))
+    low = base.join(scan.select(*group, F.col("v").alias("lo"), F.col("o").alias("lo_o"), "below"), [*group, "lo"], "left").where("lo_o IS NULL OR lo_o = CASE WHEN lo_open THEN 1 ELSE 0 END")
+    both = low.join(scan.select(*group, F.col("v").alias("hi"), F.col("o").alias("hi_o"), "above"), [*group, "hi"], "left").where("hi_o IS NULL OR hi_o = CASE WHEN hi_open THEN -1 ELSE 0 END")
+    total = F.coalesce("below", F.lit(0)) + F.coalesce("above", F.lit(0))
+    return both.select("rule_id", "audience_id", "attribute", "op", "value", total.alias("conflicts")).where("conflicts > 0")
+
+
+def redundant(rules: DataFrame) -> DataFrame:
+    """(identity_hash, rules, first_rule): identities that more than one rule carries."""
+    rows = rules.where("identity_hash IS NOT NULL").select("id", F.lower("identity_hash").alias("identity_hash")).distinct()
+    return rows.groupBy("identity_hash").agg(F.count(F.lit(1)).alias("rules"), F.min("id").alias("first_rule")).where("rules > 1")
+
+
+def signature_groups(rules: DataFrame) -> DataFrame:
+    """(signature, rules, audiences, first_rule): sets of plain constraints that several rules state alike."""
+    one = F.concat_ws(" ", "attribute", "op", F.col("value").cast("decimal(30,4)").cast("string"))
+    # A rule's constraints are as many as its expression holds, so these lists are short.
+    per_rule = plain_constraints(rules).groupBy("rule_id", "audience_id").agg(F.array_join(F.array_sort(F.collect_set(one)), " && ").alias("signature"))
+    return per_rule.groupBy("signature").agg(F.count(F.lit(1)).alias("rules"), F.countDistinct("audience_id").alias("audiences"), F.min("rule_id").alias("first_rule")).where("rules > 1")

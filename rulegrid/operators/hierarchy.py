@@ -20,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulegrid.runtime import checkpointed
 
 BLOCK_BITS = 14
 SEGMENT_BITS = 16
+SEPARATOR = "/"
 END = -1
 
 
@@ -151,30 +152,58 @@ def ranked(forest: DataFrame) -> DataFrame:
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Reads paths off rows sorted by (root, segment, entry from high to low); the stack holds the open ancestors."""
+    """Reads paths off rows sorted by (root, segment, entry from high to low); the stack holds the open ancestors:
+    (exit, path, value in force, its holder, the holder's depth, own depth)."""
     place, stack = None, []
     for pdf in batches:
-        ids, paths = [], []
-        for i, root, seg, entry, leave, carried in zip(*(pdf[c].tolist() for c in ("id", "root", "segment", "entry", "exit", "carried"))):
+        out = []
+        for i, root, seg, entry, leave, carried, label, value, depth in zip(*(pdf[c].tolist() for c in ("id", "root", "segment", "entry", "exit", "carried", "label", "value", "depth"))):
             if place != (root, seg):
                 place, stack = (root, seg), []
             while stack and stack[-1][0] > entry:
                 stack.pop()
-            path = f"{stack[-1][1]}/{i}" if stack else str(i)
-            stack.append((leave, path))
+            path = f"{stack[-1][1]}{SEPARATOR}{label}" if stack else label
+            held = (value, i, depth) if value is not None else stack[-1][2:] if stack else (None, None, None)
+            stack.append((leave, path, *held))
             if not carried:
-                ids.append(i)
-                paths.append(path)
-        yield pd.DataFrame({"id": np.array(ids, "i8"), "path": paths})
+                out.append((i, path, held[0], held[1], None if held[1] is None else depth - held[2]))
+        yield pd.DataFrame(out, columns=["id", "path", "value", "holder", "distance"]).astype({"holder": "Int64", "distance": "Int64"})
 
 
-def paths(tour: DataFrame) -> DataFrame:
-    """(id, path) with the ids from the root down joined by '/', from the output of `ranked`."""
+def walked(tour: DataFrame, label: str | None = None, value: str | None = None) -> DataFrame:
+    """(id, path, value, holder, distance) from the output of `ranked`: the labels (else the ids) from the root down,
+    and the value of the nearest row at or above that has one, with that row's id and how far above it is.
+
+    tour carries the columns named by `label` and `value`.
+    """
     seg = lambda c: F.shiftright(c, SEGMENT_BITS)
-    own = tour.select("id", "root", "entry", "exit", seg("entry").alias("segment"), F.lit(False).alias("carried"))
-    open_over = tour.where(seg("exit") < seg("entry")).select("id", "root", "entry", "exit", F.explode(F.sequence(seg("exit"), seg("entry") - 1)).alias("segment"), F.lit(True).alias("carried"))
+    base = tour.select(
+        "id", "root", "entry", "exit", "depth", F.coalesce(F.col(label).cast("string"), F.lit("")).alias("label") if label else F.col("id").cast("string").alias("label"),
+        F.col(value).cast("string").alias("value") if value else F.lit(None).cast("string").alias("value"),
+    )
+    own = base.withColumns({"segment": seg("entry"), "carried": F.lit(False)})
+    open_over = base.where(seg("exit") < seg("entry")).withColumn("segment", F.explode(F.sequence(seg("exit"), seg("entry") - 1))).withColumn("carried", F.lit(True))
     rows = own.unionByName(open_over).repartition("root", "segment").sortWithinPartitions("root", "segment", F.desc("entry"))
-    return rows.mapInPandas(_walk, "id long, path string")
+    return rows.mapInPandas(_walk, "id long, path string, value string, holder long, distance long")
+
+
+def paths(tour: DataFrame) -> DataFrame:
+    """(id, path) with the ids from the root down."""
+    return walked(tour).select("id", "path")
+
+
+def inherited(clauses: DataFrame, label: Column, value: Column) -> DataFrame:
+    """(id, path, value, holder, distance) over the trees of `clauses`, label and value being those of the current row.
+
+    Loop rows are roots, as in `hierarchy`.
+    """
+    rows = current_rows(clauses)
+    carried = clauses.where("id IS NOT NULL").groupBy(F.col("id").cast("long").alias("id")).agg(F.max(F.struct("created_at", F.col("parent_id").cast("long").alias("p"), label.alias("label"), value.alias("value"))).alias("c"))
+    edges = checkpointed(_existing_parents(rows))
+    _, rings = loops(edges.where("parent_id IS NOT NULL"))
+    rings = checkpointed(rings)
+    forest = edges.join(rings, "id", "left").select("id", F.when(F.col("cycle_id").isNull(), F.col("parent_id")).alias("parent_id"))
+    return walked(ranked(forest).join(carried.select("id", "c.label", "c.value"), "id"), "label", "value")
 
 
 def hierarchy(clauses: DataFrame, with_paths: bool = True) -> DataFrame:

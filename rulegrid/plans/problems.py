@@ -60,6 +60,9 @@ SELECT identity_hash, full_hash FROM (
 ) WHERE rn = 1
 """
 
+#: The same as of a date: only rows that had arrived.
+AS_BELIEVED_SQL = P3_SQL.replace("rule_assertions", "(SELECT * FROM rule_assertions WHERE created_at < TIMESTAMPTZ '2020-01-01 00:00:00+00')")
+
 P3_STATE_SQL = f"""
 WITH {_LIVE},
 now_in_force AS (SELECT * FROM last_span WHERE span = top AND opened = 'new')
