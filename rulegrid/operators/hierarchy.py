@@ -28,7 +28,7 @@ from rulegrid.runtime import checkpointed
 BLOCK_BITS = 14
 SEGMENT_BITS = 16
 SEPARATOR = "/"
-END = -1
+END = -(1 << 62)
 
 
 def current_rows(clauses: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def ranked(forest: DataFrame) -> DataFrame:
     blocks = links.withColumn("block", F.shiftright("id", BLOCK_BITS)).groupBy("block")
     local = checkpointed(blocks.applyInPandas(_contract, _CONTRACTED))
     entered = local.select(F.col("in_to").alias("e")).unionByName(local.select(F.col("out_to").alias("e"))).where(F.col("e") != END).distinct()
-    doors = entered.withColumn("id", F.shiftright("e", 1)).join(local, "id").withColumn("is_out", F.col("e") % 2 == 1)
+    doors = entered.withColumn("id", F.shiftright("e", 1)).join(local, "id").withColumn("is_out", F.col("e").bitwiseAND(F.lit(1)) == 1)
     pick = lambda name: F.when(F.col("is_out"), F.col(f"out_{name}")).otherwise(F.col(f"in_{name}")).alias(name)
     doors = checkpointed(doors.select("e", pick("to"), pick("steps"), pick("sum"), pick("last")))
     while doors.where(F.col("to") != END).limit(1).count():

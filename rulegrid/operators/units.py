@@ -57,7 +57,8 @@ def dictionary(attributes: DataFrame) -> DataFrame:
     A bare scale (thousand, lakh, ...) takes its kind from what attributes of the same name measure elsewhere, and so
     does the kind of an attribute without any unit, whose factor stays null.
     """
-    read = attributes.where("id IS NOT NULL").dropDuplicates(["id"]).mapInPandas(_describe, "id int, category string, canonical_name string, aliases array<string>, data_type string, stem string, kind string, factor double")
+    kept = attributes.select("id", "category", "canonical_name", "aliases", "data_type", "unit", "description")
+    read = kept.where("id IS NOT NULL").dropDuplicates(["id"]).mapInPandas(_describe, "id int, category string, canonical_name string, aliases array<string>, data_type string, stem string, kind string, factor double")
     votes = read.where("kind <> 'scale'").groupBy("stem", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("stem").agg(F.max_by("kind", F.struct("n", "kind")).alias("stem_kind"))
     whole = read.join(votes, "stem", "left").withColumn(
         "kind", F.when(F.col("kind") == "scale", F.coalesce("stem_kind", F.when(F.col("factor") == 1e3, F.lit("count")).otherwise(F.lit("money")))).otherwise(F.coalesce("kind", "stem_kind"))
