@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rulegrid.llm import leakage, mixing, neighbours
+from rulegrid.llm import leakage, mixing, neighbours, pii
 from rulegrid.plans.registry import Query
 from rulegrid.runtime import table
 
@@ -35,6 +35,14 @@ def p8_shares(spark, d):
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p9_found(spark, d):
+    return pii.mentions(table(spark, d, "documents")).select("doc_id", "kind", "start_pos")
+
+
+def p9_redacted(spark, d):
+    return pii.redacted(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p6_found": Query(p6_found),
     "p6_neighbours": Query(p6_neighbours),
@@ -43,4 +51,6 @@ QUERIES = {
     "p8_found": Query(p8_found),
     "p8_selection": Query(p8_selection),
     "p8_shares": Query(p8_shares),
+    "p9_found": Query(p9_found),
+    "p9_redacted": Query(p9_redacted),
 }
