@@ -130,7 +130,7 @@ def selection(counts: DataFrame, leaves: DataFrame, seed: int = SEED) -> DataFra
     plan = leaves.select("source", "lang", (F.col("budget") / F.col("tokens")).cast("int").alias("epochs"), (F.col("budget") % F.col("tokens")).alias("rest"))
     # The plan is a few rows, one per leaf; the planner broadcasts it by its size.
     order = F.xxhash64(F.lit(seed), "epochs", "doc_id")
-    rows = counts.join(plan, ["source", "lang"]).withColumn("order", order).withColumn("slice", F.pmod(F.shiftrightunsigned("order", 40), F.lit(SLICES)).cast("int"))
+    rows = counts.where("tokens > 0").join(plan, ["source", "lang"]).withColumn("order", order).withColumn("slice", F.pmod(F.shiftrightunsigned("order", 40), F.lit(SLICES)).cast("int"))
     sums = rows.groupBy("source", "lang", "slice").agg(F.sum("tokens").alias("slice_tokens"))
     along = Window.partitionBy("source", "lang").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("before", F.coalesce(F.sum("slice_tokens").over(along), F.lit(0)))
