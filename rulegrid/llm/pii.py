@@ -49,6 +49,13 @@ _FIRM_WORD = re.compile(rf"{_FIRM_WORDS}", re.I)
 _PLACE_WORD = re.compile(rf"{_STREET}|Vale|Valley|Hollow|Reach|Spur|Dock|Bay|Hill|River|Terminal", re.I)
 _WORD = re.compile(r"\w[\w'’]*\.?")
 
+#: What every mention of a shape holds: an at sign, a code or seven digits, a street word, or two capitalised words.
+_TRACE = re.compile(
+    rf"[@＠]|[(\[{{][ ]?at[ ]?[)\]}}]|[ \xa0]at[ \xa0][\w-]+(?:[ \xa0]dot[ \xa0]|\.)|\d{{4}}[ \xa0-]?[A-Za-z]\b|\d(?:[ \xa0.()\-‐‑–]{{0,4}}\d){{6}}|\b(?i:{_STREET})\b|\b[A-Z][\w'’]*\.?(?:,?[ \xa0]*\r?\n?[ \xa0]*|-)(?<=[^\w'’])[A-Z]"
+)
+#: No mention reaches further from its trace.
+_REACH = 96
+
 
 def _digits(text: str) -> int:
     return sum(c.isdigit() for c in text)
@@ -115,7 +122,7 @@ class Finder:
         """Reconciled tags of every character of each text."""
         codes = [tagger.encode(t) for t in texts]
         out = [np.zeros(len(c), "i1") for c in codes]
-        places = [(i, s) for i, c in enumerate(codes) for s in self.starts(len(c))]
+        places = [(i, s) for i, t in enumerate(texts) for s in self.worth_reading(t)]
         for at in range(0, len(places), BATCH):
             part = places[at : at + BATCH]
             grid = np.zeros((len(part), WINDOW), "u1")
@@ -135,6 +142,16 @@ class Finder:
         step = WINDOW - 2 * MARGIN
         return range(0, max(1, n - 2 * MARGIN), step) if n else range(0)
 
+    @classmethod
+    def worth_reading(cls, text: str) -> list[int]:
+        """Starts of the windows near a trace. Of any other window the exact check would reject whatever was found."""
+        near = np.zeros(len(text) + 1, "i4")
+        for m in _TRACE.finditer(text):
+            near[max(0, m.start() - _REACH)] += 1
+            near[min(len(text), m.end() + _REACH)] -= 1
+        close = np.concatenate([[0], np.cumsum(np.cumsum(near[:-1]) > 0)])
+        return [s for s in cls.starts(len(text)) if close[min(len(text), s + WINDOW)] > close[s]]
+
     def find(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         """For each text its mentions (kind, start, end) in order, none overlapping another."""
         return [self.mentions(t, tags) for t, tags in zip(texts, self.tags(texts))]
