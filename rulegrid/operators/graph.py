@@ -112,3 +112,24 @@ def signature_groups(rules: DataFrame) -> DataFrame:
     # A rule's constraints are as many as its expression holds, so these lists are short.
     per_rule = plain_constraints(rules).groupBy("rule_id", "audience_id").agg(F.array_join(F.array_sort(F.collect_set(one)), " && ").alias("signature"))
     return per_rule.groupBy("signature").agg(F.count(F.lit(1)).alias("rules"), F.countDistinct("audience_id").alias("audiences"), F.min("rule_id").alias("first_rule")).where("rules > 1")
+
+
+def admitted(edges: DataFrame) -> DataFrame:
+    """(from_id, to_id, type, in_cycle): distinct edges without self-edges, and whether both ends lie on a common loop of
+    `depends_on` edges through rules that depend on one another.
+
+    Rules are trimmed from both sides, those without an edge in or out first, until none can go; what stays is on or
+    between loops. The rounds are bounded by the longest chain; each works on what is left only.
+    """
+    from rulegrid.runtime import checkpointed
+
+    clean = checkpointed(edges.where("from_id <> to_id").select("from_id", "to_id", "type").distinct())
+    left = clean.where("type = 'depends_on'").select("from_id", "to_id")
+    size = left.count()
+    while size:
+        ins, outs = left.select(F.col("to_id").alias("from_id")).distinct(), left.select(F.col("from_id").alias("to_id")).distinct()
+        left = checkpointed(left.join(ins, "from_id", "left_semi").join(outs, "to_id", "left_semi").select("from_id", "to_id"))
+        if (now := left.count()) == size:
+            break
+        size = now
+    return clean.join(left.withColumns({"type": F.lit("depends_on"), "in_cycle": F.lit(True)}), ["from_id", "to_id", "type"], "left").withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False)))

@@ -117,3 +117,43 @@ def clustered(register: DataFrame) -> DataFrame:
     """
     rows = register.where("size(vector) > 0").select("id", "data_type", F.regexp_replace("canonical_name", r"_\d+$", "").alias("stem"), "vector")
     return rows.groupBy("data_type", "stem").applyInPandas(_lead, "id int, leader int, distance double")
+
+
+def linked_names(rules: DataFrame, register: DataFrame, reference: str = r"\[(\w+\.\w+)\]") -> DataFrame:
+    """(rule_id, ref, id, data_type): the attributes an expression refers to, id null for an unknown reference."""
+    hits = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("rule_expression"), F.lit(reference), F.lit(1))))
+    refs = rules.where("rule_expression IS NOT NULL").select(F.col("id").alias("rule_id"), "rule_expression").distinct().select("rule_id", hits.alias("ref"))
+    split = refs.withColumns({"category": F.substring_index("ref", ".", 1), "name": F.substring_index("ref", ".", -1)})
+    typed = names(register).join(register.select("id", "data_type").dropDuplicates(["id"]), "id")
+    return split.join(typed, ["category", "name"], "left").select("rule_id", "ref", "id", "data_type")
+
+
+def reference_drift(rules: DataFrame, register: DataFrame) -> DataFrame:
+    """(kind, rules): rules whose expression names attributes that attribute_ids lacks (`unlisted`), whose attribute_ids
+    hold ones the expression does not name (`unused`), or that name an unknown one (`unknown`)."""
+    named = linked_names(rules, register)
+    listed = rules.where("rule_expression LIKE '%[%'").select(F.col("id").alias("rule_id"), F.explode("attribute_ids").alias("id")).distinct()
+    known = named.where("id IS NOT NULL").select("rule_id", "id").distinct()
+    kinds = {"unlisted": known.join(listed, ["rule_id", "id"], "left_anti"), "unused": listed.join(known, ["rule_id", "id"], "left_anti"), "unknown": named.where("id IS NULL")}
+    out = None
+    for kind, rows in kinds.items():
+        one = rows.agg(F.countDistinct("rule_id").alias("rules")).select(F.lit(kind).alias("kind"), "rules")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def consolidation(rules: DataFrame, register: DataFrame) -> DataFrame:
+    """(leader, id, uses): the members of each cluster of the register that is to become one, with the rules that use
+    them; the leader is the most used, then the smallest id."""
+    members = clustered(register).select("id", F.col("leader").alias("cluster"))
+    uses = rules.select(F.col("id").alias("rule_id"), F.explode("attribute_ids").alias("id")).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("uses"))
+    counted = members.join(uses, "id", "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+    best = counted.groupBy("cluster").agg(F.min(F.struct((-F.col("uses")).alias("u"), "id")).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return counted.join(best, "cluster").select(F.col("b.id").alias("leader"), "id", "uses")
+
+
+def fragmented(register: DataFrame) -> DataFrame:
+    """(data_type, stem, entries, first_id): entries whose names differ only by a common prefix or suffix word."""
+    stem = F.regexp_replace(F.regexp_replace(F.lower("canonical_name"), r"^(?:is|has|the|total|current|last)_", ""), r"_(?:date|flag|count|amount|value|nos|inr|mn|cr|lakh|pct|bps|days|months|hrs|yrs|thousands)$", "")
+    rows = register.select("id", "data_type", "canonical_name", stem.alias("stem")).where("length(stem) > 6").distinct()
+    return rows.groupBy("data_type", "stem").agg(F.countDistinct("canonical_name").alias("entries"), F.min("id").alias("first_id")).where("entries > 1")

@@ -60,8 +60,10 @@ def read_citations(text: str) -> list[tuple[str, str, str, str | None, str | Non
         if m.start() < done:
             continue
         tail, cue = text[m.end() :], m[1].lower()
-        target = "annexure" if re.match("annex|sched|form|table", cue) else "statute" if re.match("regul|sect|rule|artic", cue) or _STATUTE.match(tail) else "internal"
-        inside = _INSIDE.match(tail) if target != "statute" else None
+        inside = _INSIDE.match(tail)
+        named = re.match("regul|sect|rule|artic", cue) or not inside and _STATUTE.match(tail)
+        target = "annexure" if re.match("annex|sched|form|table", cue) else "statute" if named else "internal"
+        inside = None if target == "statute" else inside
         done = m.end() + inside.end() if inside else m.end()
         container = " ".join(inside[1].split()) if inside else None
         found, at, range_to = [], m.end(), None
@@ -100,3 +102,38 @@ def number_pool(text: Column) -> Column:
     digits = F.transform(F.regexp_extract_all(bare, F.lit(r"[0-9]+(,[0-9]{2,3})*(\.[0-9]+)?"), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double"))
     pools = [digits] + [F.when(low.rlike(p), F.array(*[F.lit(float(v)) for v in vs])).otherwise(F.array().cast("array<double>")) for p, vs in PERIODS.items()]
     return F.array_sort(F.array_distinct(F.flatten(F.array(*pools))))
+
+
+def unexplained(literals: Column, pool: Column) -> Column:
+    """The literals that neither are 0 or 1, nor stand in the pool, nor are a unit's multiple of a number that does."""
+    factors = (24.0, 7.0, 30.0, 12.0, 360.0, 365.0, 1 / 24, 1 / 7, 1 / 30, 1 / 12)
+    near = lambda x, y: F.abs(x - y) < 1e-6
+    explained = lambda x: near(x, F.lit(0.0)) | near(x, F.lit(1.0)) | F.exists(pool, lambda n: near(x, n) | F.exists(F.array(*[F.lit(f) for f in factors]), lambda f: near(x, n * f)))
+    return F.filter(literals, lambda x: ~explained(x))
+
+
+#: Patterns of rules that hold whatever the facts.
+VACUOUS = (
+    r"\b(?:days|months|years)_since\([^)]*\)\s*>=\s*0(?![\d.])", r"\bcount\([^)]*\)\s*>=\s*0(?![\d.])",
+    r"(\[[\w.]+\])\s*(?:==|<=|>=)\s*\1(?![\w.])", r"exists\((\[[\w.]+\])\)\s*(?:==|>=|<=)\s*exists\(\1\)",
+)
+
+
+def vacuous(expression: Column) -> Column:
+    """The expression has a part that is true of anything."""
+    out = F.lit(False)
+    for pattern in VACUOUS:
+        out = out | expression.rlike(pattern)
+    return out
+
+
+def own_multiple(expression: Column) -> Column:
+    """The expression compares an attribute with a multiple of itself."""
+    return expression.rlike(r"(\[[\w.]+\])\s*(?:==|!=|<=|>=|<|>|≤|≥|≠)\s*\d+(?:\.\d+)?\s*\*\s*\1")
+
+
+def without_number(expression: Column, value: Column) -> tuple[Column, Column]:
+    """(expression with its only number replaced by value, note): left as it is, with a note, unless it has exactly one."""
+    numbers = F.regexp_extract_all(expression, F.lit(r"(?<![\w.])\d+(?:\.\d+)?(?![\w.])"), F.lit(0))
+    one = F.size(numbers) == 1
+    return F.when(one, F.regexp_replace(expression, r"(?<![\w.])\d+(?:\.\d+)?(?![\w.])", value)).otherwise(expression), F.when(~one, F.concat(F.lit("has "), F.size(numbers).cast("string"), F.lit(" numbers")))

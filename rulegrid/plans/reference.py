@@ -12,35 +12,35 @@ from rulegrid.plans.registry import Query
 from rulegrid.runtime import table
 
 _CURRENT = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC, parent_id DESC NULLS LAST) AS rn FROM source_clauses) WHERE rn = 1)"
-_ID_KEYS = "id, doc_id, clause_no, heading, parent_id, text, is_title, container, citable, audience_id, created_at"
 
 
-def _current(spark, d):
-    rows = table(spark, d, "source_clauses").select(*_ID_KEYS.split(", "))
-    return rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "id"]), F.struct("created_at", "parent_id")).alias("c")).select("id", "c.*")
+def _current(spark, d, *columns):
+    """The current row of each clause with these columns; only they, and what orders the deliveries, are read."""
+    rows = table(spark, d, "source_clauses").select("id", "created_at", "parent_id", *[c for c in columns if c != "parent_id"])
+    return rows.groupBy("id").agg(F.max_by(F.struct(*columns), F.struct("created_at", "parent_id")).alias("c")).select("id", "c.*")
 
 
 # Trees ---------------------------------------------------------------------------------------------------------------
 def tree_prev_sibling(spark, d):
     from pyspark.sql import Window
 
-    rows = _current(spark, d).where("parent_id IS NOT NULL")
+    rows = _current(spark, d, "doc_id", "parent_id").where("parent_id IS NOT NULL")
     return rows.select("id", F.lag("id").over(Window.partitionBy("doc_id", "parent_id").orderBy("id")).alias("previous_id"))
 
 
 def tree_leaf(spark, d):
-    rows = _current(spark, d).select("id", "parent_id", "doc_id")
+    rows = _current(spark, d, "doc_id", "parent_id").select("id", "parent_id", "doc_id")
     leaves = rows.join(rows.select(F.col("parent_id").alias("id")).where("id IS NOT NULL").distinct(), "id", "left_anti")
     return leaves.groupBy("doc_id").agg(F.count(F.lit(1)).alias("leaves"))
 
 
 def tree_offsets(spark, d):
-    rows = _current(spark, d).select("id", "doc_id", F.length("text").alias("n"))
+    rows = _current(spark, d, "doc_id", "text").select("id", "doc_id", F.length("text").alias("n"))
     return ordered.running_sum(rows, ["doc_id"], "id", F.col("n") + 2, "char_start").select("id", "char_start", (F.col("char_start") + F.coalesce("n", F.lit(0))).alias("char_end"))
 
 
 def tree_gap_audit(spark, d):
-    rows = _current(spark, d).where("clause_no IS NOT NULL AND container IS NULL")
+    rows = _current(spark, d, "doc_id", "clause_no", "container").where("clause_no IS NOT NULL AND container IS NULL")
     last = F.regexp_extract("clause_no", r"^(?:\d+\.)*(\d+)$", 1)
     head = F.regexp_extract("clause_no", r"^((?:\d+\.)*)\d+$", 1)
     return ordered.gaps(rows.select("doc_id", head.alias("stem"), F.nullif(last, F.lit("")).cast("int").alias("n")), ["doc_id", "stem"], "n", 3)
@@ -79,28 +79,28 @@ def text_repeated_lines(spark, d):
 
 
 def text_normative_share(spark, d):
-    rows = _current(spark, d)
+    rows = _current(spark, d, "doc_id", "text")
     tagged = (F.length("text") >= 60) & F.col("text").rlike(texts.NORMATIVE)
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("clauses"), F.count_if(tagged).alias("normative"), F.count_if(F.length("text") < 15).alias("stubs"))
 
 
 def text_window_dedupe(spark, d):
-    rows = _current(spark, d).where("text IS NOT NULL").select("id", F.sha2(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), 256).alias("content"))
+    rows = _current(spark, d, "text").where("text IS NOT NULL").select("id", F.sha2(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), 256).alias("content"))
     return rows.groupBy("content").agg(F.count(F.lit(1)).alias("clauses"), F.min("id").alias("first_id")).where("clauses > 1")
 
 
 def text_number_pool(spark, d):
-    rows = _current(spark, d).where("text IS NOT NULL").select("id", F.explode(texts.number_pool(F.col("text"))).alias("number"))
+    rows = _current(spark, d, "text").where("text IS NOT NULL").select("id", F.explode(texts.number_pool(F.col("text"))).alias("number"))
     return rows.groupBy("number").agg(F.count(F.lit(1)).alias("clauses"))
 
 
 def cit_extract_summary(spark, d):
-    rows = _current(spark, d).where("text IS NOT NULL").select("id", F.explode(texts.cited_numbers(F.col("text"))).alias("c"))
+    rows = _current(spark, d, "text").where("text IS NOT NULL").select("id", F.explode(texts.cited_numbers(F.col("text"))).alias("c"))
     return rows.groupBy(F.substring_index("c", " ", 1).alias("cue"), F.substring_index("c", " ", -1).alias("number")).agg(F.count(F.lit(1)).alias("citations"), F.countDistinct("id").alias("clauses"))
 
 
 def cit_extract(spark, d):
-    return texts.citations(_current(spark, d))
+    return texts.citations(_current(spark, d, "text"))
 
 
 def cit_kinds(spark, d):
@@ -413,9 +413,59 @@ def eval_cascade(spark, d):
     return uses.join(changed, "attribute_id").groupBy("attribute_id", "state").agg(F.count(F.lit(1)).alias("rules"))
 
 
+def exp_lints(spark, d):
+    rows = _rules(spark, d).where("rule_expression IS NOT NULL").select("id", "rule_expression", "attribute_ids", "audience_id").distinct()
+    return rows.agg(
+        F.count(F.lit(1)).alias("rules"), F.count_if(texts.vacuous(F.col("rule_expression"))).alias("vacuous"), F.count_if(texts.own_multiple(F.col("rule_expression"))).alias("own_multiple"),
+        F.count_if(F.size("attribute_ids") == 0).alias("no_attribute"), F.count_if(F.col("audience_id").isNull()).alias("no_audience"),
+    )
+
+
+def exp_fidelity(spark, d):
+    """Literals of a rule that its clause's text does not account for, by number of such literals."""
+    rules_ = _rules(spark, d).where("rule_expression LIKE '[%' OR rule_expression LIKE '%since%'").select("id", "rule_expression", "source_clause_id").distinct()
+    clauses = _current(spark, d, "text").select(F.col("id").alias("source_clause_id"), "text")
+    literals = F.transform(F.regexp_extract_all(F.regexp_replace("rule_expression", r"\[[^\]]*\]|'[^']*'", " "), F.lit(r"[0-9]+(,[0-9]{2,3})*(\.[0-9]+)?"), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double"))
+    joined = rules_.join(clauses, "source_clause_id").where("text IS NOT NULL")
+    left = F.size(texts.unexplained(literals, texts.number_pool(F.col("text"))))
+    return joined.groupBy(left.alias("unexplained")).agg(F.count(F.lit(1)).alias("rules"))
+
+
+def res_reference_drift(spark, d):
+    return resolution.reference_drift(_rules(spark, d), _register(spark, d))
+
+
+def res_consolidation(spark, d):
+    return resolution.consolidation(_rules(spark, d), _register(spark, d))
+
+
+def res_fragmented(spark, d):
+    return resolution.fragmented(_register(spark, d))
+
+
+def lnk_admit_edges(spark, d):
+    return graph.admitted(graph.proposed_edges(*_citations(spark, d), _rules(spark, d)))
+
+
+def asm_applicability(spark, d):
+    """Citations that restrict (subject to) or exempt (notwithstanding) rules, laid over each rule's audience."""
+    cites = table(spark, d, "unresolved_citations").dropDuplicates(["id"])
+    at = graph.resolved(cites, table(spark, d, "source_clauses")).where("result = 'unique'").join(cites.select(F.col("id").alias("citation_id"), "raw_text", "from_clause_id"), "citation_id")
+    kind = F.when(F.lower("raw_text").startswith("notwithstanding"), "exempt").when(F.lower("raw_text").startswith("subject to"), "restrict")
+    key = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
+    modifiers = at.withColumn("effect", kind).where("effect IS NOT NULL").select(key("from_clause_id").alias("from_clause_no"), key("clause_id").alias("target"), "effect", F.concat(F.lit("clause "), F.col("from_clause_id").cast("string")).alias("condition"), F.lit(None).cast("string").alias("value"))
+    held = _rules(spark, d).dropDuplicates(["id"]).where("source_clause_id IS NOT NULL")
+    base = F.when(F.col("audience_id").isNotNull(), F.array(F.concat(F.lit("audience "), F.col("audience_id").cast("string")))).otherwise(F.array().cast("array<string>"))
+    rows = held.select("id", key("source_clause_id").alias("clause_no"), F.col("source_clause_id").alias("clause_id"), base.alias("base"))
+    from rulegrid.operators import assembly
+
+    out = assembly.applied(rows, modifiers)
+    return out.groupBy(F.size(F.regexp_extract_all("applicability", F.lit("not\\("), F.lit(0))).alias("exemptions"), F.col("conditions").isNull().alias("nested")).agg(F.count(F.lit(1)).alias("rules"))
+
+
 # Reports -------------------------------------------------------------------------------------------------------------
 def met_corpus(spark, d):
-    rows = _current(spark, d)
+    rows = _current(spark, d, "doc_id", "clause_no", "heading", "is_title", "text")
     per = rows.rollup("doc_id").agg(
         F.count(F.lit(1)).alias("clauses"), F.count("clause_no").alias("numbered"), F.count("heading").alias("headings"), F.count_if("is_title").alias("titles"),
         F.count_if(F.length("text") < 60).alias("short"), F.grouping("doc_id").cast("int").alias("is_total"),
@@ -424,7 +474,7 @@ def met_corpus(spark, d):
 
 
 def met_duplicate_numbers(spark, d):
-    rows = _current(spark, d).where("clause_no IS NOT NULL")
+    rows = _current(spark, d, "doc_id", "container", "clause_no").where("clause_no IS NOT NULL")
     twice = rows.groupBy("doc_id", F.coalesce("container", F.lit("")).alias("container"), "clause_no").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return twice.groupBy("doc_id").agg(F.count(F.lit(1)).alias("numbers"), F.sum("n").alias("clauses"))
 
@@ -514,6 +564,22 @@ QUERIES = {
     "expr_constraints": Query(expr_constraints),
     "eval_rules": Query(eval_rules, EVAL_SQL),
     "eval_cascade": Query(eval_cascade, "WITH u AS (SELECT DISTINCT id, state, unnest(attribute_ids) AS attribute_id FROM obligations) SELECT attribute_id, state, count(*) AS rules FROM u WHERE attribute_id IN (SELECT id FROM attributes WHERE is_derived) GROUP BY ALL"),
+    "exp_lints": Query(exp_lints, r"""WITH o AS (SELECT DISTINCT id, rule_expression AS e, attribute_ids, audience_id FROM obligations WHERE rule_expression IS NOT NULL),
+        m AS (SELECT id, bool_or(split_part(x, '|', 1) = split_part(x, '|', 2)) AS own FROM (SELECT id, unnest(list_transform(regexp_extract_all(e, '\[[\w.]+\]\s*(?:==|!=|<=|>=|<|>|≤|≥|≠)\s*\d+(?:\.\d+)?\s*\*\s*\[[\w.]+\]'), lambda h: regexp_extract(h, '^(\[[\w.]+\])', 1) || '|' || regexp_extract(h, '(\[[\w.]+\])$', 1))) AS x FROM o) GROUP BY id)
+        SELECT count(*) AS rules, count(*) FILTER (WHERE regexp_matches(e, '(days|months|years)_since\([^)]*\)\s*>=\s*0([^\d.]|$)')) AS vacuous, count(*) FILTER (WHERE m.own) AS own_multiple,
+               count(*) FILTER (WHERE len(attribute_ids) = 0) AS no_attribute, count(*) FILTER (WHERE audience_id IS NULL) AS no_audience FROM o LEFT JOIN m USING (id)"""),
+    "exp_fidelity": Query(exp_fidelity),
+    "res_reference_drift": Query(res_reference_drift, f"""WITH {_NAMES}, r AS (SELECT DISTINCT id AS rule_id, rule_expression, attribute_ids FROM obligations WHERE rule_expression IS NOT NULL),
+        refs AS (SELECT DISTINCT rule_id, unnest(regexp_extract_all(lower(rule_expression), '\\[(\\w+\\.\\w+)\\]', 1)) AS ref FROM r),
+        named AS (SELECT f.rule_id, n.id FROM refs f LEFT JOIN names n ON n.category = split_part(f.ref, '.', 1) AND n.name = split_part(f.ref, '.', 2)),
+        listed AS (SELECT DISTINCT rule_id, unnest(attribute_ids) AS id FROM r WHERE rule_expression LIKE '%[%')
+        SELECT 'unlisted' AS kind, count(DISTINCT rule_id) AS rules FROM named WHERE id IS NOT NULL AND (rule_id, id) NOT IN (SELECT (rule_id, id) FROM listed)
+        UNION ALL SELECT 'unused', count(DISTINCT rule_id) FROM listed WHERE (rule_id, id) NOT IN (SELECT (rule_id, id) FROM named WHERE id IS NOT NULL)
+        UNION ALL SELECT 'unknown', count(DISTINCT rule_id) FROM named WHERE id IS NULL"""),
+    "res_consolidation": Query(res_consolidation),
+    "res_fragmented": Query(res_fragmented, "WITH r AS (SELECT DISTINCT id, data_type, canonical_name, regexp_replace(regexp_replace(lower(canonical_name), '^(is|has|the|total|current|last)_', ''), '_(date|flag|count|amount|value|nos|inr|mn|cr|lakh|pct|bps|days|months|hrs|yrs|thousands)$', '') AS stem FROM attributes) SELECT data_type, stem, count(DISTINCT canonical_name) AS entries, min(id) AS first_id FROM r WHERE length(stem) > 6 GROUP BY ALL HAVING count(DISTINCT canonical_name) > 1"),
+    "lnk_admit_edges": Query(lnk_admit_edges),
+    "asm_applicability": Query(asm_applicability),
     "met_corpus": Query(met_corpus, f"WITH {_CURRENT} SELECT doc_id, count(*) AS clauses, count(clause_no) AS numbered, count(heading) AS headings, count(*) FILTER (WHERE is_title) AS titles, count(*) FILTER (WHERE length(text) < 60) AS short, CAST(grouping(doc_id) AS INTEGER) AS is_total FROM cur GROUP BY ROLLUP (doc_id)"),
     "met_duplicate_numbers": Query(met_duplicate_numbers, f"WITH {_CURRENT}, t AS (SELECT doc_id, coalesce(container, '') AS c, clause_no, count(*) AS n FROM cur WHERE clause_no IS NOT NULL GROUP BY ALL HAVING count(*) > 1) SELECT doc_id, count(*) AS numbers, CAST(sum(n) AS BIGINT) AS clauses FROM t GROUP BY doc_id"),
     "rep_trend": Query(rep_trend, "WITH r AS (SELECT strftime(created_at AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS assertions, count(*) FILTER (WHERE verdict = 'new') AS opened FROM (SELECT DISTINCT seq, created_at, verdict FROM rule_assertions) GROUP BY 1) SELECT month, assertions, opened, assertions - lag(assertions) OVER (ORDER BY month) AS change FROM r"),

@@ -128,3 +128,38 @@ def test_segments(spark):
     assert segment.windows(cut).where("doc_id = 'd' AND idx = 3").first().window.startswith("[CHAPTER I › Audit of firms")
     script = spark.createDataFrame([("अधिसूचना / Notice (सूचना) to firms",), ("केवल हिंदी",), ("English",)], "l string").select(segment.without_second_script(F.col("l"))).collect()
     assert [r[0] for r in script] == ["Notice to firms", None, "English"]
+
+
+def test_modifiers_are_routed_and_folded(spark):
+    from rulegrid.operators import assembly
+
+    r = spark.createDataFrame([(1, "9.5.1", 11, ["qsb"]), (2, "12.3", 12, []), (3, "4", 13, ["b", "a"]), (4, "4", 14, None)], "id int, clause_no string, clause_id int, base array<string>")
+    m = [("1", "9.5.1", "restrict", "n > 5", None), ("2", "9.5.1", "extend", "cm", None), ("3", "12.3", "exempt", "n < 500", None), ("8", "3", "exempt", "x", None), ("5", "99", "exempt", "x", None), ("6", "4", "exempt", "x", None), ("7", "9.5.1", "override", "qsb", "90"), ("1", "9.5.1", "restrict", "n > 5", None)]
+    mods = spark.createDataFrame(m, "from_clause_no string, target string, effect string, condition string, value string")
+    assert {x.from_clause_no: x.route for x in assembly.routed(mods, r).collect()} == {"1": "indexed", "2": "indexed", "3": "indexed", "8": "chained", "5": "orphaned", "6": "ambiguous", "7": "indexed"}
+    got = {x.rule_id: x for x in assembly.applied(r, mods).collect()}
+    assert got[1].applicability == "or(and(n > 5, qsb), cm)" and got[1].overrides == ["90@qsb"] and got[1].conditions is None
+    assert got[2].applicability == "and(not(n < 500))" and got[3].conditions == ["a", "b"]
+
+
+def test_edges_on_loops(spark):
+    e = spark.createDataFrame([(1, 2, "depends_on"), (2, 3, "depends_on"), (3, 1, "depends_on"), (3, 4, "depends_on"), (4, 4, "depends_on"), (1, 9, "amends"), (1, 2, "depends_on")], "from_id int, to_id int, type string")
+    got = {(r.from_id, r.to_id): r.in_cycle for r in graph.admitted(e).collect()}
+    assert got == {(1, 2): True, (2, 3): True, (3, 1): True, (3, 4): False, (1, 9): False}
+
+
+def test_lints_and_fidelity(spark):
+    df = spark.createDataFrame([("days_since([A.d]) >= 0", True, False), ("[A.x] >= 2 * [A.x]", False, True), ("[A.x] == [A.x]", True, False), ("[A.x] <= [A.xy] AND count([A.x]) >= 05", False, False)], "e string, v boolean, o boolean")
+    assert all(r[0] == r.v and r[1] == r.o for r in df.select(texts.vacuous(F.col("e")), texts.own_multiple(F.col("e")), "v", "o").collect())
+    pool = texts.number_pool(F.lit("submit half-yearly within 12 days under clause 77 from 2021, up to 1,50,000"))
+    left = spark.range(1).select(texts.unexplained(F.array(*[F.lit(float(x)) for x in (0, 1, 6, 180, 12, 84, 288, 77, 150000, 13)]), pool)).first()[0]
+    assert left == [77.0, 13.0]
+    out = spark.createDataFrame([("[A.x1] <= 180",), ("[A.x] BETWEEN 1 AND 2",)], "e string").select(*texts.without_number(F.col("e"), F.lit("90"))).collect()
+    assert [tuple(r) for r in out] == [("[A.x1] <= 90", None), ("[A.x] BETWEEN 1 AND 2", "has 2 numbers")]
+
+
+def test_register_reports(spark):
+    a = spark.createDataFrame([(1, "A", "net_worth_mn", ["nw"], "number"), (2, "B", "net_worth_lakh", None, "number"), (3, "A", "gap", None, "number")], "id int, category string, canonical_name string, aliases array<string>, data_type string")
+    r = spark.createDataFrame([(1, "[A.nw] > 1", [1]), (2, "[A.gap] > 1 AND [A.zz] > 1", [1]), (3, None, None)], "id int, rule_expression string, attribute_ids array<int>")
+    assert {x.kind: x.rules for x in resolution.reference_drift(r, a).collect()} == {"unlisted": 1, "unused": 1, "unknown": 1}
+    assert [(x.stem, x.entries) for x in resolution.fragmented(a).collect()] == [("net_worth", 2)]
