@@ -33,3 +33,19 @@ def gaps(rows: DataFrame, keys: list[str], number: str, most: int) -> DataFrame:
     ahead = F.lead(number).over(Window.partitionBy(*keys).orderBy(number))
     holes = present.withColumn("__next", ahead).where((F.col("__next") - F.col(number)).between(2, most + 1))
     return holes.select(*keys, F.col(number).alias("after"), F.explode(F.sequence(F.col(number) + 1, F.col("__next") - 1)).alias("missing"))
+
+
+def previous(rows: DataFrame, keys: list[str], order: str, value: Column, name: str, block: int = 1 << 14) -> DataFrame:
+    """Adds `name`: `value` of the row before in the `order` (an integer, unique per key) of the same keys, null for the first.
+
+    Neighbours are found within blocks of `block` order values; the first row of a block looks at the last of the block
+    before it, of which there is one row a block. Keys are compared as they stand; a null key is a group of its own.
+    """
+    cut = rows.withColumns({"__block": F.floor(F.col(order) / block), "__held": F.struct(value.alias("v"))})
+    lasts = cut.groupBy(*keys, "__block").agg(F.max_by("__held", order).alias("__last"))
+    before = F.lag("__last").over(Window.partitionBy(*keys).orderBy("__block"))
+    ends = lasts.withColumn("__before", before).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__block").alias("__at"), "__before")
+    near = cut.withColumn("__near", F.lag("__held").over(Window.partitionBy(*keys, "__block").orderBy(order)))
+    joined = near.join(ends, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("__block") == F.col("__at")], "left")
+    found = joined.withColumn(name, F.coalesce("__near", "__before")["v"])
+    return found.drop("__block", "__held", "__near", "__at", "__before", *[f"__{k}" for k in keys])

@@ -22,10 +22,8 @@ def _current(spark, d, *columns):
 
 # Trees ---------------------------------------------------------------------------------------------------------------
 def tree_prev_sibling(spark, d):
-    from pyspark.sql import Window
-
     rows = _current(spark, d, "doc_id", "parent_id").where("parent_id IS NOT NULL")
-    return rows.select("id", F.lag("id").over(Window.partitionBy("doc_id", "parent_id").orderBy("id")).alias("previous_id"))
+    return ordered.previous(rows, ["doc_id", "parent_id"], "id", F.col("id"), "previous_id").select("id", "previous_id")
 
 
 def tree_leaf(spark, d):

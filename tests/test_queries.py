@@ -4,10 +4,10 @@ import os
 
 import pytest
 
-from rulegrid.plans import problems, reference
+from rulegrid.plans import problems, reference, surveys
 
 duckdb = pytest.importorskip("duckdb")
-CORE = {**problems.QUERIES, **reference.QUERIES}
+CORE = {**problems.QUERIES, **reference.QUERIES, **surveys.QUERIES}
 
 
 def plain(value):

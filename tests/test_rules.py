@@ -106,6 +106,8 @@ def test_running_sum_and_gaps(spark):
     df = spark.createDataFrame([("a", i, i if i % 3 else None) for i in range(40)] + [("b", 7, 5), (None, 1, 2)], "k string, o int, v int")
     got = {(r.k, r.o): r.s for r in ordered.running_sum(df, ["k"], "o", F.col("v"), "s", block=8).collect()}
     assert got == {**{("a", i): sum(j for j in range(i) if j % 3) for i in range(40)}, ("b", 7): 0, (None, 1): 0}
+    back = {(r.k, r.o): r.p for r in ordered.previous(df, ["k"], "o", F.col("v"), "p", block=8).collect()}
+    assert back == {**{("a", i): (i - 1 if (i - 1) % 3 else None) if i else None for i in range(40)}, ("b", 7): None, (None, 1): None}
     holes = ordered.gaps(spark.createDataFrame([("a", 1), ("a", 3), ("a", 9), ("a", 3), ("a", None)], "k string, n int"), ["k"], "n", 3)
     assert [(r.after, r.missing) for r in holes.collect()] == [(1, 2)]
 
