@@ -180,11 +180,13 @@ def p1_found(spark, d):
 
 
 def p1_hierarchy(spark, d):
-    return hierarchy.hierarchy(table(spark, d, "source_clauses")).drop("entry", "exit")
+    trees = hierarchy.hierarchy(table(spark, d, "source_clauses")).drop("entry", "exit")
+    return trees.withColumns({c: trees[c].cast("int") for c in ("id", "root", "cycle_id")})
 
 
 def p1_descendants(spark, d):
-    return hierarchy.closure(table(spark, d, "source_clauses"))
+    pairs = hierarchy.closure(table(spark, d, "source_clauses"))
+    return pairs.selectExpr("ancestor_id", "CAST(descendant_id AS INT) AS descendant_id", "CAST(distance AS BIGINT) AS distance")
 
 
 def _limits(spark, d):

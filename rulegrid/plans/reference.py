@@ -46,17 +46,17 @@ def tree_gap_audit(spark, d):
 
 def tree_path(spark, d):
     label = F.coalesce("clause_no", "heading")
-    return hierarchy.inherited(table(spark, d, "source_clauses"), label, F.col("container")).select("id", "path")
+    return hierarchy.inherited(table(spark, d, "source_clauses"), label, F.col("container")).select(F.col("id").cast("int").alias("id"), "path")
 
 
 def aud_stamp_tree(spark, d):
     out = hierarchy.inherited(table(spark, d, "source_clauses"), F.col("id"), F.col("audience_id"))
-    return out.select("id", F.col("value").cast("int").alias("audience_id"), F.col("holder").alias("from_id"), "distance").where("from_id IS NOT NULL")
+    return out.select(F.col("id").cast("int").alias("id"), F.col("value").cast("int").alias("audience_id"), F.col("holder").alias("from_id"), "distance").where("from_id IS NOT NULL")
 
 
 def lnk_container(spark, d):
     out = hierarchy.inherited(table(spark, d, "source_clauses"), F.col("id"), F.col("container"))
-    return out.select("id", F.col("value").alias("container")).where("container IS NOT NULL")
+    return out.select(F.col("id").cast("int").alias("id"), F.col("value").alias("container")).where("container IS NOT NULL")
 
 
 _WALKED = f"""
@@ -277,13 +277,13 @@ def _near(spark, d, k=10):
 
 
 def res_knn(spark, d):
-    return _near(spark, d).select("query_id", "id", F.round("distance", 4).alias("distance"), "rank")
+    return _near(spark, d).select("query_id", "id", F.round("distance", 4).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
 def res_radius(spark, d):
     rows = _register(spark, d)
     near = resolution.nearest(rows.select(F.col("id").alias("query_id"), "data_type", "vector"), rows.select("id", "data_type", "vector"), 3, 0.35)
-    return near.select("query_id", "id", "rank")
+    return near.select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
 def res_bands(spark, d):
