@@ -1,8 +1,12 @@
 """Problem 6: the most similar vectors of every vector.
 
-Unit vectors are projected on M directions with a 2-stable (Gaussian) law and kept as M signed bytes. A kd-tree over
+`nearest` gives the k most similar rows of every row, however far they are, and is exact: blocks of BLOCK rows are
+compared pair by pair. The k-th similarity of a row within its own block is its bound, and in the other blocks only
+what reaches that bound is kept.
+
+`similar` gives only those of a least similarity, and is approximate. Unit vectors are projected on M directions with a 2-stable (Gaussian) law and kept as M signed bytes. A kd-tree over
 the projections, its medians fitted on a bounded sample, assigns every row to a leaf. Each row then visits leaves in
-order of their projected distance for as long as that is within `reach`, which finds a pair if either of its rows
+order of their projected distance for as long as that is within `reach`, a constant, which finds a pair if either of its rows
 reaches the other's leaf. In a leaf, projected neighbours are taken up to the radius at which the chi-square test
 says that a row within the distance wanted would have been met with probability STOP: the squared projected distance
 of rows at distance d follows d^2 * chi-square with M degrees of freedom. What passes is verified exactly.
@@ -34,6 +38,11 @@ REACH = 0.6
 #: Fixed value: the 0.999 quantile of chi-square with 40 degrees of freedom.
 STOP_QUANTILE = 73.40
 SALTS = 32
+#: Rows of a block of the exact search, and of the tile of a block pair that is held at a time.
+BLOCK = 24_576
+TILE = (512, 2048)
+#: More than single precision can be off in a similarity; what is that near a bound is decided in double precision.
+MARGIN = 4e-6
 
 
 def _directions() -> np.ndarray:
@@ -70,6 +79,21 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("created_at"), pa.array(keys.view("i8")), pa.array(code, pa.binary())], ["id", "created_at", "key", "code"])
 
 
+def _scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What _sketch gives, with the vector in place of its projection: single precision, scaled by a power of two."""
+    for batch in batches:
+        (sketch,) = _sketch(iter([batch]))
+        sizes = batch.column("embedding").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        usable = sketch.column("code").is_valid().to_numpy(zero_copy_only=False) & (sizes == DIMS)
+        flat = pa.compute.list_flatten(batch.column("embedding").take(pa.array(np.flatnonzero(usable))))
+        x = flat.to_numpy(zero_copy_only=False).astype("f8").reshape(-1, DIMS)
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None]).astype("f4")
+        code: list[bytes | None] = [None] * batch.num_rows
+        for i, row in zip(np.flatnonzero(usable).tolist(), x):
+            code[i] = row.tobytes()
+        yield pa.RecordBatch.from_arrays([*sketch.columns[:3], pa.array(code, pa.binary())], ["id", "created_at", "key", "vector"])
+
+
 class Tree:
     """A kd-tree of a given depth: at each node the projection of greatest spread is halved at its median."""
 
@@ -148,8 +172,133 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.minimum(sim, 1.0))], ["a", "b", "similarity"])
 
 
+def _by_direction(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows by what is read of them; the latest usable row of each id with its direction; the k + 1 first ids of each direction."""
+    raw = vectors.where("id IS NOT NULL").select("id", "created_at", "embedding")
+    latest = (
+        raw.mapInArrow(_sketch, "id long, created_at timestamp, key long, code binary")
+        .groupBy("id").agg(F.max(F.struct("created_at", "key", "code")).alias("v")).select("id", "v.key", "v.code").where("code IS NOT NULL")
+    )
+    latest = checkpointed(latest)
+    by_key = Window.partitionBy("key").orderBy("id")
+    heads = checkpointed(latest.withColumn("place", F.row_number().over(by_key)).where(F.col("place") <= k + 1))
+    return raw, latest, heads
+
+
+def _to_rows(both: DataFrame, latest: DataFrame, heads: DataFrame, k: int) -> DataFrame:
+    """Every row's k most similar rows from (a, b, similarity) of directions, both ways round."""
+    # Back from directions to rows. A direction of more than k rows fills its rows' lists by itself.
+    group = heads.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    first = F.element_at("ids", 1)
+    small = group.where(F.size("ids") <= k).select(first.alias("a"), F.explode("ids").alias("id"))
+    other = both.join(small, "a").join(group.select(first.alias("b"), "ids"), "b").select("id", F.explode("ids").alias("neighbour_id"), "similarity")
+    several = fan_out(group.where(F.size("ids") > 1).select("key", "ids"), SALTS)
+    own = latest.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(several, ["key", "salt"]).select("id", F.explode("ids").alias("neighbour_id"), F.lit(1.0).alias("similarity"))
+    every = other.unionByName(own).where("id <> neighbour_id")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour_id"))
+    return every.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _units(vectors: pd.Series) -> np.ndarray:
+    x = np.frombuffer(b"".join(vectors), "f4").reshape(len(vectors), DIMS).astype("f8")
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _best(row: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k of each row by similarity, then id."""
+    order = np.lexsort((ids, -sims, row))
+    row, ids, sims = row[order], ids[order], sims[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], ids[keep], sims[keep]
+
+
+def _lists(rows: int, row: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    ends = np.searchsorted(row, np.arange(1, rows))
+    return np.split(ids, ends), np.split(sims, ends)
+
+
+def _within(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of one block: each row's k most similar rows in it and the similarity that others must reach."""
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        unit, ids = _units(pdf["vector"]), pdf["id"].to_numpy()
+        single, n, width = unit.astype("f4"), len(pdf), 64
+        bound, near, sims = np.full(n, -2.0), [], []
+        for start in range(0, n, 256):
+            part = single[start : start + 256] @ single.T
+            size = len(part)
+            part[np.arange(size), start + np.arange(size)] = -2
+            # The k-th largest of the maxima of stretches is reached by at least k rows.
+            least = np.full(size, -1.5, "f4")
+            if n // width >= k:
+                tops = part[:, : n // width * width].reshape(size, -1, width).max(2)
+                least = np.partition(tops, -k, axis=1)[:, -k] - np.float32(MARGIN)
+            row, col = np.nonzero(part >= np.maximum(least, -1.5)[:, None])
+            row, neighbour, sim = _best(row, ids[col], (unit[start + row] * unit[col]).sum(1), k)
+            full = np.flatnonzero(np.bincount(row, minlength=size) == k)
+            bound[start + full] = sim[np.searchsorted(row, full, "right") - 1]
+            a, b = _lists(size, row, neighbour, sim)
+            near, sims = near + a, sims + b
+        return pd.DataFrame({"id": ids, "block": pdf["block"], "vector": pdf["vector"], "bound": bound, "near": near, "sims": sims})
+
+    return match
+
+
+def _across(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of two blocks: for each row of either the rows of the other that reach its bound, the k most similar of them."""
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block", kind="stable")
+        ids, unit = pdf["id"].to_numpy(), _units(pdf["vector"])
+        single, least = unit.astype("f4"), (pdf["bound"].to_numpy() - MARGIN).astype("f4")
+        half = int((pdf["block"] == pdf["block"].iloc[0]).sum())
+        held = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0)
+        for i in range(0, half, TILE[0]):
+            found = [held]
+            for j in range(half, len(pdf), TILE[1]):
+                part = single[i : min(i + TILE[0], half)] @ single[j : j + TILE[1]].T
+                up, down = part >= least[i : i + len(part), None], part >= least[None, j : j + part.shape[1]]
+                at = np.flatnonzero(up | down)
+                up, down = up.ravel()[at], down.ravel()[at]
+                a, b = np.divmod(at, part.shape[1])
+                a, b = a + i, b + j
+                sim = (unit[a] * unit[b]).sum(1)
+                found += [(a[up], ids[b[up]], sim[up]), (b[down], ids[a[down]], sim[down])]
+            held = _best(*map(np.concatenate, zip(*found)), k)
+        near, sims = _lists(len(ids), *held)
+        return pd.DataFrame({"id": ids, "near": near, "sims": sims})
+
+    return match
+
+
+def nearest(vectors: DataFrame, k: int = 5) -> DataFrame:
+    """(id, neighbour_id, similarity, rank): for every row its `k` most similar rows, however far they are.
+
+    vectors, unusable vectors, scale, copies and ties as in `similar`. Exact: every two rows are compared, so work grows
+    with the square of the rows and each vector is moved once per block; a task holds two blocks. Only a table of fewer
+    than k + 1 usable rows gives fewer than k.
+    """
+    raw, latest, heads = _by_direction(vectors, k)
+    reps = heads.where("place = 1").select("id")
+    blocks = max(1, -(-reps.count() // BLOCK))
+    vector = raw.mapInArrow(_scaled, "id long, created_at timestamp, key long, vector binary").where("vector IS NOT NULL")
+    one = reps.join(vector, "id").groupBy("id").agg(F.max(F.struct("created_at", "key", "vector")).alias("v"))
+    placed = one.select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "v.vector")
+    lists = "near array<long>, sims array<double>"
+    own = checkpointed(placed.groupBy("block").applyInPandas(_within(k), f"id long, block int, vector binary, bound double, {lists}"))
+    every = own.select("id", "near", "sims")
+    if blocks > 1:
+        pairs = own.select("id", "block", "vector", "bound", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).where("block <> other")
+        pairs = pairs.withColumn("pair", F.least("block", "other") * blocks + F.greatest("block", "other")).drop("other")
+        every = every.unionByName(pairs.repartition(2 * blocks * (blocks - 1), "pair").groupBy("pair").applyInPandas(_across(k), f"id long, {lists}"))
+    each = every.select(F.col("id").alias("a"), F.explode(F.arrays_zip("near", "sims")).alias("n")).select("a", F.col("n.near").alias("b"), F.least(F.col("n.sims"), F.lit(1.0)).alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
+    return _to_rows(each.withColumn("place", rank).where(F.col("place") <= k).drop("place"), latest, heads, k)
+
+
 def similar(vectors: DataFrame, k: int = 5, floor: float = 0.9) -> DataFrame:
-    """(id, neighbour_id, similarity, rank): for every row its `k` most similar rows of cosine similarity `floor` or more.
+    """(id, neighbour_id, similarity, rank): for every row its `k` most similar rows of cosine similarity `floor` or more,
+    by a search within that fixed radius; `nearest` has no floor.
 
     vectors: id, created_at, embedding. The latest row of an id counts. Unusable vectors (null, not DIMS numbers, not
     finite, all zero) have no neighbours and are none. The scale of a vector does not matter. Rows of one direction
@@ -158,14 +307,7 @@ def similar(vectors: DataFrame, k: int = 5, floor: float = 0.9) -> DataFrame:
     README for its recall against brute force.
     """
     wanted = 2 - 2 * floor
-    raw = vectors.where("id IS NOT NULL").select("id", "created_at", "embedding")
-    latest = (
-        raw.mapInArrow(_sketch, "id long, created_at timestamp, key long, code binary")
-        .groupBy("id").agg(F.max(F.struct("created_at", "key", "code")).alias("v")).select("id", "v.key", "v.code").where("code IS NOT NULL")
-    )
-    latest = checkpointed(latest)
-    by_key = Window.partitionBy("key").orderBy("id")
-    heads = checkpointed(latest.withColumn("place", F.row_number().over(by_key)).where(F.col("place") <= k + 1))
+    raw, latest, heads = _by_direction(vectors, k)
     reps = heads.where("place = 1").select("id", "code")
     sample = [r.code for r in reps.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("code").collect()]
     rows = reps.count()
@@ -180,16 +322,7 @@ def similar(vectors: DataFrame, k: int = 5, floor: float = 0.9) -> DataFrame:
     met = asked.join(one, "id").groupBy("a", "b").agg(side("a"), side("b"))
     sims = met.mapInArrow(_verify, "a long, b long, similarity double").where(F.col("similarity") >= floor)
     both = sims.unionByName(sims.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    # Back from directions to rows. A direction of more than k rows fills its rows' lists by itself.
-    group = heads.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    first = F.element_at("ids", 1)
-    small = group.where(F.size("ids") <= k).select(first.alias("a"), F.explode("ids").alias("id"))
-    other = both.join(small, "a").join(group.select(first.alias("b"), "ids"), "b").select("id", F.explode("ids").alias("neighbour_id"), "similarity")
-    several = fan_out(group.where(F.size("ids") > 1).select("key", "ids"), SALTS)
-    own = latest.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(several, ["key", "salt"]).select("id", F.explode("ids").alias("neighbour_id"), F.lit(1.0).alias("similarity"))
-    every = other.unionByName(own).where("id <> neighbour_id")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour_id"))
-    return every.withColumn("rank", rank).where(F.col("rank") <= k)
+    return _to_rows(both, latest, heads, k)
 
 
 def similar_pairs(vectors: DataFrame, k: int = 5, floor: float = 0.9) -> DataFrame:

@@ -12,7 +12,7 @@ def p6_found(spark, d):
 
 
 def p6_neighbours(spark, d):
-    return neighbours.similar(table(spark, d, "source_clauses"))
+    return neighbours.nearest(table(spark, d, "source_clauses"))
 
 
 def p7_found(spark, d):

@@ -66,3 +66,25 @@ def test_the_latest_row_of_an_id_counts(spark):
     rows = [(1, dt.datetime(2020, 1, 1), a), (1, dt.datetime(2021, 1, 1), b), (2, dt.datetime(2020, 1, 1), a), (3, dt.datetime(2020, 1, 1), b)]
     df = spark.createDataFrame(rows, "id int, created_at timestamp, embedding array<float>")
     assert [tuple(r) for r in neighbours.similar_pairs(df).collect()] == [(1, 3)]
+
+
+@pytest.mark.parametrize("block", [64, 100_000])
+def test_every_usable_row_has_its_k_most_similar_however_far(spark, monkeypatch, block):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    monkeypatch.setattr(neighbours, "TILE", (16, 48))
+    rows = sample(500)
+    rows += [(3000 + i, [x * 2.0 for x in rows[7][1]]) for i in range(8)] + [(2000, None), (2003, [0.0] * 64)]
+    usable = {i: np.asarray(v, "f8") / np.abs(v).max() for i, v in rows if v is not None and np.any(v)}
+    ids = sorted(usable)
+    x = np.stack([usable[i] / np.linalg.norm(usable[i]) for i in ids])
+    sims = np.round(x @ x.T, 9)
+    want = {i: [ids[b] for b in sorted((b for b in range(len(ids)) if b != a), key=lambda b: (-sims[a, b], ids[b]))[:5]] for a, i in enumerate(ids)}
+    got = {}
+    for r in neighbours.nearest(frame(spark, rows)).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.neighbour_id)
+    assert got == want
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None)], [(1, [1.0] * 64)]])
+def test_nothing_to_compare_without_a_floor(spark, rows):
+    assert neighbours.nearest(frame(spark, rows)).collect() == []
