@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rulegrid.functions.quantities import SCALES, read_quantity
+from rulegrid.functions.quantities import _WORDS as WORDS
+from rulegrid.functions.quantities import _words_number as words_number
+
 NORMATIVE = r"(?i)\b(?:shall|must|should|ought to|is required to|are required to|is directed to|may not)\b"
 CUES = "paragraphs?|paras?|clauses?|points?|items?|regulations?|sections?|rules?|articles?|annexures?|schedules?|forms?|tables?"
 #: Kinds of link a sentence implies, the first that matches wins.
@@ -104,6 +108,43 @@ def number_pool(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.array(*pools))))
 
 
+_NUMBER_WORD = "|".join(sorted([*WORDS, "hundred"], key=len, reverse=True))
+_SPOKEN = re.compile(rf"(?<![\w.])(?:(\d[\d,]*(?:\.\d+)?|\.\d+)|((?:{'|'.join(sorted(WORDS, key=len, reverse=True))})(?:(?:[\s-]+|\s+and\s+)(?:{_NUMBER_WORD}))*)\b)(?:[\s-]*({'|'.join(sorted(SCALES, key=len, reverse=True))})\b)?(?:\s*(%|per ?cent\b))?")
+
+
+def spoken_numbers(text: str, pool: bool = False) -> list[float]:
+    """Numbers in digits or words, times the scale beside them. For a pool also without the scale, and percents as shares."""
+    found = []
+    for digits, words, scale, percent in _SPOKEN.findall(text.lower()):
+        number = float(digits.replace(",", "")) if digits else words_number(words)[0]
+        found.append(number * SCALES[scale] if scale else number)
+        if pool:
+            found += [number] * bool(scale) + [found[-1] / 100] * bool(percent)
+    return sorted(set(found))
+
+
+def rule_literals(expression: str) -> list[float]:
+    """The numbers of a rule, without names in brackets and without strings that are not quantities."""
+    keep = lambda m: m[0][1:-1] if m[0][0] != "[" and read_quantity(m[0][1:-1]) else " "
+    return spoken_numbers(re.sub(r"\[[^\]]*\]|'[^']*'|\"[^\"]*\"", keep, expression))
+
+
+def _fidelity(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf[["id", "text"]].assign(literals=[rule_literals(x) for x in pdf["rule_expression"]], spoken=[spoken_numbers(x, pool=True) for x in pdf["text"]])
+
+
+def fidelity(rules: DataFrame) -> DataFrame:
+    """(id, unexplained): the literals of each rule that its clause's text does not account for.
+
+    rules: id, rule_expression, text. Numbers may be in digits or words and scaled on either side. Text of `attest:`
+    rules is no computable rule; null expressions or texts give nothing.
+    """
+    computable = rules.where("text IS NOT NULL AND NOT lower(ltrim(rule_expression)) LIKE 'attest%'").select("id", "rule_expression", "text")
+    read = computable.mapInPandas(_fidelity, "id int, text string, literals array<double>, spoken array<double>")
+    return read.select("id", unexplained(F.col("literals"), F.array_union(number_pool(F.col("text")), F.col("spoken"))).alias("unexplained"))
+
+
 def unexplained(literals: Column, pool: Column) -> Column:
     """The literals that neither are 0 or 1, nor stand in the pool, nor are a unit's multiple of a number that does."""
     factors = (24.0, 7.0, 30.0, 12.0, 360.0, 365.0, 1 / 24, 1 / 7, 1 / 30, 1 / 12)

@@ -421,12 +421,10 @@ def exp_lints(spark, d):
 
 def exp_fidelity(spark, d):
     """Literals of a rule that its clause's text does not account for, by number of such literals."""
-    rules_ = _rules(spark, d).where("rule_expression LIKE '[%' OR rule_expression LIKE '%since%'").select("id", "rule_expression", "source_clause_id").distinct()
+    rules_ = _rules(spark, d).select("id", "rule_expression", "source_clause_id").distinct()
     clauses = _current(spark, d, "text").select(F.col("id").alias("source_clause_id"), "text")
-    literals = F.transform(F.regexp_extract_all(F.regexp_replace("rule_expression", r"\[[^\]]*\]|'[^']*'", " "), F.lit(r"[0-9]+(,[0-9]{2,3})*(\.[0-9]+)?"), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double"))
-    joined = rules_.join(clauses, "source_clause_id").where("text IS NOT NULL")
-    left = F.size(texts.unexplained(literals, texts.number_pool(F.col("text"))))
-    return joined.groupBy(left.alias("unexplained")).agg(F.count(F.lit(1)).alias("rules"))
+    left = texts.fidelity(rules_.join(clauses, "source_clause_id"))
+    return left.groupBy(F.size("unexplained").alias("unexplained")).agg(F.count(F.lit(1)).alias("rules"))
 
 
 def res_reference_drift(spark, d):

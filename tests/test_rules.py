@@ -165,3 +165,14 @@ def test_register_reports(spark):
     r = spark.createDataFrame([(1, "[A.nw] > 1", [1]), (2, "[A.gap] > 1 AND [A.zz] > 1", [1]), (3, None, None)], "id int, rule_expression string, attribute_ids array<int>")
     assert {x.kind: x.rules for x in resolution.reference_drift(r, a).collect()} == {"unlisted": 1, "unused": 1, "unknown": 1}
     assert [(x.stem, x.entries) for x in resolution.fragmented(a).collect()] == [("net_worth", 2)]
+
+
+def test_fidelity_reads_every_computable_rule_and_number_words(spark):
+    rows = [
+        (1, "5 lakh > [Custody.deposit_balance]", "a deposit below Rs. 5,00,000 shall"), (2, "7 <= [Grievance.retper]", "kept for nine years"),
+        (3, "([Custody.uptlev] <= 34 days)", "within thirty-four days"), (4, "[A.b] <= twelve hrs", "at once"), (5, "[A.b] <= 'twelve hours'", "within twelve hours"),
+        (6, "attest: within 99 days", "at once"), (7, "[A.b] >= Rs.400,000,000", "of forty crore rupees"), (8, None, "at once"), (9, "[A.b] <= 0.25", "25 per cent of it"), (10, "[A.b] == 'class 3'", "at once"),
+    ]
+    df = spark.createDataFrame(rows, "id int, rule_expression string, text string")
+    got = {r.id: r.unexplained for r in texts.fidelity(df).collect()}
+    assert got == {1: [], 2: [7.0], 3: [], 4: [12.0], 5: [], 7: [], 9: [], 10: []}
