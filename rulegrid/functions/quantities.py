@@ -171,6 +171,81 @@ def comparisons(expression: str | None) -> list[Comparison]:
     return out
 
 
+_REVERSED = {"<=": ">=", ">=": "<=", "<": ">", ">": "<", "==": "==", "!=": "!="}
+_NEGATED = {"<=": ">", ">=": "<", "<": ">=", ">": "<=", "==": "!=", "!=": "=="}
+_SIGNS = {"≤": "<=", "≥": ">=", "≠": "!=", "<>": "!=", "=": "=="}
+
+
+def _split(text: str, joint: str) -> list[str]:
+    """Parts between connectives that stand in no brackets; the `and` of a BETWEEN joins nothing."""
+    parts, depth, last, between = [], 0, 0, False
+    for m in re.finditer(rf"[()]|\x01\d+\x01|\x02\d+\x02|\bbetween\b|{joint}", text, re.I):
+        word = m[0].lower()
+        if word in "()":
+            depth += 1 if word == "(" else -1
+        elif word == "between":
+            between |= depth == 0
+        elif depth == 0 and word[0] not in "\x01\x02":
+            if between and word in ("and", "&&"):
+                between = False
+            else:
+                parts.append(text[last : m.start()])
+                last = m.end()
+    return [*parts, text[last:]]
+
+
+def required(expression: str | None) -> list[tuple[str, Comparison]]:
+    """(operator, comparison), the attribute on the left, of every comparison of one attribute with a number that must
+    hold for the rule to hold: not below an or; a negated one is turned round. Else as `comparisons`."""
+    if not expression or expression.strip().lower().startswith("attest"):
+        return []
+    held: list[str] = []
+
+    def mask(m: re.Match[str]) -> str:
+        held.append(m[0])
+        sign = "\x01" if m[0][0] == "[" else "\x02"
+        return f"{sign}{len(held) - 1}{sign}"
+
+    def whole(text: str) -> str:
+        return re.sub(r"\x01(\d+)\x01|\x02(\d+)\x02", lambda m: held[int(m[1] or m[2])], text)
+
+    def read(text: str, negated: bool) -> list[tuple[str, Comparison]]:
+        text = text.strip()
+        while text.startswith("(") and text.endswith(")") and _closes(text):
+            text = text[1:-1].strip()
+        ors = _split(text, r"\|\||\bor\b")
+        ands = _split(text, r"&&|\band\b")
+        if len(ors) > 1:
+            # Of a negated or, each part must fail; of a plain one, no part must hold.
+            return [x for part in ors for x in read(part, True)] if negated else []
+        if len(ands) > 1:
+            return [] if negated else [x for part in ands for x in read(part, False)]
+        if m := re.match(r"not\b", text, re.I):
+            return read(text[m.end() :], not negated)
+        if re.search(r"\bbetween\b", text, re.I):
+            ends = comparisons(whole(text))
+            return [] if negated or len(ends) != 2 else list(zip((">=", "<="), ends))
+        found, signs = comparisons(whole(text)), _OP.findall(text)
+        if len(found) != 1 or len(signs) != 1:
+            return []
+        sign = _SIGNS.get(signs[0], signs[0])
+        if "\x01" not in _OP.split(text)[0]:
+            sign = _REVERSED[sign]
+        return [(_NEGATED[sign] if negated else sign, found[0])]
+
+    return read(_MASK.sub(mask, expression), False)
+
+
+def _closes(text: str) -> bool:
+    """The first bracket is closed by the last character."""
+    depth = 0
+    for at, c in enumerate(text):
+        depth += (c == "(") - (c == ")")
+        if not depth:
+            return at == len(text) - 1
+    return False
+
+
 def _bare(text: str) -> str:
     """Without `not` in front and unmatched brackets around."""
     text = re.sub(r"^\s*(?:not\b\s*)?", "", text, flags=re.I).strip()

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulegrid.functions.quantities import STATES, required
 from rulegrid.operators.orphans import clause_key, container_key, doc_key
+from rulegrid.operators.units import dictionary
 
 
 def resolved(citations: DataFrame, clauses: DataFrame) -> DataFrame:
@@ -77,6 +82,40 @@ def plain_constraints(rules: DataFrame) -> DataFrame:
     return read.withColumn("i", intervals(F.col("value"), F.col("op"))).select("rule_id", "audience_id", "attribute", "op", "value", "i.*")
 
 
+def _read_required(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [
+            (i, None if pd.isna(audience) else int(audience), op, c.category, c.name, c.function, c.number, c.unit[0] if c.unit else None, c.unit[1] if c.unit else None)
+            for i, audience, text in zip(pdf["id"], pdf["audience_id"], pdf["rule_expression"])
+            for op, c in required(text)
+        ]
+        yield pd.DataFrame(rows, columns=["rule_id", "audience_id", "op", "category", "name", "function", "number", "unit_kind", "unit_factor"]).astype({"audience_id": "Int64"})
+
+
+def full_constraints(rules: DataFrame, attributes: DataFrame) -> DataFrame:
+    """As plain_constraints, of every comparison that must hold, in whatever spelling, with values in the common unit.
+
+    Numbers may be words, scaled, with a unit or in a BETWEEN, and stand on either side; ..._since is a constraint on the
+    time passed. `attribute` is the attribute's id (the written name if the register lacks it), `since` and the kind of
+    quantity. A number without a unit anywhere is compared only with such numbers of its attribute.
+    """
+    rows = rules.where("rule_expression IS NOT NULL").select("id", "audience_id", "rule_expression").distinct()
+    read = rows.mapInPandas(_read_required, "rule_id int, audience_id int, op string, category string, name string, function string, number double, unit_kind string, unit_factor double")
+    known = read.join(dictionary(attributes), ["category", "name"], "left")
+    since = F.col("function").isNotNull()
+    units = F.create_map(*[x for name, factor in STATES["time"].items() for x in (F.lit(f"{name}s"), F.lit(float(factor)))])
+    home = F.when(since, F.lit("time")).otherwise(F.col("kind"))
+    beside = F.when(F.col("unit_kind") == "scale", F.when(home.isNull(), F.lit("money")).otherwise(home)).otherwise(F.col("unit_kind"))
+    own = F.when(since, F.try_element_at(units, F.col("function"))).otherwise(F.col("factor"))
+    factor = F.coalesce("unit_factor", own)
+    kind = F.when(factor.isNull(), F.lit("no unit")).otherwise(F.coalesce(beside, home))
+    who = F.coalesce(F.col("attribute_id").cast("string"), F.concat_ws(".", "category", "name"))
+    key = F.concat_ws(" ", who, F.when(since, F.lit("since")), kind)
+    value = F.round(F.col("number") * F.coalesce(factor, F.lit(1.0)), 6)
+    flat = known.select("rule_id", "audience_id", key.alias("attribute"), "op", value.alias("value")).distinct()
+    return flat.withColumn("i", intervals(F.col("value"), F.col("op"))).select("rule_id", "audience_id", "attribute", "op", "value", "i.*")
+
+
 def conflict_counts(constraints: DataFrame) -> DataFrame:
     """(rule_id, audience_id, attribute, op, value, conflicts): for each constraint the number of constraints of the
     same attribute and audience that no value can meet along with it; only where there are any.

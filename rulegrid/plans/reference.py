@@ -184,6 +184,11 @@ def con_contradictions(spark, d):
     return graph.conflict_counts(graph.plain_constraints(_rules(spark, d)))
 
 
+def con_contradictions_full(spark, d):
+    """con_contradictions over every spelling of a comparison; its SQL reads bare numbers only."""
+    return graph.conflict_counts(graph.full_constraints(_rules(spark, d), _register(spark, d)))
+
+
 def con_redundant_identity(spark, d):
     return graph.redundant(_rules(spark, d))
 
@@ -536,6 +541,7 @@ QUERIES = {
     "lnk_waiting": Query(lnk_waiting, "WITH u AS (SELECT DISTINCT id, target_doc, target_container, target_clause_no FROM unresolved_citations WHERE state = 'PENDING') SELECT target_doc, target_container, target_clause_no, count(*) AS citations FROM u GROUP BY ALL ORDER BY citations DESC, target_doc NULLS FIRST, target_container NULLS FIRST, target_clause_no NULLS FIRST LIMIT 25"),
     "con_interval_build": Query(con_interval_build, f"WITH {_PLAIN} SELECT rule_id, attribute, op, value, lo, hi, lo_open, hi_open FROM bounds"),
     "con_contradictions": Query(con_contradictions, f"WITH {_CONFLICTS} SELECT * FROM conflicts"),
+    "con_contradictions_full": Query(con_contradictions_full),
     "con_redundant_identity": Query(con_redundant_identity, "WITH r AS (SELECT DISTINCT id, lower(identity_hash) AS identity_hash FROM obligations WHERE identity_hash IS NOT NULL) SELECT identity_hash, count(*) AS rules, min(id) AS first_rule FROM r GROUP BY 1 HAVING count(*) > 1"),
     "con_subsumption": Query(con_subsumption, f"WITH {_PLAIN}, s AS (SELECT rule_id, audience_id, string_agg(DISTINCT attribute || ' ' || op || ' ' || CAST(CAST(value AS DECIMAL(30, 4)) AS VARCHAR), ' && ' ORDER BY attribute || ' ' || op || ' ' || CAST(CAST(value AS DECIMAL(30, 4)) AS VARCHAR)) AS signature FROM plain GROUP BY ALL) SELECT signature, count(*) AS rules, count(DISTINCT audience_id) AS audiences, min(rule_id) AS first_rule FROM s GROUP BY 1 HAVING count(*) > 1"),
     "con_dangling_edges": Query(con_dangling_edges, "SELECT DISTINCT id, source_clause_id, state FROM obligations WHERE source_clause_id IS NOT NULL AND source_clause_id NOT IN (SELECT id FROM source_clauses)"),

@@ -176,3 +176,23 @@ def test_fidelity_reads_every_computable_rule_and_number_words(spark):
     df = spark.createDataFrame(rows, "id int, rule_expression string, text string")
     got = {r.id: r.unexplained for r in texts.fidelity(df).collect()}
     assert got == {1: [], 2: [7.0], 3: [], 4: [12.0], 5: [], 7: [], 9: [], 10: []}
+
+
+def test_constraints_in_every_spelling_conflict_in_common_units(spark):
+    texts_ = [
+        "[Cat.Window] <= seven days", "200 <= [cat.win]", "([Cat.window] BETWEEN 5 days AND 300 hours)", "[Cat.window] >= 2 weeks OR [Cat.debt] > 1", "NOT ([Cat.window] > 10)",
+        "[Cat.debt] <= 5 lakh && days_since([Cat.window]) > 3", "Rs.600,000 <= [Cat.debt]", "months_since([Cat.window]) < 0.05", "attest: [Cat.debt] > 9 crore",
+    ]
+    rows = [(i, 1, e) for i, e in enumerate(texts_)]
+    df = spark.createDataFrame(rows, "id int, audience_id int, rule_expression string")
+    reg = spark.createDataFrame([(1, "Cat", "window", ["win"], "number", "hours", ""), (2, "Cat", "debt", None, "number", "rupees", "")], "id int, category string, canonical_name string, aliases array<string>, data_type string, unit string, description string")
+    full = graph.full_constraints(df, reg)
+    got = {(r.rule_id, r.attribute, r.op, r.value) for r in full.collect()}
+    assert got == {
+        (0, "1 time", "<=", 168.0), (1, "1 time", ">=", 200.0), (2, "1 time", ">=", 120.0), (2, "1 time", "<=", 300.0), (4, "1 time", "<=", 10.0),
+        (5, "2 money", "<=", 500000.0), (5, "1 since time", ">", 72.0), (6, "2 money", ">=", 600000.0), (7, "1 since time", "<", 36.0),
+    }
+    rows = full.collect()
+    apart = lambda x, y: x.hi < y.lo or x.hi == y.lo and (x.hi_open or y.lo_open)
+    want = {(a.rule_id, a.attribute, a.op): n for a in rows if (n := sum(a.attribute == b.attribute and (apart(a, b) or apart(b, a)) for b in rows))}
+    assert {(r.rule_id, r.attribute, r.op): r.conflicts for r in graph.conflict_counts(full).collect()} == want and len(want) == 8
