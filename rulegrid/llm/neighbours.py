@@ -1,183 +1,345 @@
 """Problem 6: the most similar vectors of every vector.
 
-`nearest` gives the k most similar rows of every row, however far they are, and is exact: blocks of BLOCK rows are
-compared pair by pair. The k-th similarity of a row within its own block is its bound, and in the other blocks only
-what reaches that bound is kept.
-
-`similar` gives only those of a least similarity, and is approximate. Unit vectors are projected on M directions with a 2-stable (Gaussian) law and kept as M signed bytes. A kd-tree over
-the projections, its medians fitted on a bounded sample, assigns every row to a leaf. Each row then visits leaves in
-order of their projected distance for as long as that is within `reach`, a constant, which finds a pair if either of its rows
-reaches the other's leaf. In a leaf, projected neighbours are taken up to the radius at which the chi-square test
-says that a row within the distance wanted would have been met with probability STOP: the squared projected distance
-of rows at distance d follows d^2 * chi-square with M degrees of freedom. What passes is verified exactly.
-
-A leaf holds about LEAF rows whatever the number of rows, so work grows as n times the number of leaves visited.
+Unit vectors are projected on M directions with a 2-stable (Gaussian) law: the squared projected distance of two rows at
+distance d follows d^2 * chi-square with M degrees of freedom. A kd-tree over the projections cuts the rows into leaves.
+A row searches its own leaf first and then the leaves whose boxes are near enough. In a leaf, rows are taken in the order
+of their projected distance and verified exactly, a few at a time, until the chi-square test holds: the next projected
+distance is one that a row nearer than the k-th best so far would exceed with probability 1 - STOP only.
+
+How far a box may be is the LEAF_STOP quantile of the distance from a row to the leaf of a simulated neighbour at the
+k-th best distance, from the same law. With a least similarity, the k-th best distance is at most that of the floor; a
+pair is then found if either of its rows reaches the leaf of the other, so the nearer of the two boxes counts.
+
+The tree has two levels, each fitted on at most about SAMPLE rows a node of the level above, so that the driver never
+holds more than two samples' worth of numbers. A leaf of more than FULL rows is searched in chunks; none is capped.
 Rows of one direction are folded into one before the search, so no number of copies can fill a leaf.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulegrid.runtime import checkpointed, fan_out
 
-DIMS, M = 64, 40
-LEAF = 1024
-#: Rows the tree's medians are fitted on; every row is indexed.
-SAMPLE = 65_536
+DIMS, M = 64, 24
+#: Rows of a leaf where a floor keeps visits few, and where a search may have to see most leaves; rows of a chunk.
+LEAF, WIDE_LEAF, FULL = 1024, 16_384, 32_768
+#: Rows a level of the tree is fitted on, and the levels' greatest depths.
+SAMPLE, DEPTHS = 16_384, (9, 9)
 STEP = 1 / 20
 SEED = 20240615
-#: Squared box distance up to which leaves are visited, as a share of the squared distance wanted.
-REACH = 0.6
-#: Fixed value: the 0.999 quantile of chi-square with 40 degrees of freedom.
-STOP_QUANTILE = 73.40
+STOP, LEAF_STOP = 0.995, 0.99
 SALTS = 32
-#: Rows of a block of the exact search, and of the tile of a block pair that is held at a time.
-BLOCK = 24_576
-TILE = (512, 2048)
-#: More than single precision can be off in a similarity; what is that near a bound is decided in double precision.
-MARGIN = 4e-6
+#: Rows verified at a time before the test is made again.
+FIRST = 64
+#: More than single precision can be off in a squared distance; what is that near a bound is decided in double precision.
+MARGIN = 1e-5
+
+
+def chi_square(p: float, degrees: int = M) -> float:
+    """The p quantile, by Wilson and Hilferty's cube."""
+    spread = 2 / (9 * degrees)
+    return degrees * (1 - spread + NormalDist().inv_cdf(p) * spread**0.5) ** 3
 
 
 def _directions() -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((DIMS, M))
 
 
-def unit_rows(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, unit vectors) of the usable ones: DIMS finite numbers, not all zero."""
+def unit_rows(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, unit vectors, vectors scaled by a power of two) of the usable ones: DIMS finite numbers, not all zero."""
     sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     keep = np.flatnonzero(sizes == DIMS)
     flat = pa.compute.list_flatten(vectors.take(pa.array(keep)))
     x = flat.to_numpy(zero_copy_only=False).astype("f8").reshape(len(keep), DIMS)
     top = np.abs(x).max(1, initial=0)
     good = np.isfinite(top) & (top > 0)
-    x = x[good] / top[good, None]
-    return keep[good], x / np.sqrt((x * x).sum(1))[:, None]
-
-
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each usable vector's direction key and byte projection; an unusable one has neither."""
-    directions = _directions()
-    for batch in batches:
-        at, unit = unit_rows(batch.column("embedding"))
-        codes = np.clip(np.rint(unit @ directions / STEP), -127, 127).astype("i1")
-        rounded = np.ascontiguousarray(np.rint(unit * 2**20).astype("i4"))
-        keys = np.zeros(batch.num_rows, "u8")
-        if len(at):
-            weights = np.random.default_rng(SEED + 1).integers(1, 2**63, DIMS, dtype="u8") | np.uint64(1)
-            mixed = (rounded.astype("i8").view("u8") * weights).sum(1, dtype="u8")
+    x, top = x[good], top[good]
+    scaled = np.ldexp(x, -np.frexp(top)[1][:, None])
+    return keep[good], scaled / np.sqrt((scaled * scaled).sum(1))[:, None], scaled.astype("f4")
+
+
+def _held(size: int, at: np.ndarray, rows: np.ndarray) -> pa.Array:
+    out: list[bytes | None] = [None] * size
+    for i, row in zip(at.tolist(), rows):
+        out[i] = row.tobytes()
+    return pa.array(out, pa.binary())
+
+
+def _sketch(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each usable vector's direction key with its byte projection or, if `whole`, the scaled vector; others have neither."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directions = _directions()
+        weights = np.random.default_rng(SEED + 1).integers(1, 2**63, DIMS, dtype="u8") | np.uint64(1)
+        for batch in batches:
+            at, unit, scaled = unit_rows(batch.column("embedding"))
+            mixed = (np.rint(unit * 2**20).astype("i8").view("u8") * weights).sum(1, dtype="u8")
+            keys = np.zeros(batch.num_rows, "u8")
             keys[at] = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        code: list[bytes | None] = [None] * batch.num_rows
-        for i, row in zip(at.tolist(), codes):
-            code[i] = row.tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("created_at"), pa.array(keys.view("i8")), pa.array(code, pa.binary())], ["id", "created_at", "key", "code"])
-
-
-def _scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What _sketch gives, with the vector in place of its projection: single precision, scaled by a power of two."""
-    for batch in batches:
-        (sketch,) = _sketch(iter([batch]))
-        sizes = batch.column("embedding").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        usable = sketch.column("code").is_valid().to_numpy(zero_copy_only=False) & (sizes == DIMS)
-        flat = pa.compute.list_flatten(batch.column("embedding").take(pa.array(np.flatnonzero(usable))))
-        x = flat.to_numpy(zero_copy_only=False).astype("f8").reshape(-1, DIMS)
-        x = np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None]).astype("f4")
-        code: list[bytes | None] = [None] * batch.num_rows
-        for i, row in zip(np.flatnonzero(usable).tolist(), x):
-            code[i] = row.tobytes()
-        yield pa.RecordBatch.from_arrays([*sketch.columns[:3], pa.array(code, pa.binary())], ["id", "created_at", "key", "vector"])
+            held = scaled if whole else np.clip(np.rint(unit @ directions / STEP), -127, 127).astype("i1")
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("created_at"), pa.array(keys.view("i8")), _held(batch.num_rows, at, held)], ["id", "created_at", "key", "held"])
+
+    return sketch
 
 
 class Tree:
-    """A kd-tree of a given depth: at each node the projection of greatest spread is halved at its median."""
+    """A kd-tree: at each node the projection of greatest spread is halved at its median. Nodes are numbered from 1."""
+
+    def __init__(self, depth: int, dim: np.ndarray, cut: np.ndarray):
+        self.depth, self.dim, self.cut = depth, dim, cut
 
-    def __init__(self, points: np.ndarray, depth: int):
-        self.depth = depth
-        self.dim = np.zeros(2**depth, "i4")
-        self.cut = np.zeros(2**depth, "f4")
+    @classmethod
+    def fitted(cls, points: np.ndarray, depth: int) -> Tree:
+        dim, cut = np.zeros(2**depth, "i4"), np.zeros(2**depth, "f4")
         held = {1: points}
         for node in range(1, 2**depth):
             mine = held.pop(node, points[:0])
             if len(mine) > 1:
-                self.dim[node] = int(mine.std(0).argmax())
-                self.cut[node] = np.median(mine[:, self.dim[node]])
-            right = mine[:, self.dim[node]] > self.cut[node]
+                dim[node] = int(mine.std(0).argmax())
+                cut[node] = np.median(mine[:, dim[node]])
+            right = mine[:, dim[node]] > cut[node]
             held[2 * node], held[2 * node + 1] = mine[~right], mine[right]
+        return cls(depth, dim, cut)
+
+    def below(self, parts: dict[int, Tree], depth: int) -> Tree:
+        """The tree with a tree of this depth under each of its leaves; a leaf without one sends all rows to the left."""
+        whole = Tree(self.depth + depth, np.zeros(2 ** (self.depth + depth), "i4"), np.full(2 ** (self.depth + depth), np.inf, "f4"))
+        whole.dim[: 2**self.depth], whole.cut[: 2**self.depth] = self.dim, self.cut
+        for leaf, part in parts.items():
+            for level in range(depth):
+                there = (2**self.depth + leaf) << level
+                whole.dim[there : there + 2**level] = part.dim[2**level : 2 ** (level + 1)]
+                whole.cut[there : there + 2**level] = part.cut[2**level : 2 ** (level + 1)]
+        return whole
+
+    def leaf(self, points: np.ndarray) -> np.ndarray:
+        node = np.ones(len(points), "i8")
+        for _ in range(self.depth):
+            node = 2 * node + (points[np.arange(len(points)), self.dim[node]] > self.cut[node])
+        return node - 2**self.depth
 
-    def visit(self, points: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, leaf, is_own) of every leaf within squared box distance `reach` of each row."""
+    def gap(self, points: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Squared distance of each point from the box of the leaf of its other."""
+        node, rows = np.ones(len(points), "i8"), np.arange(len(points))
+        gap = np.zeros(points.shape, "f4")
+        for _ in range(self.depth):
+            dim, cut = self.dim[node], self.cut[node]
+            mine, theirs = points[rows, dim], others[rows, dim] > cut
+            off = np.where((mine > cut) != theirs, np.abs(mine - cut), 0)
+            gap[rows, dim] = np.maximum(gap[rows, dim], off)
+            node = 2 * node + theirs
+        return (gap**2).sum(1)
+
+    def reach(self, points: np.ndarray, distance: float, either: bool) -> float:
+        """The LEAF_STOP quantile of the squared distance of a point to the leaf of a neighbour at this distance, of the
+        nearer of the two boxes if `either`. Neighbours are simulated by the projections' law."""
+        if not self.depth or not len(points):
+            return 0.0
+        cosine = max(-1.0, 1 - distance**2 / 2)
+        others = (cosine * points + (1 - cosine**2) ** 0.5 * np.random.default_rng(SEED + 2).standard_normal(points.shape)).astype("f4")
+        gap = self.gap(points, others)
+        return float(np.quantile(np.minimum(gap, self.gap(others, points)) if either else gap, LEAF_STOP))
+
+    def visit(self, points: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of every leaf whose box is within the row's squared reach; its own leaf first."""
         row, node = np.arange(len(points)), np.ones(len(points), "i8")
         gap, far = np.zeros((len(points), points.shape[1]), "f4"), np.zeros(len(points), "f4")
-        own = np.ones(len(points), bool)
         for _ in range(self.depth):
-            dim = self.dim[node]
-            off = points[row, dim] - self.cut[node]
+            dim, cut = self.dim[node], self.cut[node]
+            off = points[row, dim] - cut
             right = off > 0
             there = far - gap[np.arange(len(row)), dim] ** 2 + off**2
-            cross = np.flatnonzero(there <= reach)
+            cross = np.flatnonzero((there <= reach[row]) & np.isfinite(cut))
             new_gap = gap[cross]
             new_gap[np.arange(len(cross)), dim[cross]] = off[cross]
-            far = np.concatenate([far, there[cross]])
-            gap = np.concatenate([gap, new_gap])
+            far, gap = np.concatenate([far, there[cross]]), np.concatenate([gap, new_gap])
             node = np.concatenate([2 * node + right, 2 * node[cross] + ~right[cross]])
-            own = np.concatenate([own, np.zeros(len(cross), bool)])
             row = np.concatenate([row, row[cross]])
-        return row, node - 2**self.depth, own
+        return row, node - 2**self.depth
 
 
 def _points(codes: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(codes), "i1").reshape(len(codes), M).astype("f4") * np.float32(STEP)
 
 
-def _visitor(tree: Tree, reach: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _units(vectors: pd.Series) -> np.ndarray:
+    x = np.frombuffer(b"".join(vectors), "f4").reshape(len(vectors), DIMS).astype("f8")
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _fitter(depth: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = Tree.fitted(_points(pdf["code"]), depth)
+        return pd.DataFrame({"leaf": pdf["leaf"].iloc[:1], "dim": [tree.dim.astype("i1").tobytes()], "cut": [tree.cut.tobytes()]})
+
+    return fit
+
+
+def _leaves_of(tree: Tree) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            row, leaf, own = tree.visit(_points(pdf["code"]), reach)
-            yield pd.DataFrame({"leaf": leaf.astype("i4"), "own": own, "id": pdf["id"].to_numpy()[row], "code": pdf["code"].to_numpy()[row]})
+            yield pdf.assign(leaf=tree.leaf(_points(pdf["code"])).astype("i4") if len(pdf) else np.zeros(0, "i4"))
+
+    return place
+
+
+def _part(share: Column) -> Column:
+    """A part of the rows by the hash of their id."""
+    return F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)
 
-    return visits
 
+def grown(rows: DataFrame, count: int, leaf: int) -> tuple[Tree, np.ndarray]:
+    """A tree with leaves of about `leaf` of the rows (id, code), and the points its upper level was fitted on."""
+    depth = max(0, int(np.ceil(np.log2(max(1, count) / leaf))))
+    upper, lower = min(depth, DEPTHS[0]), min(max(0, depth - DEPTHS[0]), DEPTHS[1])
+    sample = [r.code for r in rows.where(_part(F.lit(min(1.0, SAMPLE / max(1, count))))).orderBy("id").select("code").collect()]
+    points = _points(pd.Series(sample, dtype=object)) if sample else np.zeros((0, M), "f4")
+    tree = Tree.fitted(points, upper)
+    if lower:
+        placed = rows.mapInPandas(_leaves_of(tree), "id long, code binary, leaf int")
+        held = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+        some = placed.join(held, "leaf").where(_part(F.lit(float(SAMPLE)) / F.col("n"))).select("leaf", "code")
+        fits = some.groupBy("leaf").applyInPandas(_fitter(lower), "leaf int, dim binary, cut binary").collect()
+        tree = tree.below({r.leaf: Tree(lower, np.frombuffer(r.dim, "i1").astype("i4"), np.frombuffer(r.cut, "f4")) for r in fits}, lower)
+    return tree, points
 
-def _matcher(radius: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        points, ids, own = _points(pdf["code"]), pdf["id"].to_numpy(), pdf["own"].to_numpy()
-        base, base_ids = points[own], ids[own]
-        square = (base**2).sum(1)
-        found = []
-        for start in range(0, len(points), 4096):
-            part = points[start : start + 4096]
-            near = (part**2).sum(1)[:, None] + square[None, :] - 2 * part @ base.T <= radius
-            a, b = np.nonzero(near)
-            a, b = ids[start + a], base_ids[b]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b])
-        both = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pd.DataFrame({"a": both[0], "b": both[1]})
 
-    return match
+def chunks_of(leaves: DataFrame) -> dict[int, int]:
+    """leaf -> number of chunks, of the leaves with more than FULL rows; at most one entry a leaf."""
+    return {r.leaf: -(-r.n // FULL) for r in leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FULL).collect()}
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at_a, unit_a = unit_rows(batch.column("va"))
-        at_b, unit_b = unit_rows(batch.column("vb"))
-        sim = np.full(batch.num_rows, -1.0)
-        both, i, j = np.intersect1d(at_a, at_b, return_indices=True)
-        sim[both] = (unit_a[i] * unit_b[j]).sum(1)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.minimum(sim, 1.0))], ["a", "b", "similarity"])
+def _visitor(tree: Tree, chunks: dict[int, int], away: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Adds leaf and chunk: one row per chunk of each leaf within the row's `reach`, without its own leaf if `away`."""
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            row, leaf = tree.visit(_points(pdf["code"]), pdf["reach"].to_numpy("f8"))
+            if away:
+                row, leaf = row[len(pdf) :], leaf[len(pdf) :]
+            times = np.array([chunks.get(x, 1) for x in leaf.tolist()], "i8") if chunks else np.ones(len(leaf), "i8")
+            chunk = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            out = pdf.iloc[np.repeat(row, times)].drop(columns="reach").reset_index(drop=True)
+            yield out.assign(leaf=np.repeat(leaf, times).astype("i4"), chunk=chunk.astype("i4"))
+
+    return visits
+
+
+def _placed(tree: Tree, chunks: dict[int, int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Adds the row's own leaf and chunk."""
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            leaf = tree.leaf(_points(pdf["code"])) if len(pdf) else np.zeros(0, "i8")
+            times = np.array([chunks.get(x, 1) for x in leaf.tolist()], "i8")
+            yield pdf.assign(leaf=leaf.astype("i4"), chunk=((pdf["id"].to_numpy("i8") * 2654435761 >> 7) % np.maximum(times, 1)).astype("i4"))
+
+    return place
+
+
+def _flags(radius: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Of a chunk and its visitors (codes only): which rows have another within the projected radius."""
+
+    def flag(base: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
+        if base.empty or visitors.empty:
+            return pd.DataFrame({c: pd.Series(dtype="i8") for c in ("id", "key", "leaf", "chunk", "asks")})
+        mine, ids = _points(base["code"]), base["id"].to_numpy()
+        square, asked = (mine**2).sum(1), np.zeros(len(base), bool)
+        points, asks = _points(visitors["code"]), np.zeros(len(visitors), bool)
+        who = visitors["id"].to_numpy()
+        for low in range(0, len(points), 1024):
+            part = points[low : low + 1024]
+            near = (part**2).sum(1)[:, None] + square[None, :] - 2 * part @ mine.T <= radius
+            near &= who[low : low + 1024, None] != ids[None, :]
+            asks[low : low + 1024] = near.any(1)
+            asked |= near.any(0)
+        both = pd.concat([base[asked].assign(asks=False), visitors[asks].assign(asks=True)])
+        return both[["id", "key", "asks"]].assign(leaf=base["leaf"].iloc[0], chunk=base["chunk"].iloc[0])
+
+    return flag
+
+
+def searched(base: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, limit: np.ndarray, degrees: int = M) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, similarity): of unit vectors, each query's k most similar rows other than itself within its squared
+    distance `limit`, by incremental search in the order of projected distance."""
+    directions = _directions().astype("f4")
+    stop = chi_square(STOP, degrees)
+    single = base.astype("f4")
+    mine = single @ directions
+    square = (mine**2).sum(1)
+    out_q, out_r, out_s = [], [], []
+    for low in range(0, len(queries), 256):
+        unit = queries[low : low + 256]
+        q = unit.astype("f4")
+        proj = q @ directions
+        far = (proj**2).sum(1)[:, None] + square[None, :] - 2 * proj @ mine.T
+        far[query_ids[low : low + 256, None] == ids[None, :]] = np.inf
+        best = limit[low : low + 256].astype("f8").copy()
+        take = FIRST
+        held_q, held_r, held_d = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0)
+        live = np.arange(len(q))
+        while len(live):
+            # The next rows in the order of projected distance, up to where the test holds.
+            rows = far[live]
+            upper = best[live] * stop
+            if take < rows.shape[1]:
+                edge = np.partition(rows, take - 1, axis=1)[:, take - 1]
+                upper_now = np.minimum(upper, edge)
+            else:
+                upper_now = upper
+            fresh = (rows <= upper_now[:, None]) & np.isfinite(rows)
+            far[live] = np.where(fresh, np.inf, rows)
+            if fresh.mean() > 0.05:  # many rows at once: all products in single precision first
+                fresh &= 2 - 2 * (q[live] @ single.T) <= best[live, None] + MARGIN
+            at, r = np.nonzero(fresh)
+            d = 2 - 2 * (unit[live[at]] * base[r]).sum(1)
+            good = d <= best[live[at]] + 1e-12
+            held_q, held_r, held_d = np.concatenate([held_q, live[at[good]]]), np.concatenate([held_r, r[good]]), np.concatenate([held_d, d[good]])
+            order = np.lexsort((ids[held_r], np.round(held_d, 12), held_q))
+            held_q, held_r, held_d = held_q[order], held_r[order], held_d[order]
+            place = np.arange(len(held_q)) - np.searchsorted(held_q, held_q)
+            last = place == k - 1
+            best[held_q[last]] = np.minimum(best[held_q[last]], held_d[last])
+            held_q, held_r, held_d = held_q[place < k], held_r[place < k], held_d[place < k]
+            if take >= far.shape[1]:
+                break
+            live = live[np.isfinite(far[live]).any(1) & (far[live].min(1) <= best[live] * stop)]
+            take *= 8
+        out_q.append(held_q + low)
+        out_r.append(held_r)
+        out_s.append(1 - held_d / 2)
+    return (np.concatenate(x) if x else np.zeros(0, "i8") for x in (out_q, out_r, out_s))
+
+
+def _searcher(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Of a chunk and its visitors, both with vectors: each visitor's k most similar rows of the chunk."""
+
+    def search(base: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
+        if base.empty or visitors.empty:
+            return pd.DataFrame({"a": pd.Series(dtype="i8"), "b": pd.Series(dtype="i8"), "similarity": pd.Series(dtype="f8")})
+        base = base.sort_values(["id", "vector"]).drop_duplicates("id")
+        visitors = visitors.sort_values(["id", "vector"]).drop_duplicates("id")
+        ids, who = base["id"].to_numpy(), visitors["id"].to_numpy()
+        q, r, s = searched(_units(base["vector"]), ids, _units(visitors["vector"]), who, k, visitors["furthest"].to_numpy("f8"))
+        return pd.DataFrame({"a": who[q], "b": ids[r], "similarity": np.minimum(s, 1.0)})
+
+    return search
 
 
 def _by_direction(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows by what is read of them; the latest usable row of each id with its direction; the k + 1 first ids of each direction."""
     raw = vectors.where("id IS NOT NULL").select("id", "created_at", "embedding")
     latest = (
-        raw.mapInArrow(_sketch, "id long, created_at timestamp, key long, code binary")
-        .groupBy("id").agg(F.max(F.struct("created_at", "key", "code")).alias("v")).select("id", "v.key", "v.code").where("code IS NOT NULL")
+        raw.mapInArrow(_sketch(False), "id long, created_at timestamp, key long, held binary")
+        .groupBy("id").agg(F.max(F.struct("created_at", "key", "held")).alias("v")).select("id", "v.key", F.col("v.held").alias("code")).where("code IS NOT NULL")
     )
     latest = checkpointed(latest)
     by_key = Window.partitionBy("key").orderBy("id")
@@ -185,147 +347,103 @@ def _by_direction(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, Dat
     return raw, latest, heads
 
 
-def _to_rows(both: DataFrame, latest: DataFrame, heads: DataFrame, k: int) -> DataFrame:
-    """Every row's k most similar rows from (a, b, similarity) of directions, both ways round."""
+def _to_rows(both: DataFrame, latest: DataFrame, heads: DataFrame, k: int, asked: Column) -> DataFrame:
+    """The k most similar rows of every asked row from (a, b, similarity) of directions."""
     # Back from directions to rows. A direction of more than k rows fills its rows' lists by itself.
     group = heads.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     first = F.element_at("ids", 1)
-    small = group.where(F.size("ids") <= k).select(first.alias("a"), F.explode("ids").alias("id"))
+    small = group.where(F.size("ids") <= k).select(first.alias("a"), F.explode("ids").alias("id")).where(asked)
     other = both.join(small, "a").join(group.select(first.alias("b"), "ids"), "b").select("id", F.explode("ids").alias("neighbour_id"), "similarity")
     several = fan_out(group.where(F.size("ids") > 1).select("key", "ids"), SALTS)
-    own = latest.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(several, ["key", "salt"]).select("id", F.explode("ids").alias("neighbour_id"), F.lit(1.0).alias("similarity"))
+    own = latest.where(asked).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(several, ["key", "salt"]).select("id", F.explode("ids").alias("neighbour_id"), F.lit(1.0).alias("similarity"))
     every = other.unionByName(own).where("id <> neighbour_id")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour_id"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("similarity", 12)), "neighbour_id"))
     return every.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _units(vectors: pd.Series) -> np.ndarray:
-    x = np.frombuffer(b"".join(vectors), "f4").reshape(len(vectors), DIMS).astype("f8")
-    return x / np.sqrt((x * x).sum(1))[:, None]
+_VISIT = "id long, key long, code binary, leaf int, chunk int"
+_PAIR = "a long, b long, similarity double"
 
 
-def _best(row: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first k of each row by similarity, then id."""
-    order = np.lexsort((ids, -sims, row))
-    row, ids, sims = row[order], ids[order], sims[order]
-    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-    return row[keep], ids[keep], sims[keep]
-
-
-def _lists(rows: int, row: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    ends = np.searchsorted(row, np.arange(1, rows))
-    return np.split(ids, ends), np.split(sims, ends)
-
-
-def _within(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Of one block: each row's k most similar rows in it and the similarity that others must reach."""
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        unit, ids = _units(pdf["vector"]), pdf["id"].to_numpy()
-        single, n, width = unit.astype("f4"), len(pdf), 64
-        bound, near, sims = np.full(n, -2.0), [], []
-        for start in range(0, n, 256):
-            part = single[start : start + 256] @ single.T
-            size = len(part)
-            part[np.arange(size), start + np.arange(size)] = -2
-            # The k-th largest of the maxima of stretches is reached by at least k rows.
-            least = np.full(size, -1.5, "f4")
-            if n // width >= k:
-                tops = part[:, : n // width * width].reshape(size, -1, width).max(2)
-                least = np.partition(tops, -k, axis=1)[:, -k] - np.float32(MARGIN)
-            row, col = np.nonzero(part >= np.maximum(least, -1.5)[:, None])
-            row, neighbour, sim = _best(row, ids[col], (unit[start + row] * unit[col]).sum(1), k)
-            full = np.flatnonzero(np.bincount(row, minlength=size) == k)
-            bound[start + full] = sim[np.searchsorted(row, full, "right") - 1]
-            a, b = _lists(size, row, neighbour, sim)
-            near, sims = near + a, sims + b
-        return pd.DataFrame({"id": ids, "block": pdf["block"], "vector": pdf["vector"], "bound": bound, "near": near, "sims": sims})
-
-    return match
-
-
-def _across(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Of two blocks: for each row of either the rows of the other that reach its bound, the k most similar of them."""
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block", kind="stable")
-        ids, unit = pdf["id"].to_numpy(), _units(pdf["vector"])
-        single, least = unit.astype("f4"), (pdf["bound"].to_numpy() - MARGIN).astype("f4")
-        half = int((pdf["block"] == pdf["block"].iloc[0]).sum())
-        held = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0)
-        for i in range(0, half, TILE[0]):
-            found = [held]
-            for j in range(half, len(pdf), TILE[1]):
-                part = single[i : min(i + TILE[0], half)] @ single[j : j + TILE[1]].T
-                up, down = part >= least[i : i + len(part), None], part >= least[None, j : j + part.shape[1]]
-                at = np.flatnonzero(up | down)
-                up, down = up.ravel()[at], down.ravel()[at]
-                a, b = np.divmod(at, part.shape[1])
-                a, b = a + i, b + j
-                sim = (unit[a] * unit[b]).sum(1)
-                found += [(a[up], ids[b[up]], sim[up]), (b[down], ids[a[down]], sim[down])]
-            held = _best(*map(np.concatenate, zip(*found)), k)
-        near, sims = _lists(len(ids), *held)
-        return pd.DataFrame({"id": ids, "near": near, "sims": sims})
-
-    return match
-
-
-def nearest(vectors: DataFrame, k: int = 5) -> DataFrame:
-    """(id, neighbour_id, similarity, rank): for every row its `k` most similar rows, however far they are.
-
-    vectors, unusable vectors, scale, copies and ties as in `similar`. Exact: every two rows are compared, so work grows
-    with the square of the rows and each vector is moved once per block; a task holds two blocks. Only a table of fewer
-    than k + 1 usable rows gives fewer than k.
-    """
-    raw, latest, heads = _by_direction(vectors, k)
-    reps = heads.where("place = 1").select("id")
-    blocks = max(1, -(-reps.count() // BLOCK))
-    vector = raw.mapInArrow(_scaled, "id long, created_at timestamp, key long, vector binary").where("vector IS NOT NULL")
-    one = reps.join(vector, "id").groupBy("id").agg(F.max(F.struct("created_at", "key", "vector")).alias("v"))
-    placed = one.select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "v.vector")
-    lists = "near array<long>, sims array<double>"
-    own = checkpointed(placed.groupBy("block").applyInPandas(_within(k), f"id long, block int, vector binary, bound double, {lists}"))
-    every = own.select("id", "near", "sims")
-    if blocks > 1:
-        pairs = own.select("id", "block", "vector", "bound", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).where("block <> other")
-        pairs = pairs.withColumn("pair", F.least("block", "other") * blocks + F.greatest("block", "other")).drop("other")
-        every = every.unionByName(pairs.repartition(2 * blocks * (blocks - 1), "pair").groupBy("pair").applyInPandas(_across(k), f"id long, {lists}"))
-    each = every.select(F.col("id").alias("a"), F.explode(F.arrays_zip("near", "sims")).alias("n")).select("a", F.col("n.near").alias("b"), F.least(F.col("n.sims"), F.lit(1.0)).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
-    return _to_rows(each.withColumn("place", rank).where(F.col("place") <= k).drop("place"), latest, heads, k)
+def _whole(raw: DataFrame) -> DataFrame:
+    return raw.mapInArrow(_sketch(True), "id long, created_at timestamp, key long, held binary").where("held IS NOT NULL").select("id", "key", F.col("held").alias("vector"))
 
 
 def similar(vectors: DataFrame, k: int = 5, floor: float = 0.9) -> DataFrame:
-    """(id, neighbour_id, similarity, rank): for every row its `k` most similar rows of cosine similarity `floor` or more,
-    by a search within that fixed radius; `nearest` has no floor.
+    """(id, neighbour_id, similarity, rank): for every row its `k` most similar rows of cosine similarity `floor` or more.
 
-    vectors: id, created_at, embedding. The latest row of an id counts. Unusable vectors (null, not DIMS numbers, not
-    finite, all zero) have no neighbours and are none. The scale of a vector does not matter. Rows of one direction
-    have similarity 1; ties are ordered by the smaller neighbour id. A row with fewer than k such neighbours has fewer
-    rows; an empty table gives an empty result. A lower `floor` visits more leaves. The search is approximate: see
+    vectors: id, created_at, embedding. The latest row of an id counts; of several latest ones one by a fixed rule.
+    Unusable vectors (null, not DIMS numbers, not finite, all zero) have no neighbours and are none. The scale of a vector
+    does not matter. Rows of one direction have similarity 1; ties are ordered by the smaller neighbour id. A row with
+    fewer than k such neighbours has fewer rows; an empty table gives an empty result. The search is approximate: see
     README for its recall against brute force.
+
+    Codes alone travel to the leaves first; vectors follow only for the rows that have another within the projected
+    radius of the floor there, and are searched and verified in the leaf.
     """
     wanted = 2 - 2 * floor
     raw, latest, heads = _by_direction(vectors, k)
-    reps = heads.where("place = 1").select("id", "code")
-    sample = [r.code for r in reps.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("code").collect()]
-    rows = reps.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, rows) / LEAF))))
-    tree = Tree(_points(pd.Series(sample)) if sample else np.zeros((0, M), "f4"), depth)
-    visits = reps.mapInPandas(_visitor(tree, REACH * wanted), "leaf int, own boolean, id long, code binary")
-    pairs = visits.groupBy("leaf").applyInPandas(_matcher(wanted * STOP_QUANTILE), "a long, b long").distinct()
-    # The vectors are moved once: each pair asks for its two, and they meet again at the pair.
-    asked = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
-    one = raw.where(F.size("embedding") == DIMS).withColumn("id", F.col("id").cast("long"))
-    side = lambda c: F.max_by(F.when(F.col("id") == F.col(c), F.col("embedding")), F.when(F.col("id") == F.col(c), F.col("created_at"))).alias(f"v{c}")
-    met = asked.join(one, "id").groupBy("a", "b").agg(side("a"), side("b"))
-    sims = met.mapInArrow(_verify, "a long, b long, similarity double").where(F.col("similarity") >= floor)
-    both = sims.unionByName(sims.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    return _to_rows(both, latest, heads, k)
+    reps = heads.where("place = 1").select("id", "key", "code")
+    tree, points = grown(reps.select("id", "code"), reps.count(), LEAF)
+    reach = tree.reach(points, wanted**0.5, either=True)
+    chunks = chunks_of(reps.select("id", "code").mapInPandas(_leaves_of(tree), "id long, code binary, leaf int")) if tree.depth else {}
+    base = reps.mapInPandas(_placed(tree, chunks), _VISIT)
+    visits = reps.withColumn("reach", F.lit(reach)).mapInPandas(_visitor(tree, chunks, False), _VISIT)
+    place = ["leaf", "chunk"]
+    flags = base.groupBy(*place).cogroup(visits.groupBy(*place)).applyInPandas(_flags(wanted * chi_square(STOP)), "id long, key long, leaf int, chunk int, asks boolean")
+    held = checkpointed(flags.join(_whole(raw), ["id", "key"]))
+    # New column identities: the two sides of a cogroup come from one frame.
+    asking = held.where("asks").toDF(*held.columns).withColumn("furthest", F.lit(wanted))
+    both = held.where("NOT asks").groupBy(*place).cogroup(asking.groupBy(*place)).applyInPandas(_searcher(k), _PAIR)
+    # A pair is found from the row whose reach is the nearer box; it counts for both.
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return _to_rows(both, latest, heads, k, F.lit(True))
 
 
 def similar_pairs(vectors: DataFrame, k: int = 5, floor: float = 0.9) -> DataFrame:
     """(id_a, id_b), the smaller first: pairs of which one is among the k most similar of the other."""
     found = similar(vectors, k, floor)
     return found.select(F.least("id", "neighbour_id").cast("int").alias("id_a"), F.greatest("id", "neighbour_id").cast("int").alias("id_b")).distinct()
+
+
+#: Squared distances for which the reach is simulated; between them the next larger counts.
+_GRID = np.linspace(0, 2, 21)[1:] ** 2
+
+
+def _reach_of(tree: Tree, points: np.ndarray) -> Column:
+    """The reach of a row by its squared k-th best distance `furthest`."""
+    out = F.lit(float("inf"))
+    for square in _GRID[::-1]:
+        out = F.when(F.col("furthest") <= float(square), tree.reach(points[:4096], float(square) ** 0.5, either=False)).otherwise(out)
+    return out
+
+
+def nearest(vectors: DataFrame, k: int = 5, asked: Column | None = None) -> DataFrame:
+    """(id, neighbour_id, similarity, rank): for every asked row its `k` most similar of all rows, however far they are.
+
+    asked: a condition on `id`; all rows by default. Vectors, copies, ties and empty tables as in `similar`. A row first
+    searches its own leaf, which gives its k-th best distance, then the leaves which that distance reaches.
+    """
+    asked = F.lit(True) if asked is None else asked
+    raw, latest, heads = _by_direction(vectors, k)
+    reps = heads.where("place = 1").select("id", "key", "code")
+    tree, points = grown(reps.select("id", "code"), reps.count(), WIDE_LEAF)
+    chunks = chunks_of(reps.select("id", "code").mapInPandas(_leaves_of(tree), "id long, code binary, leaf int")) if tree.depth else {}
+    placed = reps.join(_whole(raw), ["id", "key"])
+    base = checkpointed(placed.mapInPandas(_placed(tree, chunks), "id long, key long, code binary, vector binary, leaf int, chunk int"))
+    keys = latest.where(asked).select("key").distinct()
+    queries = base.drop("leaf", "chunk").join(keys, "key", "left_semi")
+    place, visit = ["leaf", "chunk"], "id long, key long, code binary, vector binary, furthest double, leaf int, chunk int"
+    there = base.select("id", "vector", *place)
+
+    def round_(rows: DataFrame, away: bool) -> DataFrame:
+        visits = rows.mapInPandas(_visitor(tree, chunks, away), visit).select("id", "vector", "furthest", *place)
+        return there.groupBy(*place).cogroup(visits.groupBy(*place)).applyInPandas(_searcher(k), _PAIR)
+
+    home = checkpointed(round_(queries.withColumns({"furthest": F.lit(4.0), "reach": F.lit(0.0)}), False))
+    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
+    bound = home.withColumn("place", best).where(F.col("place") == k).select(F.col("a").alias("id"), (2 - 2 * F.col("similarity")).alias("furthest"))
+    far = queries.join(bound, "id", "left").withColumn("furthest", F.coalesce("furthest", F.lit(4.0))).withColumn("reach", _reach_of(tree, points))
+    every = home.unionByName(round_(far, True)) if tree.depth else home
+    both = every.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return _to_rows(both.withColumn("place", best).where(F.col("place") <= k).drop("place"), latest, heads, k, asked)

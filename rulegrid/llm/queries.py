@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from rulegrid.llm import leakage, mixing, neighbours, pii
 from rulegrid.plans.registry import Query
 from rulegrid.runtime import table
@@ -12,7 +14,8 @@ def p6_found(spark, d):
 
 
 def p6_neighbours(spark, d):
-    return neighbours.nearest(table(spark, d, "source_clauses"))
+    """Queries are the rows whose id is divisible by 20, against all rows."""
+    return neighbours.nearest(table(spark, d, "source_clauses"), asked=F.col("id") % 20 == 0)
 
 
 def p7_found(spark, d):

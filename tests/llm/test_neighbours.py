@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rulegrid.llm import neighbours
 
@@ -68,21 +69,63 @@ def test_the_latest_row_of_an_id_counts(spark):
     assert [tuple(r) for r in neighbours.similar_pairs(df).collect()] == [(1, 3)]
 
 
-@pytest.mark.parametrize("block", [64, 100_000])
-def test_every_usable_row_has_its_k_most_similar_however_far(spark, monkeypatch, block):
-    monkeypatch.setattr(neighbours, "BLOCK", block)
-    monkeypatch.setattr(neighbours, "TILE", (16, 48))
+@pytest.mark.parametrize("leaf, full", [(64, 100_000), (100_000, 100_000), (128, 50)])
+def test_asked_rows_have_their_k_most_similar_however_far(spark, monkeypatch, leaf, full):
+    monkeypatch.setattr(neighbours, "WIDE_LEAF", leaf)
+    monkeypatch.setattr(neighbours, "FULL", full)
     rows = sample(500)
     rows += [(3000 + i, [x * 2.0 for x in rows[7][1]]) for i in range(8)] + [(2000, None), (2003, [0.0] * 64)]
     usable = {i: np.asarray(v, "f8") / np.abs(v).max() for i, v in rows if v is not None and np.any(v)}
     ids = sorted(usable)
     x = np.stack([usable[i] / np.linalg.norm(usable[i]) for i in ids])
     sims = np.round(x @ x.T, 9)
-    want = {i: [ids[b] for b in sorted((b for b in range(len(ids)) if b != a), key=lambda b: (-sims[a, b], ids[b]))[:5]] for a, i in enumerate(ids)}
+    want = {i: [ids[b] for b in sorted((b for b in range(len(ids)) if b != a), key=lambda b: (-sims[a, b], ids[b]))[:5]] for a, i in enumerate(ids) if i % 4 == 0}
     got = {}
-    for r in neighbours.nearest(frame(spark, rows)).orderBy("id", "rank").collect():
+    for r in neighbours.nearest(frame(spark, rows), asked=F.col("id") % 4 == 0).orderBy("id", "rank").collect():
         got.setdefault(r.id, []).append(r.neighbour_id)
-    assert got == want
+    assert set(got) == set(want) and all(len(g) == 5 for g in got.values())
+    assert sum(len(set(got[i]) & set(want[i])) for i in want) >= 0.93 * 5 * len(want)
+    assert got[3000] == want[3000] and got[3004] == want[3004]
+
+
+def test_a_search_stops_by_the_chi_square_test_and_misses_little():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 64))
+    x[1::3] = x[::3] + 0.3 * rng.standard_normal((1000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = np.arange(3000)
+    q, r, s = neighbours.searched(x, ids, x[:300], ids[:300], 1, np.full(300, 4.0))
+    sims = x[:300] @ x.T
+    sims[np.arange(300), np.arange(300)] = -2
+    assert (np.bincount(q, minlength=300) == 1).all() and (sims.argmax(1)[q] == r).mean() > 0.98 and np.allclose(s, sims[q, r])
+
+
+def test_levels_of_the_tree_agree_with_one_tree():
+    rng = np.random.default_rng(6)
+    points = rng.standard_normal((4000, neighbours.M)).astype("f4")
+    upper = neighbours.Tree.fitted(points, 3)
+    leaf = upper.leaf(points)
+    whole = upper.below({i: neighbours.Tree.fitted(points[leaf == i], 2) for i in range(8)}, 2)
+    one = neighbours.Tree.fitted(points, 5)
+    assert (whole.leaf(points) == one.leaf(points)).all() and np.bincount(one.leaf(points)).max() <= 126
+    row, seen = one.visit(points[:200], np.full(200, 0.5))
+    assert (seen[:200] == one.leaf(points[:200])).all() and len(set(zip(row, seen))) == len(row)
+    pairs = {(i, j) for i, j in zip(row.tolist(), seen.tolist())}
+    for j in range(0, 4000, 37):
+        gap = one.gap(points[:200], np.repeat(points[j : j + 1], 200, 0))
+        assert all(((i, int(one.leaf(points[j : j + 1])[0])) in pairs) == (gap[i] <= 0.5) for i in range(200) if abs(gap[i] - 0.5) > 1e-4)
+
+
+def test_deep_trees_and_chunks_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF", 16)
+    monkeypatch.setattr(neighbours, "FULL", 40)
+    monkeypatch.setattr(neighbours, "DEPTHS", (3, 4))
+    base = np.random.default_rng(8).standard_normal(64)
+    rows = sample(600) + [(5000 + i, (base + 1e-4 * np.random.default_rng(i).standard_normal(64)).astype("f4").tolist()) for i in range(300)]
+    want = brute(rows, 5, 0.9)
+    got = {(r.id_a, r.id_b) for r in neighbours.similar_pairs(frame(spark, rows)).collect()}
+    few = {p for p in want if p[1] < 5000}
+    assert len(got & few) >= 0.95 * len(few) and {i for p in got for i in p} >= {5000 + i for i in range(300)} and len(got) < len(want) + 1500
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, [1.0] * 64)]])
