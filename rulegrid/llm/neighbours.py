@@ -6,8 +6,8 @@ A row searches its own leaf first and then the leaves whose boxes are near enoug
 of their projected distance and verified exactly, a few at a time, until the chi-square test holds: the next projected
 distance is one that a row nearer than the k-th best so far would exceed with probability 1 - STOP only.
 
-How far a box may be is the LEAF_STOP quantile of the distance from a row to the leaf of a simulated neighbour at the
-k-th best distance, from the same law. With a least similarity, the k-th best distance is at most that of the floor; a
+How far a box may be is a quantile of the distance from a row to the leaf of a simulated neighbour at the k-th best
+distance, from the same law. With a least similarity, the k-th best distance is at most that of the floor; a
 pair is then found if either of its rows reaches the leaf of the other, so the nearer of the two boxes counts.
 
 The tree has two levels, each fitted on at most about SAMPLE rows a node of the level above, so that the driver never
@@ -30,15 +30,16 @@ from rulegrid.runtime import checkpointed, fan_out
 
 DIMS, M = 64, 24
 #: Rows of a leaf where a floor keeps visits few, and where a search may have to see most leaves; rows of a chunk.
-LEAF, WIDE_LEAF, FULL = 1024, 16_384, 32_768
+LEAF, WIDE_LEAF, FULL = 4096, 16_384, 32_768
 #: Rows a level of the tree is fitted on, and the levels' greatest depths.
 SAMPLE, DEPTHS = 16_384, (9, 9)
 STEP = 1 / 20
 SEED = 20240615
-STOP, LEAF_STOP = 0.995, 0.99
+#: Of the test in a leaf; of the boxes, for a row's k-th best distance and for a pair at the floor exactly.
+STOP, LEAF_STOP, FLOOR_STOP = 0.995, 0.99, 0.95
 SALTS = 32
-#: Rows verified at a time before the test is made again.
-FIRST = 64
+#: Rows verified first where nothing bounds a search, and the rings that follow as quantiles; the last is the test.
+FIRST, RINGS = 64, (0.01, 0.3, STOP)
 #: More than single precision can be off in a squared distance; what is that near a bound is decided in double precision.
 MARGIN = 1e-5
 
@@ -139,14 +140,14 @@ class Tree:
         return (gap**2).sum(1)
 
     def reach(self, points: np.ndarray, distance: float, either: bool) -> float:
-        """The LEAF_STOP quantile of the squared distance of a point to the leaf of a neighbour at this distance, of the
-        nearer of the two boxes if `either`. Neighbours are simulated by the projections' law."""
+        """The LEAF_STOP quantile of the squared distance of a point to the leaf of a neighbour at this distance; if
+        `either`, the FLOOR_STOP quantile of the nearer of the two boxes. Neighbours are simulated by the projections' law."""
         if not self.depth or not len(points):
             return 0.0
         cosine = max(-1.0, 1 - distance**2 / 2)
         others = (cosine * points + (1 - cosine**2) ** 0.5 * np.random.default_rng(SEED + 2).standard_normal(points.shape)).astype("f4")
         gap = self.gap(points, others)
-        return float(np.quantile(np.minimum(gap, self.gap(others, points)) if either else gap, LEAF_STOP))
+        return float(np.quantile(np.minimum(gap, self.gap(others, points)), FLOOR_STOP) if either else np.quantile(gap, LEAF_STOP))
 
     def visit(self, points: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of every leaf whose box is within the row's squared reach; its own leaf first."""
@@ -250,7 +251,7 @@ def _flags(radius: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame
 
     def flag(base: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
         if base.empty or visitors.empty:
-            return pd.DataFrame({c: pd.Series(dtype="i8") for c in ("id", "key", "leaf", "chunk", "asks")})
+            return pd.DataFrame({c: pd.Series(dtype="i8") for c in ("id", "leaf", "chunk", "asks")})
         mine, ids = _points(base["code"]), base["id"].to_numpy()
         square, asked = (mine**2).sum(1), np.zeros(len(base), bool)
         points, asks = _points(visitors["code"]), np.zeros(len(visitors), bool)
@@ -262,16 +263,15 @@ def _flags(radius: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame
             asks[low : low + 1024] = near.any(1)
             asked |= near.any(0)
         both = pd.concat([base[asked].assign(asks=False), visitors[asks].assign(asks=True)])
-        return both[["id", "key", "asks"]].assign(leaf=base["leaf"].iloc[0], chunk=base["chunk"].iloc[0])
+        return both[["id", "asks"]].assign(leaf=base["leaf"].iloc[0], chunk=base["chunk"].iloc[0])
 
     return flag
 
 
-def searched(base: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, limit: np.ndarray, degrees: int = M) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def searched(base: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, similarity): of unit vectors, each query's k most similar rows other than itself within its squared
     distance `limit`, by incremental search in the order of projected distance."""
     directions = _directions().astype("f4")
-    stop = chi_square(STOP, degrees)
     single = base.astype("f4")
     mine = single @ directions
     square = (mine**2).sum(1)
@@ -283,36 +283,28 @@ def searched(base: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids:
         far = (proj**2).sum(1)[:, None] + square[None, :] - 2 * proj @ mine.T
         far[query_ids[low : low + 256, None] == ids[None, :]] = np.inf
         best = limit[low : low + 256].astype("f8").copy()
-        take = FIRST
         held_q, held_r, held_d = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0)
-        live = np.arange(len(q))
-        while len(live):
-            # The next rows in the order of projected distance, up to where the test holds.
-            rows = far[live]
-            upper = best[live] * stop
-            if take < rows.shape[1]:
-                edge = np.partition(rows, take - 1, axis=1)[:, take - 1]
-                upper_now = np.minimum(upper, edge)
-            else:
-                upper_now = upper
-            fresh = (rows <= upper_now[:, None]) & np.isfinite(rows)
-            far[live] = np.where(fresh, np.inf, rows)
-            if fresh.mean() > 0.05:  # many rows at once: all products in single precision first
-                fresh &= 2 - 2 * (q[live] @ single.T) <= best[live, None] + MARGIN
+        done, products = np.full(len(q), -np.inf), None
+        # Rings of growing projected distance; each is verified before the test decides how far the next may go.
+        for p in RINGS:
+            upper = best * chi_square(p)
+            if p == RINGS[0] and far.shape[1] > FIRST:
+                upper = np.minimum(upper, np.partition(far, FIRST, axis=1)[:, FIRST]) if (best >= 2).any() else upper
+            fresh = (far <= upper[:, None]) & (far > done[:, None]) & np.isfinite(far)
+            done = np.maximum(done, upper)
+            if fresh.mean() > 0.005:  # many rows at once: all products in single precision first
+                products = 2 - 2 * (q @ single.T) if products is None else products
+                fresh &= products <= best[:, None] + MARGIN
             at, r = np.nonzero(fresh)
-            d = 2 - 2 * (unit[live[at]] * base[r]).sum(1)
-            good = d <= best[live[at]] + 1e-12
-            held_q, held_r, held_d = np.concatenate([held_q, live[at[good]]]), np.concatenate([held_r, r[good]]), np.concatenate([held_d, d[good]])
+            d = 2 - 2 * (unit[at] * base[r]).sum(1)
+            good = d <= best[at] + 1e-12
+            held_q, held_r, held_d = np.concatenate([held_q, at[good]]), np.concatenate([held_r, r[good]]), np.concatenate([held_d, d[good]])
             order = np.lexsort((ids[held_r], np.round(held_d, 12), held_q))
             held_q, held_r, held_d = held_q[order], held_r[order], held_d[order]
             place = np.arange(len(held_q)) - np.searchsorted(held_q, held_q)
             last = place == k - 1
             best[held_q[last]] = np.minimum(best[held_q[last]], held_d[last])
             held_q, held_r, held_d = held_q[place < k], held_r[place < k], held_d[place < k]
-            if take >= far.shape[1]:
-                break
-            live = live[np.isfinite(far[live]).any(1) & (far[live].min(1) <= best[live] * stop)]
-            take *= 8
         out_q.append(held_q + low)
         out_r.append(held_r)
         out_s.append(1 - held_d / 2)
@@ -361,7 +353,7 @@ def _to_rows(both: DataFrame, latest: DataFrame, heads: DataFrame, k: int, asked
     return every.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-_VISIT = "id long, key long, code binary, leaf int, chunk int"
+_VISIT = "id long, code binary, leaf int, chunk int"
 _PAIR = "a long, b long, similarity double"
 
 
@@ -387,11 +379,12 @@ def similar(vectors: DataFrame, k: int = 5, floor: float = 0.9) -> DataFrame:
     tree, points = grown(reps.select("id", "code"), reps.count(), LEAF)
     reach = tree.reach(points, wanted**0.5, either=True)
     chunks = chunks_of(reps.select("id", "code").mapInPandas(_leaves_of(tree), "id long, code binary, leaf int")) if tree.depth else {}
-    base = reps.mapInPandas(_placed(tree, chunks), _VISIT)
-    visits = reps.withColumn("reach", F.lit(reach)).mapInPandas(_visitor(tree, chunks, False), _VISIT)
+    codes = reps.select("id", "code")
+    base = codes.mapInPandas(_placed(tree, chunks), _VISIT)
+    visits = codes.withColumn("reach", F.lit(reach)).mapInPandas(_visitor(tree, chunks, False), _VISIT)
     place = ["leaf", "chunk"]
-    flags = base.groupBy(*place).cogroup(visits.groupBy(*place)).applyInPandas(_flags(wanted * chi_square(STOP)), "id long, key long, leaf int, chunk int, asks boolean")
-    held = checkpointed(flags.join(_whole(raw), ["id", "key"]))
+    flags = base.groupBy(*place).cogroup(visits.groupBy(*place)).applyInPandas(_flags(wanted * chi_square(STOP)), "id long, leaf int, chunk int, asks boolean")
+    held = checkpointed(flags.join(reps.select("id", "key"), "id").join(_whole(raw), ["id", "key"]))
     # New column identities: the two sides of a cogroup come from one frame.
     asking = held.where("asks").toDF(*held.columns).withColumn("furthest", F.lit(wanted))
     both = held.where("NOT asks").groupBy(*place).cogroup(asking.groupBy(*place)).applyInPandas(_searcher(k), _PAIR)
