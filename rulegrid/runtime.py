@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes up to which a side may be broadcast by an explicit hint; beyond it the join is left to the planner.
-BROADCAST_LIMIT = 64 << 20
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of the data folder."""
@@ -34,16 +32,39 @@ def session(app: str = "rulegrid", cores: int | str = "*", partitions: int = 8,
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Only where it is unset and the session is local (tests,
+    a laptop) a folder of this machine is used; on a cluster that is an error."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named:
+        return named
+    if not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir is not set; name a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="rulegrid-"))
+    return sc.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the shared folder named in spark.checkpoint.dir.
+    """Cuts the lineage by a table written to the shared folder.
 
-    Only where that setting is absent (tests, a laptop) a folder of this machine is used.
+    It is computed once (an eager checkpoint() runs the last stage twice), its columns can be pruned, and its size is
+    known to the planner. `sweep` removes a session's tables.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="rulegrid-"))
-    return df.checkpoint(eager=True)
+    path = f"{_tables(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/rulegrid-{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes the tables that `checkpointed` wrote in this session; frames built on them can no longer be read."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fan_out(df: DataFrame, salts: int, name: str = "salt") -> DataFrame:
