@@ -3,8 +3,9 @@
 A character-level bidirectional LSTM with CRF transitions (rulegrid.llm.tagger), trained in numpy from labelled spans
 (rulegrid.llm.pii_train), reads each text in windows of WINDOW characters that overlap by 2 * MARGIN. Each window is
 decoded by Viterbi; where windows overlap, a character keeps the tag of the window in which it lies further inside,
-and spans are then read off the whole text. An exact check follows: a span must contain text of the shape of its
-kind, and its ends are set by that shape.
+and spans are then read off the whole text. Every window is read. An exact check follows: where the text under a span has
+the usual shape of its kind, that shape sets its ends; any other span stands as the model found it, on word borders,
+unless it is too short for its kind. A name is dropped where it is that of a firm or a place, or only half a name.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from rulegrid.runtime import spread
 KINDS = ("email", "phone", "id_number", "address", "person_name")
 #: Tag 0 is outside; kind k has 2k+1 for its first character and 2k+2 for the others.
 TAGS = 1 + 2 * len(KINDS)
-WINDOW, MARGIN = 128, 16
-BATCH = 2048
+WINDOW, MARGIN = 512, 32
+BATCH = 512
 MODEL = Path(__file__).with_name("pii_model.npz")
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 
@@ -49,12 +50,8 @@ _FIRM_WORD = re.compile(rf"{_FIRM_WORDS}", re.I)
 _PLACE_WORD = re.compile(rf"{_STREET}|Vale|Valley|Hollow|Reach|Spur|Dock|Bay|Hill|River|Terminal", re.I)
 _WORD = re.compile(r"\w[\w'’]*\.?")
 
-#: What every mention of a shape holds: an at sign, a code or seven digits, a street word, or two capitalised words.
-_TRACE = re.compile(
-    rf"[@＠]|[(\[{{][ ]?at[ ]?[)\]}}]|[ \xa0]at[ \xa0][\w-]+(?:[ \xa0]dot[ \xa0]|\.)|\d{{4}}[ \xa0-]?[A-Za-z]\b|\d(?:[ \xa0.()\-‐‑–]{{0,4}}\d){{6}}|\b(?i:{_STREET})\b|\b[A-Z][\w'’]*\.?(?:,?[ \xa0]*\r?\n?[ \xa0]*|-)(?<=[^\w'’])[A-Z]"
-)
-#: No mention reaches further from its trace.
-_REACH = 96
+#: Least letters and digits of a span of an unusual shape.
+_LEAST = {"email": 8, "phone": 8, "id_number": 6, "address": 8}
 
 
 def _digits(text: str) -> int:
@@ -81,6 +78,22 @@ def shaped(kind: str, text: str, start: int, end: int) -> tuple[int, int] | None
     return best and best[1:]
 
 
+def standing(kind: str, text: str, start: int, end: int) -> tuple[int, int] | None:
+    """A span of no usual shape, widened to word borders and without outer punctuation; None if it is too short, or lacks
+    the digits (phone, id_number, address) or the at sign or dot, spelt or not, (email) without which it is none."""
+    while start and text[start - 1].isalnum() and text[start].isalnum():
+        start -= 1
+    while end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
+        end += 1
+    while start < end and not (text[start].isalnum() or text[start] in "+("):
+        start += 1
+    while start < end and not text[end - 1].isalnum():
+        end -= 1
+    piece = text[start:end]
+    fits = _digits(piece) >= {"phone": 7, "id_number": 4, "address": 1}.get(kind, 0) and (kind != "email" or re.search(r"[@＠]|\bat\b", piece, re.I))
+    return (start, end) if fits and sum(c.isalnum() for c in piece) >= _LEAST[kind] else None
+
+
 def person(text: str, start: int, end: int) -> tuple[int, int] | None:
     """Start and end of the name in text[start:end], on word borders, without titles; None if it is no full name or a firm's."""
     while start and (text[start - 1].isalnum() and text[start].isalnum()):
@@ -122,7 +135,7 @@ class Finder:
         """Reconciled tags of every character of each text."""
         codes = [tagger.encode(t) for t in texts]
         out = [np.zeros(len(c), "i1") for c in codes]
-        places = [(i, s) for i, t in enumerate(texts) for s in self.worth_reading(t)]
+        places = [(i, s) for i, t in enumerate(texts) for s in self.starts(len(t))]
         for at in range(0, len(places), BATCH):
             part = places[at : at + BATCH]
             grid = np.zeros((len(part), WINDOW), "u1")
@@ -142,16 +155,6 @@ class Finder:
         step = WINDOW - 2 * MARGIN
         return range(0, max(1, n - 2 * MARGIN), step) if n else range(0)
 
-    @classmethod
-    def worth_reading(cls, text: str) -> list[int]:
-        """Starts of the windows near a trace. Of any other window the exact check would reject whatever was found."""
-        near = np.zeros(len(text) + 1, "i4")
-        for m in _TRACE.finditer(text):
-            near[max(0, m.start() - _REACH)] += 1
-            near[min(len(text), m.end() + _REACH)] -= 1
-        close = np.concatenate([[0], np.cumsum(np.cumsum(near[:-1]) > 0)])
-        return [s for s in cls.starts(len(text)) if close[min(len(text), s + WINDOW)] > close[s]]
-
     def find(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         """For each text its mentions (kind, start, end) in order, none overlapping another."""
         return [self.mentions(t, tags) for t, tags in zip(texts, self.tags(texts))]
@@ -166,7 +169,7 @@ class Finder:
             while e < len(kind) and kind[e] == kind[s] and not opens[e]:
                 e += 1
             name = KINDS[kind[s] - 1]
-            hit = person(text, s, e) if name == "person_name" else shaped(name, text, s, e)
+            hit = person(text, s, e) if name == "person_name" else shaped(name, text, s, e) or standing(name, text, s, e)
             if hit:
                 spans.append((name, *hit))
         # An exact shape outranks a name; of two that overlap the longer stays.

@@ -202,9 +202,9 @@ def gradients(weights: dict[str, np.ndarray], symbols: np.ndarray, tags: np.ndar
     return float((whole - gold).sum() * scale), grads
 
 
-def train(windows: np.ndarray, tags: np.ndarray, n_tags: int, epochs: int, batch: int = 128, rate: float = 4e-3, seed: int = 5, said=None) -> dict[str, np.ndarray]:
+def train(windows: np.ndarray, tags: np.ndarray, n_tags: int, epochs: int, batch: int = 128, rate: float = 4e-3, seed: int = 5, said=None, start: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
     """Adam with a falling rate; windows and tags are (rows, time)."""
-    weights, rng = new_weights(n_tags), np.random.default_rng(seed)
+    weights, rng = start or new_weights(n_tags), np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in weights.items()}
     second = {k: np.zeros_like(v) for k, v in weights.items()}
     steps, total = 0, epochs * (len(windows) // batch)

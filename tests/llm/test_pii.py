@@ -58,17 +58,18 @@ def test_decoys(finder, text):
 
 
 def test_mentions_across_window_borders(finder):
-    for pad in range(80, 150, 7):
-        text = "The trustee shall keep records. " * 10
+    for pad in range(430, 530, 7):
+        text = "The trustee shall keep records. " * 20
         text = text[:pad] + ". Mail sent from <tarvin.ulmore@fernhill.example> bounced. The complaint of Leshna Garudani was reopened."
         assert {(k, text[s:e]) for k, s, e in finder.find([text])[0]} == {("email", "tarvin.ulmore@fernhill.example"), ("person_name", "Leshna Garudani")}
 
 
-def test_windows_passed_over_hold_nothing(finder, monkeypatch):
-    texts = ["The trustee shall keep records of all pledges. " * 20 + t for t, _, _ in HELD_OUT]
-    read = finder.find(texts)
-    monkeypatch.setattr(pii.Finder, "worth_reading", classmethod(lambda cls, text: list(cls.starts(len(text)))))
-    assert finder.find(texts) == read
+def test_every_character_is_read(finder, monkeypatch):
+    seen = []
+    monkeypatch.setattr(tagger, "scores", lambda w, x, f=tagger.scores: seen.append((x > 0).sum()) or f(w, x))
+    text = "The trustee shall keep records of all pledges. " * 40
+    finder.find([text])
+    assert sum(seen) >= len(text) and len(finder.starts(100_000)) * pii.WINDOW >= 100_000
 
 
 def test_tables(spark):
