@@ -96,12 +96,13 @@ def budget(leaves: pd.DataFrame, amount: float, levels: list[str]) -> np.ndarray
 
 def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["domain", "lang", "source"], ignore_index=True)
-    pdf["budget"] = np.floor(budget(pdf, float(pdf["total"].iloc[0]), ["domain", "lang", "source"]) + 0.5).astype("i8")
-    return pdf[["domain", "lang", "source", "tokens", "weight", "budget"]]
+    pdf["given"] = budget(pdf, float(pdf["total"].iloc[0]), ["domain", "lang", "source"])
+    pdf["budget"] = np.floor(pdf["given"] + 0.5).astype("i8")
+    return pdf[["domain", "lang", "source", "tokens", "weight", "budget", "given"]]
 
 
 def _targets(targets: DataFrame) -> DataFrame:
-    return targets.groupBy(source_label(F.col("source")).alias("source")).agg(F.first("source").alias("label"), F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).where("source IS NOT NULL")
+    return targets.groupBy(source_label(F.col("source")).alias("source")).agg(F.min("source").alias("label"), F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).where("source IS NOT NULL")
 
 
 def source_totals(counts: DataFrame, targets: DataFrame) -> DataFrame:
@@ -112,22 +113,26 @@ def source_totals(counts: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def leaf_budgets(counts: DataFrame, targets: DataFrame) -> DataFrame:
-    """(domain, lang, source, tokens, weight, budget) of every leaf of the tree that has documents and a target."""
+    """(domain, lang, source, tokens, weight, budget, given) of every leaf of the tree of targets; `given` is not rounded.
+
+    A target without documents is a leaf of no room: its weight stays in its domain, and its siblings take its share.
+    """
     domain = F.create_map(*[F.lit(x) for pair in DOMAINS.items() for x in pair])
-    totals = source_totals(counts, targets).where("tokens > 0")
-    leaves = counts.groupBy("source", "lang").agg(F.sum("tokens").alias("leaf_tokens")).where("leaf_tokens > 0").join(totals, "source")
+    totals = source_totals(counts, targets)
+    sums = counts.groupBy("source", "lang").agg(F.sum("tokens").alias("leaf_tokens")).where("leaf_tokens > 0")
+    leaves = totals.join(sums, "source", "left").withColumns({"leaf_tokens": F.coalesce("leaf_tokens", F.lit(0)), "lang": F.coalesce("lang", F.lit("und"))})
     ready = leaves.select(
         F.coalesce(F.try_element_at(domain, F.col("source")), F.col("source")).alias("domain"), "lang", "source", F.col("leaf_tokens").alias("tokens"),
-        (F.col("target_share") * F.col("leaf_tokens") / F.col("tokens")).alias("weight"),
+        (F.col("target_share") * F.coalesce(F.try_divide("leaf_tokens", "tokens"), F.lit(1.0))).alias("weight"),
         (F.col("leaf_tokens") * F.col("max_repeats")).cast("double").alias("room"), "total",
     )
     # One row per leaf of the tree: as many as there are pairs of a targeted source and a language.
-    return ready.groupBy().applyInPandas(_plan, "domain string, lang string, source string, tokens long, weight double, budget long")
+    return ready.groupBy().applyInPandas(_plan, "domain string, lang string, source string, tokens long, weight double, budget long, given double")
 
 
 def selection(counts: DataFrame, leaves: DataFrame, seed: int = SEED) -> DataFrame:
     """(doc_id, source, lang, tokens, uses): the documents of the mix and how often each is used."""
-    plan = leaves.select("source", "lang", (F.col("budget") / F.col("tokens")).cast("int").alias("epochs"), (F.col("budget") % F.col("tokens")).alias("rest"))
+    plan = leaves.where("tokens > 0").select("source", "lang", (F.col("budget") / F.col("tokens")).cast("int").alias("epochs"), (F.col("budget") % F.col("tokens")).alias("rest"))
     # The plan is a few rows, one per leaf; the planner broadcasts it by its size.
     order = F.xxhash64(F.lit(seed), "epochs", "doc_id")
     rows = counts.where("tokens > 0").join(plan, ["source", "lang"]).withColumn("order", order).withColumn("slice", F.pmod(F.shiftrightunsigned("order", 40), F.lit(SLICES)).cast("int"))
@@ -148,23 +153,32 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, se
 
     documents: doc_id, source, lang, text; targets: source, target_share, max_repeats (the most uses of a document).
     selection: doc_id, source, lang, tokens, uses. shares: source, target_share, actual_share, tokens_used, is_short,
-    is_short meaning that all uses of the source together stay below its target. Source labels match whatever the case,
+    is_short meaning that the source's budget, which is at least its target unless all its uses are given, is below it. Source labels match whatever the case,
     blanks and separators; documents of other sources, or of none, count for the size of the mix only. Null and empty
     texts have no tokens and are not selected, repeated rows count once, a target without documents is short and has
     no share. The last document of a prefix is left out where it would exceed the budget, so shares stay below by less
     than one document a leaf. Empty tables give an empty selection and, with targets, all of them short.
     """
     counts = checkpointed(token_counts(documents, tokenizer))
-    chosen = selection(counts, checkpointed(leaf_budgets(counts, targets)), seed)
+    leaves = checkpointed(leaf_budgets(counts, targets))
+    chosen = selection(counts, leaves, seed)
+    given = leaves.groupBy("source").agg(F.sum("given").alias("given"))
     used = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens_used"))
     size = used.agg(F.sum("tokens_used").alias("mix_tokens"))
-    shares = source_totals(counts, targets).join(used, "source", "left").join(F.broadcast(size))
+    shares = source_totals(counts, targets).join(used, "source", "left").join(given, "source", "left").join(F.broadcast(size))
     return chosen, shares.select(
         F.col("label").alias("source"), "target_share", F.round(F.coalesce(F.col("tokens_used") / F.col("mix_tokens"), F.lit(0.0)), 6).alias("actual_share"),
-        F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), (F.col("tokens") * F.col("max_repeats") < F.col("target_share") * F.col("total")).alias("is_short"),
+        F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), _short().alias("is_short"),
     )
 
 
+def _short() -> Column:
+    """Below the target by more than the rounding of sums."""
+    return F.coalesce("given", F.lit(0.0)) < F.col("target_share") * F.col("total") - F.lit(1e-6)
+
+
 def short_sources(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(source): the sources that stay below their target share even when used as often as allowed."""
-    return mix(documents, targets, tokenizer)[1].where("is_short").select("source")
+    """(source): the sources whose budget stays below their target share even when used as often as allowed."""
+    counts = checkpointed(token_counts(documents, tokenizer))
+    given = leaf_budgets(counts, targets).groupBy("source").agg(F.sum("given").alias("given"))
+    return source_totals(counts, targets).join(given, "source", "left").where(_short()).select(F.col("label").alias("source"))

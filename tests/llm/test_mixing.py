@@ -19,6 +19,14 @@ def test_shortages_go_to_siblings_before_ancestors():
     assert np.allclose(mixing.budget(leaves, 100, ["domain", "source"]), [10, 30, 60])
 
 
+def test_the_share_of_an_empty_source_goes_to_its_siblings(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "DOMAINS", {"a1": "a", "a2": "a", "b1": "b"})
+    counts = spark.createDataFrame([(i, s, "en", 100) for i, s in enumerate(["a1"] * 5 + ["b1"] * 5)], "doc_id long, source string, lang string, tokens long")
+    targets = spark.createDataFrame([("a1", 0.3, 9), ("a2", 0.2, 9), ("b1", 0.5, 9)], "source string, target_share double, max_repeats int")
+    got = {r.source: r for r in mixing.leaf_budgets(counts, targets).collect()}
+    assert {s: r.budget for s, r in got.items()} == {"a1": 500, "a2": 0, "b1": 500}
+
+
 def tables(spark):
     docs = [(i, "Big One", "en", "word " * 40) for i in range(100)] + [(200 + i, " small-src ", "en-IN", "word " * 40) for i in range(5)] + [(300, "other", "hi", "word " * 200), (301, None, None, None), (302, "big_one", "en", ""), (0, "Big One", "en", "word " * 40)]
     d = spark.createDataFrame(docs, "doc_id long, source string, lang string, text string").selectExpr("*", "1 AS tokens", "1 AS slice")
@@ -34,7 +42,21 @@ def test_mix(spark):
     got = {r.source: r for r in shares.collect()}
     assert got["Small Src"].is_short and got["absent"].is_short and not got["big_one"].is_short and got["absent"].actual_share == 0
     assert abs(sum(r.actual_share for r in got.values()) - 1) < 1e-5
-    assert {r.source for r in mixing.short_sources(d, t).collect()} == {"Small Src", "absent"}
+    assert {r.source for r in mixing.short_sources(d, t).collect()} == {"Small Src", "absent"} == {s for s, r in got.items() if r.is_short}
+
+
+def test_short_sources_are_those_whose_uses_fall_below_the_target(spark):
+    rng = np.random.default_rng(5)
+    for seed in range(3):
+        sizes = {s: int(n) for s, n in zip("abcdef", rng.integers(1, 400, 6))}
+        share = rng.dirichlet(np.ones(6))
+        repeats = rng.integers(1, 5, 6)
+        counts = spark.createDataFrame([(i, s, ("en", "hi")[i % 2], n) for i, (s, n) in enumerate(sizes.items())], "doc_id long, source string, lang string, tokens long")
+        targets = spark.createDataFrame([(s, float(p), int(r)) for s, p, r in zip(sizes, share, repeats)], "source string, target_share double, max_repeats int")
+        given = {r.source: r.given for r in mixing.leaf_budgets(counts, targets).collect()}
+        total = sum(sizes.values())
+        want = {s for s, p, r in zip(sizes, share, repeats) if sizes[s] * r < p * total - 1e-6}
+        assert {s for s, p in zip(sizes, share) if given[s] < p * total - 1e-6} == want
 
 
 def test_the_prefix_is_that_of_a_sort_in_one_place(spark):

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from rulegrid.llm import pii, tagger
+from rulegrid.llm import pii, pii_train, tagger
 
 
 def test_gradients_match_finite_differences():
@@ -72,6 +72,20 @@ def test_every_character_is_read(finder, monkeypatch):
     assert sum(seen) >= len(text) and len(finder.starts(100_000)) * pii.WINDOW >= 100_000
 
 
+def test_unseen_forms_are_found_where_the_usual_shapes_fail(finder):
+    """Mentions of made-up names, street words and groupings: the model finds most, the shapes by themselves few."""
+    rng, made = np.random.default_rng(123), []
+    for text, kind, begins in HELD_OUT * 6:
+        at = text.index(begins)
+        if kind in ("phone", "id_number", "address"):
+            hit = pii.shaped(kind, text, at, at + 5)
+            made.append((kind, *pii_train.renamed("The trustee shall keep records. " + text, [(kind, hit[0] + 32, hit[1] + 32)], rng)))
+    found = finder.find([t for _, t, _ in made])
+    by_model = sum(any(k == kind and a < span[0][2] and b > span[0][1] for k, a, b in f) for (kind, _, span), f in zip(made, found))
+    by_shape = sum(pii.shaped(kind, t, *span[0][1:]) == span[0][1:] for kind, t, span in made)
+    assert by_model >= 0.9 * len(made) and by_shape <= 0.7 * len(made)
+
+
 def test_tables(spark):
     text = "विवरण tarvin@fernhill.example पर भेजें। Call 07700 900123 now."
     d = spark.createDataFrame([(1, text), (1, text), (2, None), (3, ""), (None, text)], "doc_id long, text string").selectExpr("*", "'x' AS kind", "0 AS start_pos")
