@@ -3,7 +3,8 @@
 Parent keys (clauses, circulars, completed runs) and child keys (citations) are tagged and put in one long
 table (target, key). One hash aggregate per (target, key) gives the parent flag, its first arrival and whether
 any child asks for it; groups that lack the parent flag are the orphans. A hot key is one row after the map-side
-combine. Children find their group by a salted join, so a key with a third of all citations is spread as well.
+combine. Children find their group by a join; the groups that more than a HOT-th of all children ask for, fewer than HOT
+by their definition, go to the children instead, so a key with a third of all citations moves none of them.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulegrid.runtime import fan_out
+from rulegrid.runtime import checkpointed
 
-SALTS = 16
+#: Groups asked for by more than one in so many children are sent to all tasks; there can be no more of them than this.
+HOT = 1000
 
 #: Words that only label a number.
 DOC_LABELS = "CIRCULAR|CIRCULARS|CIR|CIRC|NO|NOS|NUMBER|NUM|REF|REFERENCE|DOC|DOCUMENT"
@@ -82,9 +84,14 @@ def dangling(citations: DataFrame, clauses: DataFrame, runs: DataFrame) -> DataF
     long = parents.withColumns({"parent": F.lit(True), "child": F.lit(False)}).unionByName(
         asked.select("target", "key", F.lit(None).cast("timestamp").alias("created_at"), F.lit(False).alias("parent"), F.lit(True).alias("child"))
     )
-    groups = long.groupBy("target", "key").agg(F.bool_or("parent").alias("known"), F.min(F.when(F.col("parent"), F.col("created_at"))).alias("first_at"), F.bool_or("child").alias("asked")).where("asked")
-    spread = fan_out(groups.drop("asked"), SALTS)
-    found = asked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["target", "key", "salt"])
+    groups = long.groupBy("target", "key").agg(F.bool_or("parent").alias("known"), F.min(F.when(F.col("parent"), F.col("created_at"))).alias("first_at"), F.count_if("child").alias("asked")).where("asked > 0")
+    groups = checkpointed(groups)
+    line = (groups.agg(F.sum("asked")).first()[0] or 0) // HOT
+    hot = groups.where(F.col("asked") > line).drop("asked") if line else groups.drop("asked").limit(0)
+    marked = asked.join(F.broadcast(hot.withColumnsRenamed({"known": "hot_known", "first_at": "hot_first_at"}).withColumn("hot", F.lit(True))), ["target", "key"], "left")
+    near = marked.where("hot").select("id", "target", "key", F.col("hot_known").alias("known"), F.col("hot_first_at").alias("first_at"))
+    cool = groups.where(F.col("asked") <= line).drop("asked") if line else groups.drop("asked")
+    found = near.unionByName(marked.where("hot IS NULL").select("id", "target", "key").join(cool, ["target", "key"]))
     facts = found.groupBy("id").agg(
         *[F.bool_or(F.when(F.col("target") == t, F.col("known"))).alias(f"has_{t}") for t in ("circular", "clause", "run")],
         *[F.min(F.when(F.col("target") == t, F.col("first_at"))).alias(f"first_{t}") for t in ("circular", "clause")],

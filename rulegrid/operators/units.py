@@ -1,14 +1,16 @@
 """Problem 2: one common unit for quantities recorded in different units.
 
 A hidden Markov model per attribute: the hidden state is the unit a limit is stated in, the observations are the
-limits in the order they were drafted. A unit that is stated (beside the number, by a ..._since function, or by the
-attribute) makes its state the only possible one; elsewhere the jump of the logarithm of the common value against
-the level before decides, with a price for switching. Viterbi decodes the best run of units.
-
-The sequences are range-partitioned, so that a much used attribute spans many pieces. Each piece is reduced to the
-(max, +) matrix of its best scores from entry to exit state; the few pieces of an attribute are chained by those
-matrices, which fixes the states at their borders, and each piece is decoded on its own. That equals one Viterbi
-pass over the whole sequence.
+limits in the order they were drafted. The jump of the logarithm of the common value against the level before decides,
+with a price for switching; a unit that is stated (beside the number, by a ..._since function, or by the attribute) has a
+price for any other state. Viterbi decodes the best run of units. A stated unit is taken at its word: its factor, scales
+multiplied (lakh crore), gives the common value, and where the model would rather have another unit the limit is marked
+as suspect.
+
+The sequences are range-partitioned and cut into pieces of PIECE rows, so that a much used attribute spans many. Each
+piece is reduced to the (max, +) matrices of its best scores from entry to exit state, one per attribute in it; the few
+pieces of an attribute are chained by those matrices, which fixes the states at their borders, and each piece is decoded
+on its own. That equals one Viterbi pass over the whole sequence.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from rulegrid.runtime import checkpointed
 
 #: Price of a unit switch and the spread of the level, in powers of ten.
 SWITCH, SPREAD = 2.0, 1.0
+#: Price of a state other than the stated unit: more than a switch there and back and a jump of six powers of ten.
+STATED = 40.0
+PIECE = 65_536
 _NEVER = -1e12
 
 
@@ -58,7 +63,8 @@ def dictionary(attributes: DataFrame) -> DataFrame:
     does the kind of an attribute without any unit, whose factor stays null.
     """
     kept = attributes.select("id", "category", "canonical_name", "aliases", "data_type", "unit", "description")
-    read = kept.where("id IS NOT NULL").dropDuplicates(["id"]).mapInPandas(_describe, "id int, category string, canonical_name string, aliases array<string>, data_type string, stem string, kind string, factor double")
+    once = kept.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct(*[c for c in kept.columns if c != "id"])).alias("a")).select("id", "a.*")
+    read = once.mapInPandas(_describe, "id int, category string, canonical_name string, aliases array<string>, data_type string, stem string, kind string, factor double")
     votes = read.where("kind <> 'scale'").groupBy("stem", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("stem").agg(F.max_by("kind", F.struct("n", "kind")).alias("stem_kind"))
     whole = read.join(votes, "stem", "left").withColumn(
         "kind", F.when(F.col("kind") == "scale", F.coalesce("stem_kind", F.when(F.col("factor") == 1e3, F.lit("count")).otherwise(F.lit("money")))).otherwise(F.coalesce("kind", "stem_kind"))
@@ -83,18 +89,32 @@ def observations(obligations: DataFrame, attributes: DataFrame) -> DataFrame:
     ).where("kind IS NOT NULL")
 
 
-def _factors(kind: str) -> np.ndarray:
-    return np.array(list(STATES[kind].values()))
+def _scores(kind: str, number: np.ndarray, stated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Emission and logarithm of the common value by row and state, and the state of the stated unit (-1 for none).
 
+    A stated factor that is no state's own (lakh crore) stands for the state nearest to it, at its own level.
+    """
+    factors = np.log10(np.array(list(STATES[kind].values())))
+    given = np.log10(stated)
+    free = np.isnan(given)
+    home = np.where(free, -1, np.abs(np.where(free, 0, given)[:, None] - factors).argmin(1))
+    emit = np.where(free[:, None] | (home[:, None] == np.arange(len(factors))), 0.0, -STATED)
+    size = np.log10(np.maximum(np.abs(number), 1e-9))
+    level = size[:, None] + factors
+    at = np.flatnonzero(~free)
+    level[at, home[at]] = size[at] + given[at]
+    return emit, level, home
+
+
+_ORDER = ["attribute_id", "kind", "created_at", "obligation_id", "pos"]
 
-def _scores(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Emission by row and state, logarithm of the common value by row and state, and the unit factors."""
-    factors = _factors(pdf["kind"].iloc[0])
-    stated = pdf["factor"].to_numpy("f8")
-    free = np.isnan(stated)
-    emit = np.where(free[:, None] | np.isclose(stated[:, None], factors[None, :], rtol=1e-9), 0.0, _NEVER)
-    size = np.log10(np.maximum(np.abs(pdf["number"].to_numpy("f8")), 1e-9))
-    return emit, size[:, None] + np.log10(factors)[None, :], factors
+
+def _runs(pdf: pd.DataFrame) -> Iterator[tuple[int, str, slice]]:
+    """The rows of each attribute and kind in a sorted piece."""
+    key = pdf["attribute_id"].to_numpy(), pdf["kind"].to_numpy()
+    edges = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])) + 1
+    for low, high in zip([0, *edges.tolist()], [*edges.tolist(), len(pdf)]):
+        yield int(key[0][low]), key[1][low], slice(low, high)
 
 
 def _step(level_a: np.ndarray, level_b: np.ndarray) -> np.ndarray:
@@ -104,13 +124,16 @@ def _step(level_a: np.ndarray, level_b: np.ndarray) -> np.ndarray:
 
 
 def _reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["created_at", "obligation_id", "pos"])
-    emit, level, _ = _scores(pdf)
-    k = emit.shape[1]
-    best = np.where(np.eye(k, dtype=bool), emit[0][:, None], _NEVER)
-    for t in range(1, len(pdf)):
-        best = (best[:, :, None] + _step(level[t - 1], level[t])[None]).max(1) + emit[t][None, :]
-    return pd.DataFrame({"attribute_id": pdf["attribute_id"].iloc[:1], "kind": pdf["kind"].iloc[:1], "piece": pdf["piece"].iloc[:1], "best": [best.ravel()], "first": [level[0]], "last": [level[-1]]})
+    pdf = pdf.sort_values(_ORDER, ignore_index=True)
+    number, stated, out = pdf["number"].to_numpy("f8"), pdf["factor"].to_numpy("f8"), []
+    for attribute, kind, at in _runs(pdf):
+        emit, level, _ = _scores(kind, number[at], stated[at])
+        k = emit.shape[1]
+        best = np.where(np.eye(k, dtype=bool), emit[0][:, None], _NEVER)
+        for t in range(1, len(emit)):
+            best = (best[:, :, None] + _step(level[t - 1], level[t])[None]).max(1) + emit[t][None, :]
+        out.append((attribute, kind, pdf["piece"].iloc[0], best.ravel(), level[0], level[-1]))
+    return pd.DataFrame(out, columns=["attribute_id", "kind", "piece", "best", "first", "last"])
 
 
 def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -136,44 +159,62 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"attribute_id": pdf["attribute_id"], "kind": pdf["kind"], "piece": pdf["piece"], "enter": [e for e, _ in ends], "leave": [x for _, x in ends]})
 
 
-_DECODED = "attribute_id int, obligation_id int, pos int, number double, kind string, stated boolean, unit string, common_value bigint"
+_DECODED = "attribute_id int, obligation_id int, pos int, number double, kind string, stated boolean, unit string, common_value bigint, suspect boolean"
 
 
-def _decode(pdf: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
-    if pdf.empty or ends.empty:
-        return pd.DataFrame(columns=[c.split()[0] for c in _DECODED.split(", ")])
-    pdf = pdf.sort_values(["created_at", "obligation_id", "pos"], ignore_index=True)
-    emit, level, factors = _scores(pdf)
+def _viterbi(emit: np.ndarray, level: np.ndarray, enter: int, leave: int) -> np.ndarray:
+    """The best states between a first and a last one that are known."""
     n, k = emit.shape
-    score = np.full(k, _NEVER * 10)
-    score[int(ends["enter"].iloc[0])] = 0
-    back = np.zeros((n, k), int)
+    score, back = np.full(k, _NEVER * 10), np.zeros((n, k), "i8")
+    score[enter] = 0
     for t in range(1, n):
         hop = score[:, None] + _step(level[t - 1], level[t])
         back[t], score = hop.argmax(0), hop.max(0) + emit[t]
-    states = np.empty(n, int)
-    states[-1] = int(ends["leave"].iloc[0])
+    states = np.empty(n, "i8")
+    states[-1] = leave
     for t in range(n - 1, 0, -1):
         states[t - 1] = back[t, states[t]]
-    kind = pdf["kind"].iloc[0]
-    names = np.array(list(STATES[kind]))
-    common = np.floor(pdf["number"].to_numpy("f8") * factors[states] + 0.5 + 1e-6)
-    return pd.DataFrame({"attribute_id": pdf["attribute_id"], "obligation_id": pdf["obligation_id"], "pos": pdf["pos"], "number": pdf["number"], "kind": kind, "stated": pdf["factor"].notna(), "unit": names[states], "common_value": common.astype("i8")})
+    return states
+
+
+def _decode(pdf: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+    columns = [c.split()[0] for c in _DECODED.split(", ")]
+    if pdf.empty or ends.empty:
+        return pd.DataFrame(columns=columns)
+    pdf = pdf.sort_values(_ORDER, ignore_index=True)
+    known = {(a, k): (e, x) for a, k, e, x in zip(ends["attribute_id"], ends["kind"], ends["enter"], ends["leave"])}
+    number, stated = pdf["number"].to_numpy("f8"), pdf["factor"].to_numpy("f8")
+    factor, unit, suspect = stated.copy(), np.empty(len(pdf), object), np.zeros(len(pdf), bool)
+    for attribute, kind, at in _runs(pdf):
+        emit, level, home = _scores(kind, number[at], stated[at])
+        states = _viterbi(emit, level, *known[attribute, kind])
+        own = home >= 0
+        suspect[at] = own & (states != home)
+        final = np.where(own, home, states)
+        unit[at] = np.array(list(STATES[kind]), object)[final]
+        factor[at] = np.where(own, stated[at], np.array(list(STATES[kind].values()))[final])
+    common = np.floor(number * factor + 0.5 + 1e-6).astype("i8")
+    return pd.DataFrame(dict(zip(columns, (pdf["attribute_id"], pdf["obligation_id"], pdf["pos"], number, pdf["kind"], ~np.isnan(stated), unit, common, suspect))))
 
 
 def common_units(obligations: DataFrame, attributes: DataFrame) -> DataFrame:
-    """(attribute_id, obligation_id, pos, number, kind, stated, unit, common_value) of every limit of a known kind.
+    """(attribute_id, obligation_id, pos, number, kind, stated, unit, common_value, suspect) of every limit of a known kind.
 
     obligations: id, rule_expression, obligation_type, created_at; attributes: id, category, canonical_name, data_type,
     unit, description, aliases. common_value is in hours, rupees, basis points or plain count, rounded half up.
-    `stated` is false where no unit is given anywhere and the decoded one is an inference. Null or unreadable
-    expressions give no row, repeated rows count once, unknown attribute names are left out, limits without a date sort
-    first, a number of zero has the lowest level, and an empty table gives an empty result.
+    `stated` is false where no unit is given anywhere and the decoded one is an inference; `suspect` is true where a
+    stated unit holds but the model would rather have another. Null or unreadable expressions give no row, repeated rows
+    count once, unknown attribute names are left out, limits without a date sort first, a number of zero has the lowest
+    level, and an empty table gives an empty result. `unit` is the nearest one where scales are multiplied.
     """
-    order = ["attribute_id", "kind", "created_at", "obligation_id", "pos"]
-    seen = observations(obligations, attributes)
-    pieces = checkpointed(seen.repartitionByRange(*order).withColumn("piece", F.spark_partition_id()))
-    keys = ["attribute_id", "kind", "piece"]
-    reduced = pieces.groupBy(*keys).applyInPandas(_reduce, "attribute_id int, kind string, piece int, best array<double>, first array<double>, last array<double>")
-    ends = reduced.groupBy("attribute_id", "kind").applyInPandas(_chain, "attribute_id int, kind string, piece int, enter int, leave int")
-    return pieces.groupBy(*keys).cogroup(ends.groupBy(*keys)).applyInPandas(_decode, _DECODED)
+    return decoded(observations(obligations, attributes))
+
+
+def decoded(seen: DataFrame) -> DataFrame:
+    """common_units of limits as `observations` gives them."""
+    sorted_ = seen.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
+    # Rows of a partition are numbered in their order, partitions one after another.
+    pieces = checkpointed(sorted_.withColumn("piece", F.floor(F.monotonically_increasing_id() / PIECE).cast("long")))
+    reduced = pieces.groupBy("piece").applyInPandas(_reduce, "attribute_id int, kind string, piece long, best array<double>, first array<double>, last array<double>")
+    ends = reduced.groupBy("attribute_id", "kind").applyInPandas(_chain, "attribute_id int, kind string, piece long, enter int, leave int")
+    return pieces.groupBy("piece").cogroup(ends.groupBy("piece")).applyInPandas(_decode, _DECODED)

@@ -54,7 +54,8 @@ def brute(numbers, factors, stated):
     return best[0]
 
 
-def test_pieces_decode_like_one_pass():
+def test_pieces_decode_like_one_pass(monkeypatch):
+    monkeypatch.setattr(units, "STATED", 1e9)
     rng, factors = random.Random(4), np.array(list(STATES["ratio"].values()))
     numbers, stated = [10 ** rng.uniform(-2, 3) for _ in range(9)], [rng.choice([None, None, 1, 100]) for _ in range(9)]
     pdf = pd.DataFrame({"attribute_id": 1, "kind": "ratio", "created_at": pd.Timestamp("2020-01-01"), "obligation_id": range(9), "pos": 0, "number": numbers, "factor": pd.Series(stated, dtype="f8"), "piece": [0, 0, 1, 1, 1, 1, 2, 3, 3]})
@@ -76,3 +77,33 @@ def test_limits_come_out_in_common_units(spark):
     got = {(x.obligation_id, x.attribute_id, x.common_value) for x in units.common_units(r, a).where("stated").collect()}
     assert got == {(1, 10, 500000), (1, 10, 20000000), (2, 11, 864), (5, 13, 336)}
     assert units.common_units(r.limit(0), a).collect() == [] and units.common_units(r, a.limit(0)).collect() == []
+
+
+_SEEN = "attribute_id int, obligation_id int, created_at timestamp, pos int, number double, kind string, factor double"
+
+
+def test_multiplied_scales_and_wrong_units(spark):
+    when = dt.datetime(2020, 1, 1)
+    rules = [(1, "[A.pool] <= Rs. 2 lakh crore", "computable", when), (2, "[A.pool] <= 5 thousand crore", "computable", when)]
+    a = spark.createDataFrame([(10, "A", "pool", "number", "rupees", "", None)], "id int, category string, canonical_name string, data_type string, unit string, description string, aliases array<string>")
+    r = spark.createDataFrame(rules, "id int, rule_expression string, obligation_type string, created_at timestamp")
+    got = {x.obligation_id: (x.common_value, x.unit, x.suspect) for x in units.common_units(r, a).collect()}
+    assert got == {1: (2 * 10**12, "billion rupees", False), 2: (5 * 10**10, "billion rupees", False)}
+    # One limit in a row of 5 crore each that says minutes' worth of money: 5 where all others are 50,000,000.
+    rows = [(1, i, when, 0, 5.0, "money", 1e7 if i != 7 else 1e-3 * 1e7 / 1e7) for i in range(15)]
+    out = {x.obligation_id: x for x in units.decoded(spark.createDataFrame(rows, _SEEN)).collect()}
+    assert [i for i, x in out.items() if x.suspect] == [7] and out[7].common_value == 0 and out[6].common_value == 50_000_000
+
+
+def test_hidden_units_are_inferred(spark, sf, monkeypatch):
+    """A tenth of the stated units is masked; the model gives more than half of them back."""
+    monkeypatch.setattr(units, "PIECE", 500)
+    read = lambda n: spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{n}.parquet")
+    seen = units.observations(read("obligations"), read("attributes")).where("factor IS NOT NULL").toPandas().drop_duplicates()
+    masked = np.random.default_rng(1).random(len(seen)) < 0.1
+    shown = seen.assign(factor=np.where(masked, np.nan, seen["factor"]))
+    rows = [tuple(None if x is None or x != x else x.to_pydatetime() if hasattr(x, "to_pydatetime") else x for x in r) for r in shown[[c.split()[0] for c in _SEEN.split(", ")]].itertuples(index=False)]
+    out = units.decoded(spark.createDataFrame(rows, _SEEN)).toPandas().merge(seen[masked], on=["attribute_id", "obligation_id", "pos", "number"])
+    want = np.floor(out["number"] * out["factor"] + 0.5 + 1e-6)
+    print("masked", len(out), "right", (out["common_value"] == want).mean())
+    assert len(out) > 100 and (out["common_value"] == want).mean() > 0.5
