@@ -3,9 +3,9 @@
 1. All changes of one (identity, date) are folded into one net change by a hash aggregate with map-side
    combine; only the state at the end of a date counts, so this loses nothing. Afterwards an identity holds
    at most one row per calendar date, which bounds every later group however hot the identity is.
-2. The dimension merge: each net change is laid over the version before it, the hash of the tracked
-   attributes is compared with that of the current version, a differing one closes the version with its
-   date as the end and opens the next.
+2. The dimension merge (`merged`): each state is compared by the hash of its tracked attributes with the current
+   version; a differing one closes that version with its date as the end and opens the next. `versions` merges the
+   states of a whole log into an empty dimension; later states can be merged into what it gave.
 """
 
 from __future__ import annotations
@@ -31,21 +31,19 @@ def payload_fields(payload: Column, fields: tuple[str, ...] = FIELDS) -> dict[st
 
     Keys may be in snake or camel case, on top or one level down (the top wins). An unreadable payload names none.
     """
-    as_map = "map<string,string>"
-    top = F.map_entries(F.from_json(payload, as_map))
-    nested = F.flatten(F.transform(F.filter(top, lambda e: e["value"].startswith("{")), lambda e: F.map_entries(F.from_json(e["value"], as_map))))
-    readable = F.try_parse_json(payload).isNotNull()
-    entries = F.when(readable, F.concat(top, F.coalesce(nested, F.array().cast("array<struct<key:string,value:string>>"))))
-    named = {}
-    for field in fields:
-        key = F.lit(field.replace("_", ""))
-        hit = F.get(F.filter(entries, _has_key(key)), F.lit(0))
-        named[field] = F.when(hit.isNotNull(), F.struct(same_spelling(hit["value"]).alias("value")))
-    return named
+    # Parsed once, to a variant; objects one level down are maps of the same kind.
+    as_map = "map<string,variant>"
+    top = F.map_entries(F.try_parse_json(payload).try_cast(as_map))
+    nested = F.flatten(F.transform(F.filter(top, lambda e: F.schema_of_variant(e["value"]).startswith("OBJECT")), lambda e: F.map_entries(e["value"].try_cast(as_map))))
+    spelt = lambda e: F.struct(F.lower(F.replace(e["key"], F.lit("_"), F.lit(""))).alias("key"), e["value"].try_cast("string").alias("value"))
+    entries = F.transform(F.concat(top, nested), spelt)
+    # Of two entries of one key the first counts: the top, then the order of the text.
+    hits = {field: F.get(F.filter(entries, _has_key(F.lit(field.replace("_", "")))), F.lit(0)) for field in fields}
+    return {field: F.when(hit.isNotNull(), F.struct(same_spelling(hit["value"]).alias("value"))) for field, hit in hits.items()}
 
 
 def _has_key(key: Column):
-    return lambda entry: F.lower(F.replace(entry["key"], F.lit("_"), F.lit(""))) == key
+    return lambda entry: entry["key"] == key
 
 
 def net_changes(log: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -75,26 +73,35 @@ def net_changes(log: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     return day.select("identity_hash", "effective_from", F.col("base.verdict").alias("base"), *[c.alias(n) for n, c in based.items()])
 
 
-def versions(log: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(identity_hash, valid_from, valid_to, fields..., is_current): one row per longest period in force with equal fields.
-
-    log: seq, identity_hash, verdict, effective_from, corrects_seq, payload (JSON text). Rows are void, ordered and
-    applied as in rulegrid.operators.changes. `new` sets all fields (an absent one to null), `amendment` those it
-    names (an explicit null clears; an unreadable payload sets none) and only while a version is in force, `repeal`
-    ends. valid_to is the first date the version no longer holds, 9999-12-31 while it is open. Null or blank
-    identity, null date: left out. Repeated deliveries change nothing; of different rows with one seq and date the
-    greater value wins. Versions that begin and end on one date never show. An empty log gives an empty history.
-    """
-    by_date = Window.partitionBy("identity_hash").orderBy("effective_from")
-    so_far = by_date.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    state = net_changes(log, fields).select(
+def states(log: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(identity_hash, effective_from, held, fields...): the whole state at the end of each date that changes an identity."""
+    so_far = Window.partitionBy("identity_hash").orderBy("effective_from").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return net_changes(log, fields).select(
         "identity_hash",
         "effective_from",
         (F.coalesce(F.last("base", ignorenulls=True).over(so_far), F.lit("none")) == "new").alias("held"),
         *[F.last(n, ignorenulls=True).over(so_far)["value"].alias(n) for n in fields],
     )
+
+
+def merged(dimension: DataFrame | None, snapshots: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """The dimension (identity_hash, valid_from, valid_to, fields..., is_current) with the snapshots merged into it.
+
+    snapshots: identity_hash, effective_from, held (false: out of force from that date) and the fields, one row per
+    identity and date; a null dimension is an empty one. A snapshot holds from its date until the next version or
+    snapshot begins and outranks what the dimension has on that date, so late ones split a version and repeated ones
+    change nothing. Snapshots equal to the version in force leave it open. Empty inputs give the other one.
+    """
+    points = snapshots.select("identity_hash", "effective_from", "held", *fields)
+    if dimension is not None:
+        starts = dimension.select("identity_hash", F.to_date("valid_from").alias("effective_from"), F.lit(True).alias("held"), *fields)
+        ends = dimension.where(F.col("valid_to") != OPEN_END).select("identity_hash", F.to_date("valid_to").alias("effective_from"), F.lit(False).alias("held"), *[F.lit(None).cast("string").alias(n) for n in fields])
+        ranked = starts.withColumn("rank", F.lit(1)).unionByName(ends.withColumn("rank", F.lit(0))).unionByName(points.withColumn("rank", F.lit(2)))
+        best = ranked.groupBy("identity_hash", "effective_from").agg(F.max(F.struct("rank", "held", *fields)).alias("p"))
+        points = best.select("identity_hash", "effective_from", "p.held", *[f"p.{n}" for n in fields])
+    by_date = Window.partitionBy("identity_hash").orderBy("effective_from")
     tracked = [F.coalesce(F.concat(F.lit("="), F.col(n)), F.lit("-")) for n in fields]
-    hashed = state.withColumn("version_hash", F.when(F.col("held"), F.sha2(F.concat_ws("\x1f", *tracked), 256)))
+    hashed = points.withColumn("version_hash", F.when(F.col("held"), F.sha2(F.concat_ws("\x1f", *tracked), 256)))
     before = F.lag("version_hash").over(by_date)
     changed = hashed.withColumn("opens", ~F.col("version_hash").eqNullSafe(before)).where("opens")
     closed = changed.withColumn("valid_to", F.lead("effective_from").over(by_date)).where("held")
@@ -105,3 +112,16 @@ def versions(log: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
         *fields,
         F.col("valid_to").isNull().alias("is_current"),
     )
+
+
+def versions(log: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(identity_hash, valid_from, valid_to, fields..., is_current): one row per longest period in force with equal fields.
+
+    log: seq, identity_hash, verdict, effective_from, corrects_seq, payload (JSON text). Rows are void, ordered and
+    applied as in rulegrid.operators.changes. `new` sets all fields (an absent one to null), `amendment` those it
+    names (an explicit null clears; an unreadable payload sets none) and only while a version is in force, `repeal`
+    ends. valid_to is the first date the version no longer holds, 9999-12-31 while it is open. Null or blank
+    identity, null date: left out. Repeated deliveries change nothing; of different rows with one seq and date the
+    greater value wins. Versions that begin and end on one date never show. An empty log gives an empty history.
+    """
+    return merged(None, states(log, fields), fields)

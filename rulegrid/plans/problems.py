@@ -166,6 +166,10 @@ SELECT identity_hash, strftime(effective_from, '%Y-%m-%d') AS valid_from, coales
 """
 
 
+_P5_FIELDS = ", ".join(f"nullif(regexp_replace(split_part(version, '|', {i}), '^(-?[0-9]+)\\.0$', '\\1'), '-') AS {n}" for i, n in enumerate(history.FIELDS, 1))
+P5_HISTORY_SQL = P5_SQL.replace("AS valid_to FROM spans", f"AS valid_to, {_P5_FIELDS}, until IS NULL AS is_current FROM spans")
+
+
 def _log(spark, d):
     return table(spark, d, "rule_assertions")
 
@@ -237,5 +241,5 @@ QUERIES = {
     "p4_found": Query(p4_found, P4_SQL),
     "p4_report": Query(p4_report, P4_REPORT_SQL),
     "p5_found": Query(p5_found, P5_SQL),
-    "p5_history": Query(p5_history),
+    "p5_history": Query(p5_history, P5_HISTORY_SQL),
 }

@@ -152,3 +152,24 @@ def test_broken_links_of_a_chain_are_found(spark):
         before = own
     df = spark.createDataFrame(rows, "n long, p string, prev string, own string")
     assert [r.n for r in filing.chained(df, "n", "p", "prev", "own").collect()] == [4]
+
+
+def test_merging_later_states_equals_a_rebuild(spark):
+    snap = "identity_hash string, effective_from date, held boolean, limit_value string, limit_unit string, frequency string, owner_desk string, severity string"
+    day = lambda n: dt.date(2020, 1, n)
+    rng, rows = random.Random(3), []
+    for key in "abc":
+        for n in sorted(rng.sample(range(1, 28), 12)):
+            held = rng.random() < 0.8
+            rows.append((key, day(n), held, *([rng.choice("xy"), None, None, "d", "low"] if held else [None] * 5)))
+    for cut in (1, 9, 20, 28):
+        early = [r for r in rows if r[1] < day(cut)]
+        late = [r for r in rows if r[1] >= day(cut)]
+        part = history.merged(None, spark.createDataFrame(early, snap))
+        both = history.merged(part, spark.createDataFrame(late, snap))
+        want = history.merged(None, spark.createDataFrame(rows, snap))
+        assert sorted(map(tuple, both.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+        again = history.merged(both, spark.createDataFrame(late, snap))
+        assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    late = history.merged(history.merged(None, spark.createDataFrame([("a", day(1), True, "x", None, None, None, None)], snap)), spark.createDataFrame([("a", day(5), True, "y", None, None, None, None)], snap))
+    assert [(r.valid_from, r.valid_to, r.limit_value) for r in late.orderBy("valid_from").collect()] == [("2020-01-01", "2020-01-05", "x"), ("2020-01-05", history.OPEN_END, "y")]
