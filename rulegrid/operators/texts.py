@@ -9,20 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rulegrid.functions.citations import LINK_KINDS, LINKING, read_citations
 from rulegrid.functions.quantities import SCALES, read_quantity
 from rulegrid.functions.quantities import _WORDS as WORDS
 from rulegrid.functions.quantities import _words_number as words_number
 
 NORMATIVE = r"(?i)\b(?:shall|must|should|ought to|is required to|are required to|is directed to|may not)\b"
 CUES = "paragraphs?|paras?|clauses?|points?|items?|regulations?|sections?|rules?|articles?|annexures?|schedules?|forms?|tables?"
-#: Kinds of link a sentence implies, the first that matches wins.
-LINK_KINDS = (
-    ("supersedes", r"stands? withdrawn|hereby withdrawn|stands? repealed|rescind|supersed|shall cease to (be in force|apply)"),
-    ("amends", r"partial modification|partially modif|is (hereby )?(amended|substituted|modified|revised|replaced)|shall be (amended|substituted|modified|replaced|read as)|has been amended"),
-    ("definitional", r"meaning (assigned|ascribed)|as defined in|defined under"),
-    ("exemption", r"notwithstanding|shall not apply|except as|exempt|unless otherwise|save as"),
-    ("trigger", r"in terms of|pursuant to|subject to|in accordance with|as per|as specified in|as required under"),
-)
 PERIODS = {"half[- ]?yearly|semi[- ]?annual|once in each half year|every six months": (6, 180), "quarterly|every quarter|at the end of every quarter": (3, 90), "annual|yearly|every year": (1, 12, 360, 365), "monthly|every month": (1, 30), "weekly|every week": (1, 7), "daily|every day": (1,)}
 
 
@@ -51,51 +44,30 @@ def cited_numbers(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(rf"\b({CUES}) (\d+(\.\d+)*)"), F.lit(0))
 
 
-_REF = re.compile(rf"\b({CUES})\.?\s+(?:nos?\.?\s*)?(\d+[A-Z]?(?:\.\d+[A-Z]?)*(?:\s*\([a-z0-9]+\))*|[IVX]{{1,4}}\b|[A-Z]\b)", re.I)
-_MORE = re.compile(r"\s*(?:,\s*(?:and\s+)?|and\s+|&\s*|to\s+)(\d+[A-Z]?(?:\.\d+[A-Z]?)*)", re.I)
-_INSIDE = re.compile(r"^\s*,?\s*of\s+(?:the\s+)?((?:annexures?|schedules?|chapters?|parts?)\s+[A-Z0-9][\w.-]*)", re.I)
-_STATUTE = re.compile(r"^\s*,?\s*of\s+(?:the\s+)?[A-Z][^.;]{0,80}?\b(?:Regulations?|Act|Rules|Guidelines)\b")
-
-
-def read_citations(text: str) -> list[tuple[str, str, str, str | None, str | None, int, int]]:
-    """(cue, number, target, container, range_to, start, end) of each citation; members of a list share its cue."""
-    out, done = [], 0
-    for m in _REF.finditer(text):
-        if m.start() < done:
-            continue
-        tail, cue = text[m.end() :], m[1].lower()
-        inside = _INSIDE.match(tail)
-        named = re.match("regul|sect|rule|artic", cue) or not inside and _STATUTE.match(tail)
-        target = "annexure" if re.match("annex|sched|form|table", cue) else "statute" if named else "internal"
-        inside = None if target == "statute" else inside
-        done = m.end() + inside.end() if inside else m.end()
-        container = " ".join(inside[1].split()) if inside else None
-        found, at, range_to = [], m.end(), None
-        while more := _MORE.match(text, at):
-            if not found and text[at : more.start(1)].strip().lower() == "to":
-                range_to = more[1]
-            found.append((more[1], more.start(1), more.end(1)))
-            at = more.end()
-        done = max(done, at)
-        out.append((cue, re.sub(r"\s+", "", m[2]).strip("."), target, container, range_to, m.start(), m.end()))
-        out += [(cue, n.strip("."), target, container, None, s, e) for n, s, e in found]
-    return out
+_CITED = "id int, cue string, number string, kind string, target string, container string, target_doc string, range_to string, char_start int, char_end int"
 
 
 def _cite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["id", "cue", "number", "target", "container", "range_to", "char_start", "char_end"]
     for pdf in batches:
-        yield pd.DataFrame([(i, *c) for i, t in zip(pdf["id"], pdf["text"]) for c in read_citations(t)], columns=names)
+        rows = [(i, c.cue, c.number, c.kind, c.target, c.container, c.target_doc, c.range_to, c.start, c.end) for i, t in zip(pdf["id"], pdf["text"]) for c in read_citations(t)]
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CITED.split(", ")])
 
 
 def citations(clauses: DataFrame) -> DataFrame:
-    """(id, cue, number, target, container, range_to, char_start, char_end) of each citation in the clauses' texts.
+    """(id, cue, number, kind, target, container, target_doc, range_to, char_start, char_end) of each citation in the texts.
 
-    `para 3 of Annexure B` is one citation with a container; `paras 4.1, 4.2 and 4.5` are three; the end of `4.1 to 4.9`
-    stands in range_to and as a citation of its own. Null texts have none; repeated rows count once.
+    `para 3 of Annexure B` and `Annexure B, para 3` are one citation with a container; `paras 4.1, 4.2 and 4.5` are
+    three; `4.1 to 4.9` is one with 4.9 in range_to. Rows with a true `is_junk`, if there is such a column, and null
+    texts have none; repeated rows count once.
     """
-    rows = clauses.where("text IS NOT NULL").select("id", "text").distinct()
-    return rows.mapInPandas(_cite, "id int, cue string, number string, target string, container string, range_to string, char_start int, char_end int")
+    kept = clauses.where("NOT coalesce(is_junk, false)") if "is_junk" in clauses.columns else clauses
+    return kept.where("text IS NOT NULL").select("id", "text").distinct().mapInPandas(_cite, _CITED)
+
+
+def citation_summary(cited: DataFrame) -> DataFrame:
+    """(target, kind, citations, clauses, edge_candidates) of citations as above; candidates are internal and of a linking kind."""
+    edge = (F.col("target") == "internal") & F.col("kind").isin(*LINKING)
+    return cited.groupBy("target", "kind").agg(F.count(F.lit(1)).alias("citations"), F.countDistinct("id").alias("clauses"), F.count_if(edge).alias("edge_candidates"))
 
 
 def number_pool(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rulegrid.functions import predicates
+from rulegrid.functions import citations, predicates
 from rulegrid.functions.compiler import compile_rule
 from rulegrid.operators import filing, graph, hierarchy, ordered, resolution, rules, texts
 from rulegrid.plans.problems import AS_BELIEVED_SQL, _TREES, _keyed
@@ -101,6 +101,10 @@ def cit_extract(spark, d):
     return texts.citations(_current(spark, d, "text"))
 
 
+def cit_summary(spark, d):
+    return texts.citation_summary(texts.citations(_current(spark, d, "text")))
+
+
 def cit_kinds(spark, d):
     rows = table(spark, d, "unresolved_citations").select("id", "raw_text").distinct()
     return rows.groupBy(texts.link_kind(F.col("raw_text")).alias("kind")).agg(F.count(F.lit(1)).alias("citations"))
@@ -113,7 +117,7 @@ bare AS (SELECT id, low, regexp_replace(regexp_replace(low, '\b({texts.CUES}|cir
 nums AS (SELECT id, unnest(list_distinct(list_transform(regexp_extract_all(bare, '[0-9]+(?:,[0-9]{{2,3}})*(?:\.[0-9]+)?'), lambda x: CAST(replace(x, ',', '') AS DOUBLE)) || {_POOL_CASES})) AS number FROM bare)
 SELECT number, count(*) AS clauses FROM nums GROUP BY number
 """
-_KIND_CASES = " ".join(f"WHEN regexp_matches(low, '{p}') THEN '{k}'" for k, p in texts.LINK_KINDS)
+_KIND_CASES = " ".join(f"WHEN regexp_matches(low, '{p}') THEN '{k}'" for k, p in citations.LINK_KINDS)
 
 
 # Links ---------------------------------------------------------------------------------------------------------------
@@ -532,6 +536,7 @@ QUERIES = {
     "text_number_pool": Query(text_number_pool, POOL_SQL),
     "cit_extract_summary": Query(cit_extract_summary, rf"WITH {_CURRENT}, c AS (SELECT id, unnest(regexp_extract_all(lower(text), '\b(?:{texts.CUES}) (?:\d+(?:\.\d+)*)')) AS c FROM cur WHERE text IS NOT NULL) SELECT split_part(c, ' ', 1) AS cue, split_part(c, ' ', 2) AS number, count(*) AS citations, count(DISTINCT id) AS clauses FROM c GROUP BY ALL"),
     "cit_extract": Query(cit_extract),
+    "cit_summary": Query(cit_summary),
     "cit_kinds": Query(cit_kinds, rf"WITH r AS (SELECT DISTINCT id, lower(regexp_replace(raw_text, '\s+', ' ', 'g')) AS low FROM unresolved_citations) SELECT CASE {_KIND_CASES} ELSE 'reference' END AS kind, count(*) AS citations FROM r GROUP BY 1"),
     "lnk_resolve_target": Query(lnk_resolve_target, f"WITH {_RESOLVE} SELECT * FROM resolved"),
     "lnk_propose": Query(lnk_propose, PROPOSE_SQL),

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulegrid.functions import predicates, vectors
+from rulegrid.functions.citations import read_citations
 from rulegrid.functions.compiler import compile_rule
 from rulegrid.functions.expressions import RuleError, canonical, compared_literals, constraints, fingerprint, parse, written
 from rulegrid.operators import graph, ordered, resolution, rules, segment, texts
@@ -113,10 +114,28 @@ def test_running_sum_and_gaps(spark):
 
 
 def test_citations():
-    read = lambda t: [(c[0], c[1], c[2], c[3], c[4]) for c in texts.read_citations(t)]
+    read = lambda t: [(c.cue, c.number, c.target, c.container, c.range_to) for c in read_citations(t)]
     assert read("as per para 9.5 of Annexure B and section 4 of the Securities Act") == [("para", "9.5", "internal", "Annexure B", None), ("section", "4", "statute", None, None)]
-    assert [c[1] for c in read("paras 55.13, 55.14 and 55.20")] == ["55.13", "55.14", "55.20"] and read("clauses 4.1 to 4.9")[0][4] == "4.9"
-    assert read("") == [] and read("paragraph without number") == []
+    assert [c[1] for c in read("paras 55.13, 55.14 and 55.20")] == ["55.13", "55.14", "55.20"]
+    assert [(c[1], c[4]) for c in read("clauses 4.1 to 4.9, 4.11 & 5")] == [("4.1", "4.9"), ("4.11", None), ("5", None)]
+    assert read("") == [] == read(None) and read("paragraph without number") == []
+    assert read("Annexure A, para 3 (ii)") == [("annexure", "A", "annexure", None, None), ("para", "3(ii)", "internal", "Annexure A", None)]
+    (c,) = read_citations("A firm unable to comply with clause No. 9.5 of circular HSB/DEP/2015/000039 shall report")
+    assert (c.kind, c.target, c.number, c.target_doc) == ("trigger", "internal", "9.5", "HSB/DEP/2015/000039")
+    (c,) = read_citations("clause 4 of the SEBI (Intermediaries) Regulations, 2008")
+    assert (c.target, c.target_doc) == ("statute", "SEBI (Intermediaries) Regulations")
+    kinds = ["para 3 stands withdrawn", "para 3 is hereby amended", "as defined in para 3", "nothing contained in para 3", "in case the broker fails under para 3", "see para 3"]
+    assert [read_citations(t)[0].kind for t in kinds] == ["supersedes", "amends", "definitional", "exemption", "trigger", "reference"]
+    assert len(read_citations("see clause 4 " * 5000)) == 5000
+
+
+def test_operators_bind_as_told():
+    form = lambda t: written(parse(t), {})
+    assert form("a + 1 * 2 <= 3 AND b == 1 AND NOT c IN {1, 2} OR d") == "or(and(cmp:<=(arith:+(?a,arith:*(n:1,n:2)),n:3),cmp:==(?b,n:1),not(in(?c,set(n:1,n:2)))),?d)"
+    assert form("(a AND b) AND c") == "and(and(?a,?b),?c)" and form("a - 1 - 2 * 3 > 4") == "cmp:>(arith:-(arith:-(?a,n:1),arith:*(n:2,n:3)),n:4)"
+    for text, error in (("a < b < c", "trailing input from '<'"), ("NOT NOT a", "unexpected keyword 'NOT'"), ("NOT a == b == c", "trailing input from '=='"), ("a + NOT b", "unexpected keyword 'NOT'"), ("a AND", "unexpected end of expression")):
+        with pytest.raises(RuleError, match="^" + __import__("re").escape(error)):
+            parse(text)
 
 
 def test_segments(spark):
