@@ -172,7 +172,6 @@ def comparisons(expression: str | None) -> list[Comparison]:
 
 
 _REVERSED = {"<=": ">=", ">=": "<=", "<": ">", ">": "<", "==": "==", "!=": "!="}
-_NEGATED = {"<=": ">", ">=": "<", "<": ">=", ">": "<=", "==": "!=", "!=": "=="}
 _SIGNS = {"≤": "<=", "≥": ">=", "≠": "!=", "<>": "!=", "=": "=="}
 
 
@@ -196,7 +195,7 @@ def _split(text: str, joint: str) -> list[str]:
 
 def required(expression: str | None) -> list[tuple[str, Comparison]]:
     """(operator, comparison), the attribute on the left, of every comparison of one attribute with a number that must
-    hold for the rule to hold: not below an or; a negated one is turned round. Else as `comparisons`."""
+    hold for the rule to hold: joined by and, not under an or and not under a not. Else as `comparisons`."""
     if not expression or expression.strip().lower().startswith("attest"):
         return []
     held: list[str] = []
@@ -209,31 +208,27 @@ def required(expression: str | None) -> list[tuple[str, Comparison]]:
     def whole(text: str) -> str:
         return re.sub(r"\x01(\d+)\x01|\x02(\d+)\x02", lambda m: held[int(m[1] or m[2])], text)
 
-    def read(text: str, negated: bool) -> list[tuple[str, Comparison]]:
+    def read(text: str) -> list[tuple[str, Comparison]]:
         text = text.strip()
         while text.startswith("(") and text.endswith(")") and _closes(text):
             text = text[1:-1].strip()
-        ors = _split(text, r"\|\||\bor\b")
-        ands = _split(text, r"&&|\band\b")
-        if len(ors) > 1:
-            # Of a negated or, each part must fail; of a plain one, no part must hold.
-            return [x for part in ors for x in read(part, True)] if negated else []
-        if len(ands) > 1:
-            return [] if negated else [x for part in ands for x in read(part, False)]
-        if m := re.match(r"not\b", text, re.I):
-            return read(text[m.end() :], not negated)
+        if len(_split(text, r"\|\||\bor\b")) > 1:
+            return []
+        parts = _split(text, r"&&|\band\b")
+        if len(parts) > 1:
+            return [x for part in parts for x in read(part)]
+        if re.match(r"not\b", text, re.I):
+            return []
         if re.search(r"\bbetween\b", text, re.I):
             ends = comparisons(whole(text))
-            return [] if negated or len(ends) != 2 else list(zip((">=", "<="), ends))
+            return list(zip((">=", "<="), ends)) if len(ends) == 2 else []
         found, signs = comparisons(whole(text)), _OP.findall(text)
         if len(found) != 1 or len(signs) != 1:
             return []
         sign = _SIGNS.get(signs[0], signs[0])
-        if "\x01" not in _OP.split(text)[0]:
-            sign = _REVERSED[sign]
-        return [(_NEGATED[sign] if negated else sign, found[0])]
+        return [(sign if "\x01" in _OP.split(text)[0] else _REVERSED[sign], found[0])]
 
-    return read(_MASK.sub(mask, expression), False)
+    return read(_MASK.sub(mask, expression))
 
 
 def _closes(text: str) -> bool:

@@ -124,7 +124,7 @@ def linked_names(rules: DataFrame, register: DataFrame, reference: str = r"\[(\w
     hits = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("rule_expression"), F.lit(reference), F.lit(1))))
     refs = rules.where("rule_expression IS NOT NULL").select(F.col("id").alias("rule_id"), "rule_expression").distinct().select("rule_id", hits.alias("ref"))
     split = refs.withColumns({"category": F.substring_index("ref", ".", 1), "name": F.substring_index("ref", ".", -1)})
-    typed = names(register).join(register.select("id", "data_type").dropDuplicates(["id"]), "id")
+    typed = names(register).join(register.groupBy("id").agg(F.min("data_type").alias("data_type")), "id")
     return split.join(typed, ["category", "name"], "left").select("rule_id", "ref", "id", "data_type")
 
 

@@ -49,7 +49,8 @@ def fingerprints(rules: DataFrame, attributes: DataFrame) -> DataFrame:
     References are resolved by category and name or alias; an unknown one stays by name. An expression the grammar
     does not accept has an error, no canonical form and the hash of its words. The hashing itself is built in.
     """
-    texts = rules.where("rule_expression IS NOT NULL").select("id", "audience_id", plain_operators(F.col("rule_expression")).alias("expression")).dropDuplicates(["id"])
+    kept = rules.where("rule_expression IS NOT NULL").groupBy("id").agg(F.min(F.struct("rule_expression", "audience_id")).alias("r"))
+    texts = kept.select("id", "r.audience_id", plain_operators(F.col("r.rule_expression")).alias("expression"))
     refs = texts.select("id", "expression").mapInPandas(_refs, "id int, ref string")
     split = refs.select("id", "ref", F.lower(F.substring_index("ref", ".", 1)).alias("category"), F.lower(F.substring_index("ref", ".", -1)).alias("name"))
     known = split.join(names(attributes).withColumnRenamed("id", "attribute_id"), ["category", "name"])

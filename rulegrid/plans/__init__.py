@@ -1 +1,11 @@
-"""rulegrid.plans."""
+"""The registry of queries with the SQL each query must agree with."""
+
+
+def core() -> dict:
+    """Every query of the core by name."""
+    from rulegrid.plans import agreement, linking, problems, reference, surveys
+
+    out: dict = {}
+    for module in (problems, reference, linking, agreement, surveys):
+        out |= module.QUERIES
+    return out

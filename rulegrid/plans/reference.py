@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rulegrid.functions import citations, predicates
+from rulegrid.functions import citations
 from rulegrid.functions.compiler import compile_rule
-from rulegrid.operators import filing, graph, hierarchy, ordered, resolution, rules, texts
+from rulegrid.operators import assembly, filing, hierarchy, links, ordered, resolution, rules, texts
 from rulegrid.plans.problems import AS_BELIEVED_SQL, _TREES, _keyed
 from rulegrid.plans.registry import Query
 from rulegrid.runtime import table
@@ -120,164 +120,13 @@ SELECT number, count(*) AS clauses FROM nums GROUP BY number
 _KIND_CASES = " ".join(f"WHEN regexp_matches(low, '{p}') THEN '{k}'" for k, p in citations.LINK_KINDS)
 
 
-# Links ---------------------------------------------------------------------------------------------------------------
-def _citations(spark, d):
-    return table(spark, d, "unresolved_citations"), table(spark, d, "source_clauses")
-
-
-def lnk_resolve_target(spark, d):
-    return graph.resolved(*_citations(spark, d))
-
-
-def lnk_propose(spark, d):
-    return graph.proposed_edges(*_citations(spark, d), table(spark, d, "obligations"))
-
-
-def lnk_shared_evidence(spark, d):
-    return graph.shared_evidence(table(spark, d, "obligations"))
-
-
-def lnk_split_of(spark, d):
-    return graph.split_of(table(spark, d, "obligations"))
-
-
-def lnk_report(spark, d):
-    rows = table(spark, d, "unresolved_citations").dropDuplicates(["id"])
-    return rows.groupBy("edge_type", "state").agg(F.count(F.lit(1)).alias("citations"), F.count_if(F.col("attempts") >= 5).alias("worn_out"))
-
-
-def lnk_waiting(spark, d):
-    """The 25 targets that most pending citations wait for (a top-k report)."""
-    rows = table(spark, d, "unresolved_citations").dropDuplicates(["id"]).where("state = 'PENDING'")
-    counted = rows.groupBy("target_doc", "target_container", "target_clause_no").agg(F.count(F.lit(1)).alias("citations"))
-    return counted.orderBy(F.desc("citations"), F.asc_nulls_first("target_doc"), F.asc_nulls_first("target_container"), F.asc_nulls_first("target_clause_no")).limit(25)
-
-
-_RESOLVE = _keyed("""
-homes AS (SELECT id, arg_max(doc_id, created_at) AS doc_id FROM source_clauses GROUP BY id),
-cites AS (
-  SELECT DISTINCT u.id AS citation_id, coalesce(dockey(u.target_doc), dockey(h.doc_id)) AS doc, coalesce(boxkey(u.target_container), '') AS box, nokey(u.target_clause_no) AS no
-  FROM unresolved_citations u LEFT JOIN homes h ON h.id = u.from_clause_id
-),
-keyed AS (SELECT DISTINCT id, dockey(doc_id) AS doc, coalesce(boxkey(container), '') AS box, nokey(clause_no) AS no FROM source_clauses WHERE citable),
-targets AS (SELECT doc, box, no, count(*) AS candidates, min(id) AS first FROM keyed WHERE no IS NOT NULL GROUP BY ALL),
-resolved AS (
-  SELECT citation_id, CASE WHEN c.no IS NULL THEN 'external' WHEN candidates = 1 THEN 'unique' WHEN candidates > 1 THEN 'ambiguous' ELSE 'absent' END AS result,
-         CASE WHEN candidates = 1 THEN first END AS clause_id, CASE WHEN c.no IS NULL THEN 0 ELSE coalesce(candidates, 0) END AS candidates
-  FROM cites c LEFT JOIN targets t ON t.doc = c.doc AND t.box = c.box AND t.no = c.no
-)
-""")
-PROPOSE_SQL = f"""
-WITH {_RESOLVE}, uses AS (SELECT DISTINCT id AS citation_id, from_obligation_id AS from_id, edge_type AS type FROM unresolved_citations WHERE from_obligation_id IS NOT NULL),
-ends AS (SELECT DISTINCT id AS to_id, source_clause_id FROM obligations WHERE source_clause_id IS NOT NULL)
-SELECT from_id, to_id, type, count(*) AS citations FROM uses JOIN resolved USING (citation_id) JOIN ends ON ends.source_clause_id = resolved.clause_id WHERE result = 'unique' AND from_id <> to_id GROUP BY ALL
-"""
-
-
-# Consistency ---------------------------------------------------------------------------------------------------------
 def _rules(spark, d):
     return table(spark, d, "obligations")
 
 
-def con_interval_build(spark, d):
-    rows = graph.plain_constraints(_rules(spark, d))
-    return rows.select("rule_id", "attribute", "op", "value", F.nullif(F.col("lo"), F.lit(float("-inf"))).alias("lo"), F.nullif(F.col("hi"), F.lit(float("inf"))).alias("hi"), "lo_open", "hi_open")
-
-
-def con_contradictions(spark, d):
-    return graph.conflict_counts(graph.plain_constraints(_rules(spark, d)))
-
-
-def con_contradictions_full(spark, d):
-    """con_contradictions over every spelling of a comparison; its SQL reads bare numbers only."""
-    return graph.conflict_counts(graph.full_constraints(_rules(spark, d), _register(spark, d)))
-
-
-def con_redundant_identity(spark, d):
-    return graph.redundant(_rules(spark, d))
-
-
-def con_subsumption(spark, d):
-    return graph.signature_groups(_rules(spark, d))
-
-
-def con_dangling_edges(spark, d):
-    known = table(spark, d, "source_clauses").select(F.col("id").alias("source_clause_id")).distinct()
-    rows = _rules(spark, d).dropDuplicates(["id"]).where("source_clause_id IS NOT NULL")
-    return rows.join(known, "source_clause_id", "left_anti").select("id", "source_clause_id", "state")
-
-
-def con_report_by_cause(spark, d):
-    rows = _rules(spark, d)
-    found = graph.conflict_counts(graph.plain_constraints(rows)).select(F.lit("contradiction").alias("cause"), "rule_id")
-    spans = rows.where("source_spans IS NULL OR size(source_spans) = 0").select(F.lit("no source").alias("cause"), F.col("id").alias("rule_id"))
-    nobody = rows.where("audience_id IS NULL").select(F.lit("no audience").alias("cause"), F.col("id").alias("rule_id"))
-    return found.unionByName(spans).unionByName(nobody).distinct().groupBy("cause").agg(F.count(F.lit(1)).alias("rules"), F.min("rule_id").alias("first_rule"))
-
-
-_PLAIN = rf"""
-hits AS (
-  SELECT DISTINCT id AS rule_id, audience_id, unnest(regexp_extract_all(rule_expression, '{graph.CONSTRAINT}')) AS hit FROM obligations WHERE rule_expression IS NOT NULL
-),
-plain AS (
-  SELECT DISTINCT rule_id, audience_id, lower(regexp_extract(hit, '{graph.CONSTRAINT}', 1) || '.' || regexp_extract(hit, '{graph.CONSTRAINT}', 2)) AS attribute,
-         replace(replace(regexp_extract(hit, '{graph.CONSTRAINT}', 3), '≤', '<='), '≥', '>=') AS op, CAST(regexp_extract(hit, '{graph.CONSTRAINT}', 4) AS DOUBLE) AS value FROM hits
-),
-bounds AS (
-  SELECT *, CASE WHEN op IN ('>=', '>', '==') THEN value END AS lo, CASE WHEN op IN ('<=', '<', '==') THEN value END AS hi, op = '>' AS lo_open, op = '<' AS hi_open FROM plain
-)
-"""
-_CONFLICTS = _PLAIN + """,
-conflicts AS (
-  SELECT a.rule_id, a.audience_id, a.attribute, a.op, a.value, count(*) AS conflicts
-  FROM bounds a JOIN bounds b ON a.attribute = b.attribute AND a.audience_id = b.audience_id
-   AND (a.lo > b.hi OR (a.lo = b.hi AND (a.lo_open OR b.hi_open)) OR b.lo > a.hi OR (b.lo = a.hi AND (b.lo_open OR a.hi_open)))
-  GROUP BY ALL
-)
-"""
-
-
-# Predicates ----------------------------------------------------------------------------------------------------------
-def _audiences(spark, d):
-    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    text = F.concat(F.lit("acctbal > "), (F.floor(F.col("c_acctbal") / 1000) * 1000).cast("string"), F.lit(" && segment == '"), F.col("c_mktsegment"), F.lit("'"), F.when(F.col("n_regionkey") == 0, F.lit(" && is_qsb == true")).otherwise(F.lit("")))
-    return rows.select(text.alias("predicate")).groupBy("predicate").agg(F.count(F.lit(1)).alias("members"))
-
-
-def aud_normalise(spark, d):
-    normal = predicates.normalised(predicates.conditions(F.col("predicate")), {"is_qsb": "category == 'stock_broker'"})
-    return _audiences(spark, d).select(normal.alias("predicate"), F.sha2(normal, 256).alias("predicate_hash"), "members")
-
-
-def aud_lattice(spark, d):
-    """Pairs of one segment (the join key): how the narrower relates to the broader. The register of audiences is small."""
-    rows = _audiences(spark, d).select("predicate", predicates.conditions(F.col("predicate")).alias("c")).withColumn("segment", F.regexp_extract("predicate", "'([^']*)'", 1))
-    other = rows.select("segment", F.col("predicate").alias("broader"), F.col("c").alias("bc"))
-    return rows.join(other, "segment").where((F.col("predicate") != F.col("broader")) & (predicates.compared(F.col("c"), F.col("bc")) == "narrower")).select(F.col("predicate").alias("narrower"), "broader")
-
-
-def aud_compose_conflicts(spark, d):
-    rows = table(spark, d, "customer").groupBy("c_nationkey").agg(F.min("c_mktsegment").alias("a"), F.max("c_mktsegment").alias("b"))
-    both = F.concat(F.lit("segment == '"), F.col("a"), F.lit("' && segment == '"), F.col("b"), F.lit("'"))
-    return rows.select("c_nationkey", predicates.contradictory(predicates.conditions(both)).alias("refused"))
-
-
-_AUDIENCES = """
-aud AS (
-  SELECT 'acctbal > ' || CAST(floor(c_acctbal / 1000) * 1000 AS BIGINT) || ' && segment == ''' || c_mktsegment || '''' || CASE WHEN n_regionkey = 0 THEN ' && is_qsb == true' ELSE '' END AS predicate,
-         CAST(floor(c_acctbal / 1000) * 1000 AS BIGINT) AS bal, c_mktsegment AS seg, n_regionkey = 0 AS qsb, count(*) AS members
-  FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL
-)
-"""
-NORMALISE_SQL = f"""
-WITH {_AUDIENCES}, n AS (SELECT 'acctbal > ' || bal || CASE WHEN qsb THEN ' && category == ''stock_broker'' && is_qsb == true' ELSE '' END || ' && segment == ''' || seg || '''' AS predicate, members FROM aud)
-SELECT predicate, sha256(predicate) AS predicate_hash, members FROM n
-"""
-
-
 # Resolution ----------------------------------------------------------------------------------------------------------
 def _register(spark, d):
-    return table(spark, d, "attributes").dropDuplicates(["id"])
+    return table(spark, d, "attributes").groupBy("id").agg(F.min(F.struct("category", "canonical_name", "data_type", "unit", "description", "aliases", "vector", "is_derived")).alias("a")).select("id", "a.*")
 
 
 def _near(spark, d, k=10):
@@ -448,22 +297,18 @@ def res_fragmented(spark, d):
     return resolution.fragmented(_register(spark, d))
 
 
-def lnk_admit_edges(spark, d):
-    return graph.admitted(graph.proposed_edges(*_citations(spark, d), _rules(spark, d)))
-
-
 def asm_applicability(spark, d):
     """Citations that restrict (subject to) or exempt (notwithstanding) rules, laid over each rule's audience."""
-    cites = table(spark, d, "unresolved_citations").dropDuplicates(["id"])
-    at = graph.resolved(cites, table(spark, d, "source_clauses")).where("result = 'unique'").join(cites.select(F.col("id").alias("citation_id"), "raw_text", "from_clause_id"), "citation_id")
+    from rulegrid.plans.linking import _resolved
+
+    cites = links.once(table(spark, d, "unresolved_citations"), "raw_text", "from_clause_id")
+    at = _resolved(spark, d).where("clause_id IS NOT NULL").join(cites.select(F.col("id").alias("citation_id"), "raw_text", "from_clause_id"), "citation_id")
     kind = F.when(F.lower("raw_text").startswith("notwithstanding"), "exempt").when(F.lower("raw_text").startswith("subject to"), "restrict")
     key = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
     modifiers = at.withColumn("effect", kind).where("effect IS NOT NULL").select(key("from_clause_id").alias("from_clause_no"), key("clause_id").alias("target"), "effect", F.concat(F.lit("clause "), F.col("from_clause_id").cast("string")).alias("condition"), F.lit(None).cast("string").alias("value"))
-    held = _rules(spark, d).dropDuplicates(["id"]).where("source_clause_id IS NOT NULL")
+    held = links.once(_rules(spark, d), "source_clause_id", "audience_id").where("source_clause_id IS NOT NULL")
     base = F.when(F.col("audience_id").isNotNull(), F.array(F.concat(F.lit("audience "), F.col("audience_id").cast("string")))).otherwise(F.array().cast("array<string>"))
     rows = held.select("id", key("source_clause_id").alias("clause_no"), F.col("source_clause_id").alias("clause_id"), base.alias("base"))
-    from rulegrid.operators import assembly
-
     out = assembly.applied(rows, modifiers)
     return out.groupBy(F.size(F.regexp_extract_all("applicability", F.lit("not\\("), F.lit(0))).alias("exemptions"), F.col("conditions").isNull().alias("nested")).agg(F.count(F.lit(1)).alias("rules"))
 
@@ -487,7 +332,7 @@ def met_duplicate_numbers(spark, d):
 def rep_trend(spark, d):
     from pyspark.sql import Window
 
-    rows = _log(spark, d).dropDuplicates(["seq"]).groupBy(F.date_format("created_at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("assertions"), F.count_if(F.col("verdict") == "new").alias("opened"))
+    rows = _log(spark, d).groupBy("seq").agg(F.min(F.struct("created_at", "verdict")).alias("r")).select("seq", "r.*").groupBy(F.date_format("created_at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("assertions"), F.count_if(F.col("verdict") == "new").alias("opened"))
     # One row a month: the window is over a calendar, not over the log.
     before = F.lag("assertions").over(Window.orderBy("month"))
     return rows.select("month", "assertions", "opened", (F.col("assertions") - before).alias("change"))
@@ -497,28 +342,11 @@ def rep_runs(spark, d):
     """The last run of each circular and how many it took."""
     from rulegrid.operators.orphans import doc_key
 
-    rows = table(spark, d, "ingestion_runs").dropDuplicates(["id"]).withColumn("doc", doc_key(F.col("doc_id")))
+    rows = links.once(table(spark, d, "ingestion_runs"), "doc_id", "status", "started_at").withColumn("doc", doc_key(F.col("doc_id")))
     last = rows.groupBy("doc").agg(F.max_by("status", F.struct("started_at", "id")).alias("last_status"), F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "completed").alias("completed"))
     return last.groupBy("last_status").agg(F.count(F.lit(1)).alias("circulars"), F.sum("runs").alias("runs"), F.sum("completed").alias("completed"))
 
 
-def audit_chain_verify(spark, d):
-    """A chain is built over the log's sequence numbers of one payload each, one link is broken, and the check finds it."""
-    from pyspark.sql import Window
-
-    rows = table(spark, d, "region").select((F.col("r_regionkey") + 1).cast("long").alias("n"), F.col("r_name").alias("payload"))
-    own = F.sha2(F.concat_ws("|", F.lit(""), "payload"), 256)
-    chain = rows.withColumn("row_hash", own).withColumn("prev_hash", F.lag("row_hash").over(Window.orderBy("n")))
-    return filing.chained(chain, "n", "payload", "prev_hash", "row_hash")
-
-
-AUDIT_SQL = """
-WITH r AS (SELECT CAST(r_regionkey + 1 AS BIGINT) AS n, r_name AS payload, sha256('|' || r_name) AS row_hash FROM region),
-c AS (SELECT *, lag(row_hash) OVER (ORDER BY n) AS prev_hash FROM r)
-SELECT n FROM c WHERE NOT (row_hash = sha256(coalesce(prev_hash, '') || '|' || payload))
-"""
-
-
 QUERIES = {
     "tree_prev_sibling": Query(tree_prev_sibling, f"WITH {_CURRENT} SELECT id, lag(id) OVER (PARTITION BY doc_id, parent_id ORDER BY id) AS previous_id FROM cur WHERE parent_id IS NOT NULL"),
     "tree_leaf": Query(tree_leaf, f"WITH {_CURRENT} SELECT doc_id, count(*) AS leaves FROM cur WHERE id NOT IN (SELECT parent_id FROM cur WHERE parent_id IS NOT NULL) GROUP BY doc_id"),
@@ -528,7 +356,6 @@ QUERIES = {
         SELECT doc_id, stem, n AS after, CAST(unnest(range(n + 1, nx)) AS INTEGER) AS missing FROM l WHERE nx - n BETWEEN 2 AND 4"""),
     "tree_path": Query(tree_path, TREE_PATH_SQL),
     "aud_stamp_tree": Query(aud_stamp_tree, STAMP_SQL),
-    "lnk_container": Query(lnk_container, CONTAINER_SQL),
     "text_repeated_lines": Query(text_repeated_lines, r"""WITH d AS (SELECT DISTINCT doc_id, text FROM documents), l AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))), '[\s\x{00a0}]+', ' ', 'g')) AS line FROM d)
         SELECT regexp_replace(lower(line), '[0-9]+', '#', 'g') AS shape, count(DISTINCT doc_id) AS documents FROM l WHERE line <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3"""),
     "text_normative_share": Query(text_normative_share, f"WITH {_CURRENT} SELECT doc_id, count(*) AS clauses, count(*) FILTER (WHERE length(text) >= 60 AND regexp_matches(text, '{texts.NORMATIVE}')) AS normative, count(*) FILTER (WHERE length(text) < 15) AS stubs FROM cur GROUP BY doc_id"),
@@ -538,22 +365,6 @@ QUERIES = {
     "cit_extract": Query(cit_extract),
     "cit_summary": Query(cit_summary),
     "cit_kinds": Query(cit_kinds, rf"WITH r AS (SELECT DISTINCT id, lower(regexp_replace(raw_text, '\s+', ' ', 'g')) AS low FROM unresolved_citations) SELECT CASE {_KIND_CASES} ELSE 'reference' END AS kind, count(*) AS citations FROM r GROUP BY 1"),
-    "lnk_resolve_target": Query(lnk_resolve_target, f"WITH {_RESOLVE} SELECT * FROM resolved"),
-    "lnk_propose": Query(lnk_propose, PROPOSE_SQL),
-    "lnk_shared_evidence": Query(lnk_shared_evidence, "WITH k AS (SELECT DISTINCT id, list_sort(list_distinct(attribute_ids)) AS key FROM obligations WHERE len(attribute_ids) >= 2), c AS (SELECT *, min(id) OVER (PARTITION BY key) AS centre FROM k) SELECT centre, id AS rule_id FROM c WHERE id <> centre"),
-    "lnk_split_of": Query(lnk_split_of, "WITH k AS (SELECT DISTINCT id, source_clause_id FROM obligations WHERE source_clause_id IS NOT NULL), c AS (SELECT *, min(id) OVER (PARTITION BY source_clause_id) AS centre FROM k) SELECT centre, id AS rule_id FROM c WHERE id <> centre"),
-    "lnk_report": Query(lnk_report, "WITH u AS (SELECT DISTINCT id, edge_type, state, attempts FROM unresolved_citations) SELECT edge_type, state, count(*) AS citations, count(*) FILTER (WHERE attempts >= 5) AS worn_out FROM u GROUP BY ALL"),
-    "lnk_waiting": Query(lnk_waiting, "WITH u AS (SELECT DISTINCT id, target_doc, target_container, target_clause_no FROM unresolved_citations WHERE state = 'PENDING') SELECT target_doc, target_container, target_clause_no, count(*) AS citations FROM u GROUP BY ALL ORDER BY citations DESC, target_doc NULLS FIRST, target_container NULLS FIRST, target_clause_no NULLS FIRST LIMIT 25"),
-    "con_interval_build": Query(con_interval_build, f"WITH {_PLAIN} SELECT rule_id, attribute, op, value, lo, hi, lo_open, hi_open FROM bounds"),
-    "con_contradictions": Query(con_contradictions, f"WITH {_CONFLICTS} SELECT * FROM conflicts"),
-    "con_contradictions_full": Query(con_contradictions_full),
-    "con_redundant_identity": Query(con_redundant_identity, "WITH r AS (SELECT DISTINCT id, lower(identity_hash) AS identity_hash FROM obligations WHERE identity_hash IS NOT NULL) SELECT identity_hash, count(*) AS rules, min(id) AS first_rule FROM r GROUP BY 1 HAVING count(*) > 1"),
-    "con_subsumption": Query(con_subsumption, f"WITH {_PLAIN}, s AS (SELECT rule_id, audience_id, string_agg(DISTINCT attribute || ' ' || op || ' ' || CAST(CAST(value AS DECIMAL(30, 4)) AS VARCHAR), ' && ' ORDER BY attribute || ' ' || op || ' ' || CAST(CAST(value AS DECIMAL(30, 4)) AS VARCHAR)) AS signature FROM plain GROUP BY ALL) SELECT signature, count(*) AS rules, count(DISTINCT audience_id) AS audiences, min(rule_id) AS first_rule FROM s GROUP BY 1 HAVING count(*) > 1"),
-    "con_dangling_edges": Query(con_dangling_edges, "SELECT DISTINCT id, source_clause_id, state FROM obligations WHERE source_clause_id IS NOT NULL AND source_clause_id NOT IN (SELECT id FROM source_clauses)"),
-    "con_report_by_cause": Query(con_report_by_cause, f"WITH {_CONFLICTS}, f AS (SELECT 'contradiction' AS cause, rule_id FROM conflicts UNION SELECT 'no source', id FROM obligations WHERE source_spans IS NULL OR len(source_spans) = 0 UNION SELECT 'no audience', id FROM obligations WHERE audience_id IS NULL) SELECT cause, count(*) AS rules, min(rule_id) AS first_rule FROM f GROUP BY 1"),
-    "aud_normalise": Query(aud_normalise, NORMALISE_SQL),
-    "aud_lattice": Query(aud_lattice, f"WITH {_AUDIENCES} SELECT a.predicate AS narrower, b.predicate AS broader FROM aud a JOIN aud b ON a.seg = b.seg AND a.predicate <> b.predicate WHERE a.bal >= b.bal AND (a.qsb OR NOT b.qsb)"),
-    "aud_compose_conflicts": Query(aud_compose_conflicts, "SELECT c_nationkey, min(c_mktsegment) <> max(c_mktsegment) AS refused FROM customer GROUP BY 1"),
     "res_knn": Query(res_knn, f"WITH {_NEAR} SELECT query_id, id, round(distance, 4) AS distance, rank FROM ranked WHERE rank <= 10"),
     "res_radius": Query(res_radius, f"WITH {_NEAR} SELECT query_id, id, rank FROM ranked WHERE rank <= 3 AND distance <= 0.35"),
     "res_bands": Query(res_bands, f"WITH {_NEAR} SELECT CASE WHEN distance < 0.15 THEN 'reuse' WHEN distance <= 0.45 THEN 'judge' ELSE 'new' END AS decision, count(*) AS attributes FROM ranked WHERE rank = 1 GROUP BY 1"),
@@ -585,11 +396,9 @@ QUERIES = {
         UNION ALL SELECT 'unknown', count(DISTINCT rule_id) FROM named WHERE id IS NULL"""),
     "res_consolidation": Query(res_consolidation),
     "res_fragmented": Query(res_fragmented, "WITH r AS (SELECT DISTINCT id, data_type, canonical_name, regexp_replace(regexp_replace(lower(canonical_name), '^(is|has|the|total|current|last)_', ''), '_(date|flag|count|amount|value|nos|inr|mn|cr|lakh|pct|bps|days|months|hrs|yrs|thousands)$', '') AS stem FROM attributes) SELECT data_type, stem, count(DISTINCT canonical_name) AS entries, min(id) AS first_id FROM r WHERE length(stem) > 6 GROUP BY ALL HAVING count(DISTINCT canonical_name) > 1"),
-    "lnk_admit_edges": Query(lnk_admit_edges),
     "asm_applicability": Query(asm_applicability),
     "met_corpus": Query(met_corpus, f"WITH {_CURRENT} SELECT doc_id, count(*) AS clauses, count(clause_no) AS numbered, count(heading) AS headings, count(*) FILTER (WHERE is_title) AS titles, count(*) FILTER (WHERE length(text) < 60) AS short, CAST(grouping(doc_id) AS INTEGER) AS is_total FROM cur GROUP BY ROLLUP (doc_id)"),
     "met_duplicate_numbers": Query(met_duplicate_numbers, f"WITH {_CURRENT}, t AS (SELECT doc_id, coalesce(container, '') AS c, clause_no, count(*) AS n FROM cur WHERE clause_no IS NOT NULL GROUP BY ALL HAVING count(*) > 1) SELECT doc_id, count(*) AS numbers, CAST(sum(n) AS BIGINT) AS clauses FROM t GROUP BY doc_id"),
     "rep_trend": Query(rep_trend, "WITH r AS (SELECT strftime(created_at AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS assertions, count(*) FILTER (WHERE verdict = 'new') AS opened FROM (SELECT DISTINCT seq, created_at, verdict FROM rule_assertions) GROUP BY 1) SELECT month, assertions, opened, assertions - lag(assertions) OVER (ORDER BY month) AS change FROM r"),
     "rep_runs": Query(rep_runs, _keyed("WITH r AS (SELECT DISTINCT id, dockey(doc_id) AS doc, status, started_at FROM ingestion_runs), l AS (SELECT doc, arg_max(status, (started_at, id)) AS last_status, count(*) AS runs, count(*) FILTER (WHERE status = 'completed') AS completed FROM r GROUP BY doc) SELECT last_status, count(*) AS circulars, CAST(sum(runs) AS BIGINT) AS runs, CAST(sum(completed) AS BIGINT) AS completed FROM l GROUP BY 1")),
-    "audit_chain_verify": Query(audit_chain_verify, AUDIT_SQL),
 }

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rulegrid.operators import graph, ordered
-from rulegrid.plans.reference import _CURRENT, _PLAIN, _RESOLVE, _citations, _current, _rules
+from rulegrid.operators import ordered
+from rulegrid.plans.linking import _RESOLVE, _resolved
+from rulegrid.plans.reference import _CURRENT, _current, _rules
 from rulegrid.plans.registry import Query
 from rulegrid.runtime import table
 
@@ -37,7 +38,7 @@ def seg_sibling_context(spark, d):
 def aud_queue_report(spark, d):
     """Audiences with how many clauses and rules they have; each side is counted before the join."""
     clauses = _current(spark, d, "audience_id").where("audience_id IS NOT NULL").groupBy("audience_id").agg(F.count(F.lit(1)).alias("clauses"))
-    rules = _rules(spark, d).dropDuplicates(["id"]).where("audience_id IS NOT NULL").groupBy("audience_id").agg(F.count(F.lit(1)).alias("rules"))
+    rules = _rules(spark, d).select("id", "audience_id").distinct().where("audience_id IS NOT NULL").groupBy("audience_id").agg(F.count(F.lit(1)).alias("rules"))
     return clauses.join(rules, "audience_id", "full").select("audience_id", F.coalesce("clauses", F.lit(0)).alias("clauses"), F.coalesce("rules", F.lit(0)).alias("rules"))
 
 
@@ -76,25 +77,11 @@ def met_snapshot_diff(spark, d):
 
 
 def met_citation_funnel(spark, d):
-    return graph.resolved(*_citations(spark, d)).groupBy("result").agg(F.count(F.lit(1)).alias("citations"), F.sum("candidates").alias("candidates"))
-
-
-def sp_bound_merge(spark, d):
-    """Each rule's tightest bounds on an attribute, and whether they leave anything."""
-    rows = graph.plain_constraints(_rules(spark, d)).where("lo IS NOT NULL")
-    merged = rows.groupBy("rule_id", "attribute").agg(F.max(F.struct("lo", "lo_open")).alias("l"), F.min(F.struct("hi", (~F.col("hi_open")).alias("closed"))).alias("h"), F.count(F.lit(1)).alias("constraints"))
-    empty = (F.col("l.lo") > F.col("h.hi")) | (F.col("l.lo") == F.col("h.hi")) & (F.col("l.lo_open") | ~F.col("h.closed"))
-    return merged.select("rule_id", "attribute", "constraints", F.nullif(F.col("l.lo"), F.lit(float("-inf"))).alias("lo"), F.nullif(F.col("h.hi"), F.lit(float("inf"))).alias("hi"), empty.alias("is_empty"))
-
-
-def text_modal_words(spark, d):
-    """How often each modal phrase stands in the documents' texts, and in how many."""
-    rows = table(spark, d, "documents").select("doc_id", "text").distinct()
-    hits = rows.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b(shall|must|should|ought to|may)\b"), F.lit(1))).alias("word"))
-    return hits.groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("word").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("documents"))
+    return _resolved(spark, d).groupBy("result").agg(F.count(F.lit(1)).alias("citations"), F.sum("candidates").alias("candidates"))
 
 
 _GREP = r"(?i)\baudit"
+
 QUERIES = {
     "seg_recall_audit": Query(seg_recall_audit, f"WITH {_CURRENT} SELECT doc_id, count(*) AS clauses, min(id) AS first_id FROM cur WHERE regexp_matches(text, '{TEETH}') AND NOT is_title AND id NOT IN (SELECT source_clause_id FROM obligations WHERE source_clause_id IS NOT NULL) GROUP BY doc_id"),
     "seg_effective_date": Query(seg_effective_date, r"WITH r AS (SELECT DISTINCT doc_id, text FROM documents) SELECT CAST(year(TRY_CAST(nullif(regexp_extract(text, '\b((?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9])\b', 1), '') AS DATE)) AS INTEGER) AS year, count(*) AS documents FROM r GROUP BY 1"),
@@ -109,7 +96,4 @@ QUERIES = {
         u AS (SELECT doc_id, 1 AS a, 0 AS g FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM f) UNION ALL SELECT doc_id, 0, 1 FROM (SELECT * FROM f EXCEPT ALL SELECT * FROM l))
         SELECT doc_id, CAST(sum(a) AS BIGINT) AS added, CAST(sum(g) AS BIGINT) AS gone FROM u GROUP BY doc_id"""),
     "met_citation_funnel": Query(met_citation_funnel, f"WITH {_RESOLVE} SELECT result, count(*) AS citations, CAST(sum(candidates) AS BIGINT) AS candidates FROM resolved GROUP BY result"),
-    "sp_bound_merge": Query(sp_bound_merge, f"""WITH {_PLAIN}, m AS (SELECT rule_id, attribute, count(*) AS constraints, max(lo) AS lo, min(hi) AS hi FROM bounds WHERE op <> '!=' GROUP BY ALL)
-        SELECT m.*, coalesce(m.lo > m.hi OR (m.lo = m.hi AND (EXISTS (SELECT 1 FROM bounds b WHERE b.rule_id = m.rule_id AND b.attribute = m.attribute AND b.lo = m.lo AND b.lo_open) OR EXISTS (SELECT 1 FROM bounds b WHERE b.rule_id = m.rule_id AND b.attribute = m.attribute AND b.hi = m.hi AND b.hi_open))), false) AS is_empty FROM m"""),
-    "text_modal_words": Query(text_modal_words, r"WITH r AS (SELECT DISTINCT doc_id, text FROM documents), h AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\b(shall|must|should|ought to|may)\b')) AS word FROM r) SELECT word, count(*) AS times, count(DISTINCT doc_id) AS documents FROM h GROUP BY word"),
 }

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from rulegrid.operators import graph, orphans
+from rulegrid.operators import links, orphans
 
 T = dt.datetime
 
@@ -18,7 +18,7 @@ def tables(spark):
         (1, 1, "Circular No. hsb x 2020 7", None, "Sr. No. 01. 2)", "PENDING"), (2, 1, None, "ANNEXURE-a", "(3)", "PENDING"), (3, 1, "HSB/X/2020/7", None, "9", None), (4, 1, "HSB/X/2019/000008;", None, "1", "X"),
         (5, 1, "HSB/X/2018/000009", None, None, "X"), (6, 1, None, None, None, "X"), (7, 99, None, None, "4", "X"), (8, 1, "HSB/X/2020/000007", None, None, "X"), (1, 1, "Circular No. hsb x 2020 7", None, "Sr. No. 01. 2)", "PENDING"),
     ]
-    c = spark.createDataFrame([(*x, T(2021, 1, 1)) for x in cites], "id int, from_clause_id int, target_doc string, target_container string, target_clause_no string, state string, created_at timestamp").selectExpr("*", "'x' AS doc", "1 AS salt", "'x' AS kind")
+    c = spark.createDataFrame([(*x, T(2021, 1, 1)) for x in cites], "id int, from_clause_id int, target_doc string, target_container string, target_clause_no string, state string, created_at timestamp").selectExpr("*", "CAST(NULL AS INT) AS from_obligation_id", "'depends_on' AS edge_type", "0 AS attempts", "'x' AS doc", "1 AS salt", "'x' AS kind")
     return c, spark.createDataFrame(clauses, "id int, doc_id string, clause_no string, container string, citable boolean, created_at timestamp"), spark.createDataFrame(runs, "id string, doc_id string, status string")
 
 
@@ -29,9 +29,10 @@ def test_kinds(tables):
     assert sum(r.citations for r in report) == 5 and {r.month for r in report} == {"2021-01"}
 
 
-def test_resolution(tables):
-    got = {r.citation_id: (r.result, r.clause_id) for r in graph.resolved(*tables[:2]).collect()}
-    assert got[1] == ("ambiguous", None) and got[2] == ("unique", 2) and got[5] == ("external", None) and got[3] == ("absent", None)
+def test_resolution(spark, tables):
+    paths = spark.createDataFrame([(1, "1")], "id int, path string")
+    got = {r.citation_id: (r.result, r.clause_id) for r in links.resolved(*tables[:2], paths).collect()}
+    assert got[1] == ("ambiguous", None) and got[2] == ("container", 2) and got[5] == ("external", None) and got[3] == ("absent", None)
 
 
 def test_empty_tables(tables):

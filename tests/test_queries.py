@@ -4,10 +4,10 @@ import os
 
 import pytest
 
-from rulegrid.plans import problems, reference, surveys
+from rulegrid.plans import core
 
 duckdb = pytest.importorskip("duckdb")
-CORE = {**problems.QUERIES, **reference.QUERIES, **surveys.QUERIES}
+CORE = core()
 
 
 def plain(value):

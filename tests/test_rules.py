@@ -10,7 +10,7 @@ from rulegrid.functions import predicates, vectors
 from rulegrid.functions.citations import read_citations
 from rulegrid.functions.compiler import compile_rule
 from rulegrid.functions.expressions import RuleError, canonical, compared_literals, constraints, fingerprint, parse, written
-from rulegrid.operators import graph, ordered, resolution, rules, segment, texts
+from rulegrid.operators import audiences, consistency, links, ordered, resolution, rules, segment, texts
 
 IDS = {"Cyber.last_audit_date": 4471, "Cyber.scope": 5120, "Broker.net_worth": 991, "today": 1}
 
@@ -80,17 +80,18 @@ def test_predicates(spark):
 def test_conflict_counts_equal_all_pairs(spark):
     ops = ["<=", "<", ">=", ">", "=="]
     rows = [(i, 1, "a", op, float(v)) for i, (op, v) in enumerate(itertools.product(ops, (90, 180, 365)))]
-    df = spark.createDataFrame(rows, "rule_id int, audience_id int, attribute string, op string, value double").withColumn("i", graph.intervals(F.col("value"), F.col("op"))).select("rule_id", "audience_id", "attribute", "op", "value", "i.*")
+    df = spark.createDataFrame(rows, "rule_id int, audience_id int, attribute string, op string, value double").withColumn("i", consistency.intervals(F.col("value"), F.col("op"))).selectExpr("rule_id", "audience_id", "'ACTIVE' AS state", "attribute", "op", "value", "i.*")
     holds = {"<=": lambda x, v: x <= v, "<": lambda x, v: x < v, ">=": lambda x, v: x >= v, ">": lambda x, v: x > v, "==": lambda x, v: x == v}
     points = [p / 2 for p in range(0, 1000)]
     want = {i: sum(not any(holds[o](x, v) and holds[p](x, w) for x in points) for j, (p, w) in enumerate((r[3], r[4]) for r in rows)) for i, (o, v) in enumerate((r[3], r[4]) for r in rows)}
-    assert {r.rule_id: r.conflicts for r in graph.conflict_counts(df).collect()} == {i: n for i, n in want.items() if n}
+    assert {r.rule_id: r.conflicts for r in consistency.conflicts(df).collect()} == {i: n for i, n in want.items() if n}
 
 
 def test_stars(spark):
     df = spark.createDataFrame([(1, [3, 2], 9), (2, [2, 3, 3], 9), (3, [2], None), (4, None, 9), (2, [2, 3, 3], 9)], "id int, attribute_ids array<int>, source_clause_id int")
-    assert [tuple(r) for r in graph.shared_evidence(df).collect()] == [(1, 2)]
-    assert sorted(tuple(r) for r in graph.split_of(df).collect()) == [(1, 2), (1, 4)]
+    assert [tuple(r) for r in links.shared_evidence(df, 2).collect()] == [(1, 2)]
+    assert sorted(tuple(r) for r in links.shared_evidence(df.union(df.sparkSession.createDataFrame([(9, [2], 1)], df.schema))).collect()) == [(1, 2), (3, 9)]
+    assert sorted(tuple(r) for r in links.split_of(df).collect()) == [(1, 2), (1, 4)]
 
 
 def test_vectors(spark):
@@ -163,10 +164,93 @@ def test_modifiers_are_routed_and_folded(spark):
     assert got[2].applicability == "and(not(n < 500))" and got[3].conditions == ["a", "b"]
 
 
-def test_edges_on_loops(spark):
-    e = spark.createDataFrame([(1, 2, "depends_on"), (2, 3, "depends_on"), (3, 1, "depends_on"), (3, 4, "depends_on"), (4, 4, "depends_on"), (1, 9, "amends"), (1, 2, "depends_on")], "from_id int, to_id int, type string")
-    got = {(r.from_id, r.to_id): r.in_cycle for r in graph.admitted(e).collect()}
-    assert got == {(1, 2): True, (2, 3): True, (3, 1): True, (3, 4): False, (1, 9): False}
+def test_edges_on_loops_and_between_them(spark):
+    pairs = [(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 4), (5, 6), (6, 6), (1, 2), (7, 8), (8, 9), (9, 7)]
+    rows = [(i, a, b, "depends_on") for i, (a, b) in enumerate(pairs)] + [(50, 2, 1, "amends")]
+    got = {(r.from_id, r.to_id, r.type): (r.in_cycle, r.admitted) for r in links.admitted(spark.createDataFrame(rows, "citation_id int, from_id int, to_id int, type string")).collect()}
+    loops = {(1, 2), (2, 1), (4, 5), (5, 4), (7, 8), (8, 9), (9, 7)}
+    assert {k[:2] for k, v in got.items() if v[0]} == loops and got[2, 1, "amends"] == (False, True)
+    assert {k for k, v in got.items() if not v[1]} == {(2, 1, "depends_on"), (5, 4, "depends_on"), (9, 7, "depends_on")}
+    assert links.admitted(spark.createDataFrame(rows[:1], "citation_id int, from_id int, to_id int, type string").limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_edges_are_admitted_in_order(spark, seed):
+    rng = __import__("random").Random(seed)
+    rows = [(i, rng.randrange(30), rng.randrange(30), "depends_on") for i in range(70)]
+    taken, want = {}, {}
+    for _, a, b, _ in rows:
+        if a != b and (a, b) not in want:
+            seen, todo = {b}, [b]
+            while todo:
+                todo += [y for y in taken.get(todo.pop(), ()) if y not in seen and not seen.add(y)]
+            want[a, b] = a not in seen
+            if want[a, b]:
+                taken.setdefault(a, []).append(b)
+    df = spark.createDataFrame(rows, "citation_id int, from_id int, to_id int, type string").repartition(7)
+    assert {(r.from_id, r.to_id): r.admitted for r in links.admitted(df).collect()} == want and not all(want.values())
+
+
+def test_links_of_the_fixture(spark):
+    when = dt.datetime(2020, 1, 1)
+    tree = [(1, "9", None, False, None), (2, "9.5", 1, True, None), (3, "9.5.3", 2, True, None), (4, "9.5.3.1", 3, True, None), (5, "9.5.3.2", 3, True, None), (6, None, None, False, "Annexure A"), (7, "1", 6, True, "Annexure A"), (8, "2", 6, True, "Annexure A"), (9, "1", 1, True, None), (10, "9.5.3.1", None, False, None), (11, "1", 1, True, None)]
+    paths = {1: "1", 2: "1/2", 3: "1/2/3", 4: "1/2/3/4", 5: "1/2/3/5", 6: "6", 7: "6/7", 8: "6/8", 9: "1/9", 10: "10", 11: "1/11"}
+    clauses = spark.createDataFrame([(i, "D", no, p, ok, box, when) for i, no, p, ok, box in tree], "id int, doc_id string, clause_no string, parent_id int, citable boolean, container string, created_at timestamp")
+    cites = [(1, 5, None, "depends_on", "D", None, "9.5.3.1"), (2, 8, None, "depends_on", "D", "Annexure A", "1"), (3, 5, None, "depends_on", "D", None, "1"), (4, 5, None, "depends_on", "D", None, None), (5, 5, None, "depends_on", "D", None, "99.9"), (6, 9, None, "amends", "D", None, "1"), (7, 5, None, "amends", "D", None, "9.5"), (8, 3, None, "depends_on", "D", None, "9.5")]
+    c = spark.createDataFrame([(*x[:4], "PENDING", 4 if x[0] == 5 else 0, *x[4:]) for x in cites], "id int, from_clause_id int, from_obligation_id int, edge_type string, state string, attempts int, target_doc string, target_container string, target_clause_no string")
+    p = spark.createDataFrame(list(paths.items()), "id int, path string")
+    found = links.resolved(c, clauses, p)
+    got = {r.citation_id: (r.result, r.clause_id) for r in found.collect()}
+    assert got == {1: ("unique", 4), 2: ("container", 7), 3: ("ambiguous", None), 4: ("external", None), 5: ("absent", None), 6: ("scoped", 11), 7: ("unique", 2), 8: ("unique", 2)}
+    rules = spark.createDataFrame([(50, 5), (51, 4), (52, 4), (53, 2), (54, 9), (55, 11), (56, 2)], "id int, source_clause_id int")
+    edges, parked = links.proposed(c, clauses, rules, found)
+    assert {(r.citation_id, r.from_id, r.to_id, r.state, r.confidence) for r in edges.collect()} == {(1, 50, 51, "ACTIVE", 0.9), (1, 50, 52, "ACTIVE", 0.9), (3, 50, 54, "REVIEW", 0.4), (3, 50, 55, "REVIEW", 0.4), (6, 54, 55, "REVIEW", 0.7)}
+    assert {r.citation_id: r.reason for r in parked.collect()} == {2: "no_source_rule", 4: "external", 5: "absent", 7: "target_not_precise", 8: "no_source_rule"}
+    sweep = {r.citation_id: (r.state, r.attempts, r.clause_id) for r in links.swept(c, clauses).collect()}
+    assert sweep[1] == ("RESOLVED", 1, 4) and sweep[2] == ("RESOLVED", 1, 7) and sweep[3] == ("PENDING", 1, None) and sweep[5] == ("ABANDONED", 5, None) and sweep[7] == ("PENDING", 1, None)
+
+
+def test_dead_and_subsumed_rules_and_overlapping_audiences(spark):
+    reg = spark.createDataFrame([(7, "category == 'stock_broker' && is_qsb == true"), (8, "category == 'stock_broker'"), (9, "category == 'investment_adviser'"), (3, "category == 'bank' && is_qsb == true")], "audience_id int, predicate string")
+    parsed = reg.select("audience_id", audiences.parsed(F.col("predicate")).alias("conditions"))
+    assert {(r.narrower, r.broader) for r in audiences.relations(parsed).collect()} == {(7, 8), (3, 8), (3, 7)}
+    rules = spark.createDataFrame([(1, 7, "ACTIVE"), (2, 8, "ACTIVE"), (3, 9, "REVIEW"), (4, None, "REVIEW"), (5, 3, "SUPERSEDED"), (6, 7, "ACTIVE")], "id int, audience_id int, state string")
+    con = [(1, 7, "ACTIVE", "a", ">=", 9.0), (2, 8, "ACTIVE", "a", "<=", 5.0), (3, 9, "REVIEW", "a", "<=", 5.0), (3, 9, "REVIEW", "a", ">", 5.0), (6, 7, "ACTIVE", "a", "<=", 5.0)]
+    rows = spark.createDataFrame(con, "rule_id int, audience_id int, state string, attribute string, op string, value double").withColumn("i", consistency.intervals(F.col("value"), F.col("op"))).select("rule_id", "audience_id", "state", "attribute", "op", "value", "i.*")
+    alone = {(r.rule_id, r.op): (r.conflicts, r.example, r.severity) for r in consistency.conflicts(rows).collect()}
+    assert alone == {(1, ">="): (1, 6, "high"), (6, "<="): (1, 1, "high"), (3, "<="): (1, 3, "medium"), (3, ">"): (1, 3, "medium")}
+    over = {(r.rule_id, r.op): r.conflicts for r in consistency.conflicts(rows, audiences.overlaps(parsed)).collect()}
+    assert over[1, ">="] == 2 and over[2, "<="] == 1 and over[6, "<="] == 1
+    assert {(r.rule_id, r.cause, r.severity) for r in consistency.dead_rules(rules, rows, parsed).collect()} == {(3, "own_conflict", "medium"), (4, "no_audience", "low")}
+    assert [(r.narrower, r.broader, r.first_rule, r.broader_rule) for r in consistency.subsumed(rows, audiences.relations(parsed)).collect()] == [(7, 8, 6, 2)]
+
+
+def test_many_rules_are_compared_without_pairs(spark):
+    """50,000 rules over 5,000 attributes and three planted ones; the plan holds no product of rules."""
+    rules = spark.range(50_000).selectExpr("CAST(id AS INT) AS id", "1 AS audience_id", "'ACTIVE' AS state", "concat('[A.x', id % 5000, '] <= ', 100 + id % 7) AS rule_expression")
+    bad = spark.createDataFrame([(60_000 + i, 1, "ACTIVE", f"[A.x{i}] >= 9999") for i in range(3)], "id int, audience_id int, state string, rule_expression string")
+    reg = spark.createDataFrame([], "id int, category string, canonical_name string, aliases array<string>, data_type string, unit string, description string")
+    began = __import__("time").perf_counter()
+    found = consistency.conflicts(consistency.constraints(rules.unionByName(bad), reg))
+    got = found.collect()
+    assert __import__("time").perf_counter() - began < 30 and len(got) == 33 and {r.conflicts for r in got if r.rule_id >= 60_000} == {10}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_audience_texts(spark):
+    cases = [("Circular to all stock brokers and depositories", "x", "category in ['depository', 'stock_broker']"), ("Note", "for every Custodian", "category == 'custodian'"), ("For Regulated Entities", None, "regulator == 'sebi'"), (None, None, None)]
+    df = spark.createDataFrame([(t, o, w) for t, o, w in cases], "t string, o string, w string")
+    for r in df.select(audiences.document_audience(F.col("t"), F.col("o")).alias("g"), "w", "t").collect():
+        assert r.g == r.w or r.t.startswith("Circular") and r.g == "category == 'stock_broker'"
+    heads = {r[0]: r[1] for r in spark.createDataFrame([("Duties of Qualified Stock Brokers",), ("Custodians of assets",), ("Net worth",), (None,)], "h string").select("h", audiences.heading_audience(F.col("h"))).collect()}
+    assert heads == {"Duties of Qualified Stock Brokers": "is_qsb == true", "Custodians of assets": "category == 'custodian'", "Net worth": None, None: None}
+    rungs = audiences.laddered(
+        spark.createDataFrame([(1, "category == 'bank'"), (2, "bogus == 1"), (3, ""), (4, "aum > 5"), (5, "aum > 6")], "key int, predicate string"),
+        spark.createDataFrame([(10, "category == 'bank'"), (11, "aum > 7")], "audience_id int, predicate string"),
+        spark.createDataFrame([(4, 11, 0.2, 0.9), (5, 11, 0.2, 0.4)], "key int, audience_id int, distance double, judgement double"),
+    )
+    assert {r.key: (r.rung, r.audience_id) for r in rungs.collect()} == {1: ("hash", 10), 2: ("refused", None), 3: ("refused", None), 4: ("judged", 11), 5: ("created", None)}
 
 
 def test_lints_and_fidelity(spark):
@@ -202,16 +286,16 @@ def test_constraints_in_every_spelling_conflict_in_common_units(spark):
         "[Cat.Window] <= seven days", "200 <= [cat.win]", "([Cat.window] BETWEEN 5 days AND 300 hours)", "[Cat.window] >= 2 weeks OR [Cat.debt] > 1", "NOT ([Cat.window] > 10)",
         "[Cat.debt] <= 5 lakh && days_since([Cat.window]) > 3", "Rs.600,000 <= [Cat.debt]", "months_since([Cat.window]) < 0.05", "attest: [Cat.debt] > 9 crore",
     ]
-    rows = [(i, 1, e) for i, e in enumerate(texts_)]
-    df = spark.createDataFrame(rows, "id int, audience_id int, rule_expression string")
+    rows = [(i, 1, e, "ACTIVE") for i, e in enumerate(texts_)]
+    df = spark.createDataFrame(rows, "id int, audience_id int, rule_expression string, state string")
     reg = spark.createDataFrame([(1, "Cat", "window", ["win"], "number", "hours", ""), (2, "Cat", "debt", None, "number", "rupees", "")], "id int, category string, canonical_name string, aliases array<string>, data_type string, unit string, description string")
-    full = graph.full_constraints(df, reg)
+    full = consistency.constraints(df, reg)
     got = {(r.rule_id, r.attribute, r.op, r.value) for r in full.collect()}
     assert got == {
-        (0, "1 time", "<=", 168.0), (1, "1 time", ">=", 200.0), (2, "1 time", ">=", 120.0), (2, "1 time", "<=", 300.0), (4, "1 time", "<=", 10.0),
+        (0, "1 time", "<=", 168.0), (1, "1 time", ">=", 200.0), (2, "1 time", ">=", 120.0), (2, "1 time", "<=", 300.0),
         (5, "2 money", "<=", 500000.0), (5, "1 since time", ">", 72.0), (6, "2 money", ">=", 600000.0), (7, "1 since time", "<", 36.0),
     }
     rows = full.collect()
     apart = lambda x, y: x.hi < y.lo or x.hi == y.lo and (x.hi_open or y.lo_open)
     want = {(a.rule_id, a.attribute, a.op): n for a in rows if (n := sum(a.attribute == b.attribute and (apart(a, b) or apart(b, a)) for b in rows))}
-    assert {(r.rule_id, r.attribute, r.op): r.conflicts for r in graph.conflict_counts(full).collect()} == want and len(want) == 8
+    assert {(r.rule_id, r.attribute, r.op): r.conflicts for r in consistency.conflicts(full).collect()} == want and len(want) == 6
