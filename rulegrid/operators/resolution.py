@@ -8,8 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulegrid.functions.vectors import cosine_distance, jaccard
+from rulegrid.runtime import checkpointed
 
-REUSE, JUDGE, CLUSTER = 0.15, 0.45, 0.15
+#: Distances of the bands, of clusters and of what is only near one.
+REUSE, JUDGE, CLUSTER, BORDERLINE = 0.15, 0.45, 0.15, 0.30
+#: What units measure, other spellings of data types, and the data types.
+DIMENSIONS = {"time": "hours days months years", "money": "rupees inr crore lakh", "ratio": "percent ratio", "count": "count"}
+TYPE_ALIASES = {
+    "number": "numeric integer int float decimal currency amount percentage", "date": "datetime timestamp", "boolean": "bool", "string": "text", "document": "file doc attachment",
+}
+TYPES = ("number", "date", "boolean", "string", "document")
+#: Weights of a name's count, recency and clarity; years after which a mention is old; words that are noise.
+COUNT_WEIGHT, RECENT_WEIGHT, OLD = 3.0, 1.5, 10.0
+NOISE = r"^(?:\d+|january|february|march|april|may|june|july|august|september|october|november|december|q[1-4]|fy\d*|20\d\d)$"
 
 
 def nearest(queries: DataFrame, register: DataFrame, k: int, within: float | None = None) -> DataFrame:
@@ -57,23 +68,116 @@ def judged(register: DataFrame, least: float) -> DataFrame:
     return pairs.select(F.col("id").alias("a"), "b", F.round(jaccard(F.col("w"), F.col("bw")), 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def composite(name: Column, meaning: Column, topic: Column) -> Column:
+    """The text that an attribute is embedded by; the audience is no part of it."""
+    told = [F.when(F.length(F.trim(c)) > 0, F.concat(F.lit(f"{label}: "), F.trim(c))) for label, c in (("name", name), ("meaning", meaning), ("topic", topic))]
+    return F.concat_ws(" ", *told)
+
+
+def data_type(raw: Column) -> Column:
+    """One of TYPES; string where the word is unknown."""
+    low = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
+    out = F.when(low.isin(*TYPES), low)
+    for kind, words in TYPE_ALIASES.items():
+        out = out.when(low.isin(*words.split()), kind)
+    return out.otherwise("string")
+
+
+def dimension(unit: Column) -> Column:
+    out = None
+    for kind, words in DIMENSIONS.items():
+        out = F.when(unit.isin(*words.split()), kind) if out is None else out.when(unit.isin(*words.split()), kind)
+    return out
+
+
+def units_fit(a: Column, b: Column) -> Column:
+    """Unstated units fit anything, equal ones fit, and those that measure one thing; unknown ones only themselves."""
+    a, b = F.lower(F.trim(F.coalesce(a, F.lit("")))), F.lower(F.trim(F.coalesce(b, F.lit(""))))
+    return (a == "") | (b == "") | (a == b) | F.coalesce(dimension(a) == dimension(b), F.lit(False))
+
+
+def types_fit(a: Column, b: Column) -> Column:
+    """Unstated types fit anything, equal ones fit, and string fits any."""
+    a, b = F.lower(F.trim(F.coalesce(a, F.lit("")))), F.lower(F.trim(F.coalesce(b, F.lit(""))))
+    return (a == "") | (b == "") | (a == b) | (a == "string") | (b == "string")
+
+
+def index_apart(a: Column, b: Column) -> Column:
+    """Names that differ in nothing but their numbers at the end: x_1 and x_2 never merge."""
+    stem = lambda c: F.regexp_replace(c, r"_?\d+$", "")
+    return (a != b) & (stem(a) == stem(b)) & a.rlike(r"\d$") & b.rlike(r"\d$")
+
+
+def gated(pairs: DataFrame) -> DataFrame:
+    """pairs (a_type, b_type, a_unit, b_unit, a_name, b_name, ...) with `rejected`: type, unit, index or null, the first that holds."""
+    rejected = F.when(~types_fit(F.col("a_type"), F.col("b_type")), "type").when(~units_fit(F.col("a_unit"), F.col("b_unit")), "unit").when(index_apart(F.col("a_name"), F.col("b_name")), "index")
+    return pairs.withColumn("rejected", rejected)
+
+
+def candidates(queries: DataFrame, register: DataFrame, within: float) -> DataFrame:
+    """(query_id, id, distance, rejected): register entries of the query's category within the distance, with the gates' verdict.
+
+    queries: query_id, category, name, data_type, unit, vector; register: id, category, canonical_name, data_type, unit,
+    vector. The gates are asked before anything is ranked, so a rejected entry never takes a place."""
+    left = queries.where("size(vector) > 0").select("query_id", F.lower("category").alias("category"), F.col("name").alias("a_name"), F.col("data_type").alias("a_type"), F.col("unit").alias("a_unit"), F.col("vector").alias("qv"))
+    right = register.where("size(vector) > 0").select("id", F.lower("category").alias("category"), F.col("canonical_name").alias("b_name"), F.col("data_type").alias("b_type"), F.col("unit").alias("b_unit"), F.col("vector").alias("rv"))
+    near = left.join(right, "category").where("query_id <> id").withColumn("distance", cosine_distance(F.col("qv"), F.col("rv"))).where(F.col("distance") <= within)
+    return gated(near).select("query_id", "id", "distance", "rejected")
+
+
+def funnel(queries: DataFrame, register: DataFrame) -> DataFrame:
+    """(query_id, decision, id): a name or alias of a fitting type goes to the judge (`tripwire`), then the nearest entry
+    that passes the gates decides - `reuse` below REUSE, `judge` up to JUDGE - and what has none is `new`.
+
+    queries as in `candidates`. All queries see the register as it was; those that are new are clustered among themselves
+    by `clustered`, in place of one seeing the entries that the ones before it created."""
+    named = queries.select("query_id", F.lower("category").alias("category"), F.lower(F.trim("name")).alias("name"), F.col("data_type").alias("a_type")).join(names(register), ["category", "name"]).where("id <> query_id")
+    typed = register.groupBy("id").agg(F.min("data_type").alias("b_type"))
+    wire = named.join(typed, "id").where(types_fit(F.col("a_type"), F.col("b_type"))).groupBy("query_id").agg(F.min("id").alias("wired"))
+    near = candidates(queries, register, JUDGE).where("rejected IS NULL").groupBy("query_id").agg(F.min(F.struct(F.round("distance", 9).alias("distance"), "id")).alias("n"))
+    found = queries.select("query_id").join(wire, "query_id", "left").join(near, "query_id", "left")
+    decision = F.when(F.col("wired").isNotNull(), "tripwire").when(F.col("n").isNull(), "new").when(F.col("n.distance") < REUSE, "reuse").otherwise("judge")
+    return found.select("query_id", decision.alias("decision"), F.coalesce("wired", "n.id").alias("id"))
+
+
+def with_alias(register: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(id, aliases): each entry's aliases with the names it was found by (id, name) appended, once, where they are not its own."""
+    heard = mentions.groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("heard"))
+    rows = register.groupBy("id").agg(F.min(F.struct("canonical_name", "aliases")).alias("r")).join(heard, "id", "left")
+    held, none = F.coalesce("r.aliases", F.array().cast("array<string>")), F.array().cast("array<string>")
+    fresh = F.filter(F.coalesce("heard", none), lambda n: (n != F.col("r.canonical_name")) & ~F.exists(held, lambda h: F.lower(h) == F.lower(n)))
+    return rows.select("id", F.array_distinct(F.concat(held, fresh)).alias("aliases"))
+
+
 def clarity(name: Column) -> Column:
-    """Readability of a name: words count double up to four, short words cost, long average words help."""
-    words = F.filter(F.split(F.lower(name), r"[_\W]+"), lambda w: F.length(w) > 0)
+    """Readability of a name: words count double up to four; short or vowelless words cost 3, dates and numbers 4; long average
+    words help. A name without words has 0."""
+    words = F.filter(F.split(F.lower(name), r"[_\s]+"), lambda w: F.length(w) > 0)
     n = F.size(words)
-    mean = F.when(n > 0, F.aggregate(words, F.lit(0.0), lambda s, w: s + F.length(w)) / n).otherwise(F.lit(0.0))
-    short = F.size(F.filter(words, lambda w: F.length(w) <= 3))
-    return F.least(n, F.lit(4)) * 2.0 + F.greatest(n - 4, F.lit(0)) * 0.25 - short * 3.0 + F.least(mean, F.lit(8.0)) / 4
+    mean = F.aggregate(words, F.lit(0.0), lambda s, w: s + F.length(w)) / n
+    short = F.size(F.filter(words, lambda w: (F.length(w) <= 3) | ~w.rlike("[aeiou]")))
+    noisy = F.size(F.filter(words, lambda w: w.rlike(NOISE)))
+    return F.when(n > 0, F.least(n, F.lit(4)) * 2.0 + F.greatest(n - 4, F.lit(0)) * 0.25 - short * 3.0 - noisy * 4.0 + F.least(mean, F.lit(8.0)) / 4).otherwise(0.0)
+
+
+def recency(date: Column, as_of: Column) -> Column:
+    """1 for a date of today down to 0 after OLD years; 0.5 without a date."""
+    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.datediff(as_of, date) / 365.25 / OLD)), F.lit(0.5))
 
 
-def named_best(mentions: DataFrame) -> DataFrame:
-    """(group, token, score): of each group's spellings the best by log2(count + 1) * 3 + clarity; ties by the token.
+def named_best(mentions: DataFrame, as_of: Column) -> DataFrame:
+    """(group, token, score, uses, runner_up): of each group's spellings the best by log2(uses + 1) * 3 + recency * 1.5 +
+    clarity, the earliest mention first where they tie, then the token; runner_up is the most used of the others.
 
-    mentions: group, token.
+    mentions: group, token, date.
     """
-    counted = mentions.groupBy("group", "token").agg(F.count(F.lit(1)).alias("n"))
-    scored = counted.withColumn("score", F.round(F.log2(F.col("n") + 1.0) * 3 + clarity(F.col("token")), 6))
-    return scored.groupBy("group").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("token").alias("token"))).alias("b")).select("group", "b.token", (-F.col("b.s")).alias("score"))
+    counted = mentions.groupBy("group", "token").agg(F.count(F.lit(1)).alias("n"), F.max(recency(F.col("date"), as_of)).alias("recent"), F.min("date").alias("first"))
+    scored = counted.withColumn("score", F.round(F.log2(F.col("n") + 1.0) * COUNT_WEIGHT + F.col("recent") * RECENT_WEIGHT + clarity(F.col("token")), 6))
+    # A group's spellings are the names of one entry, so these windows are short.
+    place = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("score"), F.asc_nulls_last("first"), "token"))
+    ranked = scored.withColumn("place", place)
+    other = ranked.where("place > 1").groupBy("group").agg(F.min(F.struct((-F.col("n")).alias("m"), "token"))["token"].alias("runner_up"))
+    return ranked.where("place = 1").join(other, "group", "left").select("group", "token", "score", F.col("n").alias("uses"), "runner_up")
 
 
 def blast_radius(rules: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -96,27 +200,67 @@ def _lead(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("id", ignore_index=True)
     vectors = np.stack([np.asarray(v, "f8") for v in pdf["vector"]])
     vectors /= np.maximum(np.sqrt((vectors**2).sum(1)), 1e-12)[:, None]
+    number = pdf["canonical_name"].str.extract(r"(\d+)$")[0].fillna("").tolist()
+    stem = pdf["canonical_name"].str.replace(r"_?\d+$", "", regex=True).tolist()
+    kind = pdf["dimension"].tolist()
     seeds: list[int] = []
-    leader, distance = [], []
+    leader, distance, near = [], [], []
     for i, v in enumerate(vectors):
-        gap = 1 - vectors[seeds] @ v if seeds else np.array([])
-        if len(gap) and gap.min() <= CLUSTER:
-            leader.append(pdf["id"][seeds[int(gap.argmin())]])
-            distance.append(float(gap.min()))
-        else:
+        fits = [s for s in seeds if not (stem[s] == stem[i] and number[s] != number[i] and number[s] and number[i]) and (kind[s] is None or kind[i] is None or kind[s] == kind[i])]
+        gap = 1 - vectors[fits] @ v if fits else np.array([])
+        hit = int(np.flatnonzero(gap <= CLUSTER)[0]) if (gap <= CLUSTER).any() else None
+        others = np.delete(gap, hit) if hit is not None else gap
+        near.append(bool(((others > CLUSTER) & (others <= BORDERLINE)).any()))
+        leader.append(pdf["id"][fits[hit] if hit is not None else i])
+        distance.append(float(gap[hit]) if hit is not None else 0.0)
+        if hit is None:
             seeds.append(i)
-            leader.append(pdf["id"][i])
-            distance.append(0.0)
-    return pd.DataFrame({"id": pdf["id"], "leader": leader, "distance": np.round(distance, 6)})
+    return pd.DataFrame({"id": pdf["id"], "leader": leader, "distance": np.round(distance, 6), "borderline": near})
 
 
 def clustered(register: DataFrame) -> DataFrame:
-    """(id, leader, distance): leader clustering in the order of id within each (data_type, canonical_name stem) block.
+    """(id, leader, distance, borderline): leader clustering in the order of id within each (category, data type).
 
-    The order decides who leads, so a block is folded in sequence; blocks are the entries of one name, a handful.
+    An entry joins the first leader within CLUSTER that the gates allow: units of one dimension, and not x_1 with x_2.
+    borderline: another leader is within BORDERLINE. The order decides who leads, so a block is folded in sequence; a
+    block is what one category of a data dictionary holds of a type.
     """
-    rows = register.where("size(vector) > 0").select("id", "data_type", F.regexp_replace("canonical_name", r"_\d+$", "").alias("stem"), "vector")
-    return rows.groupBy("data_type", "stem").applyInPandas(_lead, "id int, leader int, distance double")
+    rows = register.where("size(vector) > 0").select("id", F.lower("category").alias("category"), data_type(F.col("data_type")).alias("kind"), "canonical_name", dimension(F.lower(F.trim("unit"))).alias("dimension"), "vector")
+    return rows.groupBy("category", "kind").applyInPandas(_lead, "id int, leader int, distance double, borderline boolean")
+
+
+def consolidated(register: DataFrame, rules: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(register, rules) after merging entries: moves (old, new).
+
+    The kept entries (id, aliases) take over the names and aliases of those merged into them; rules (rule_id,
+    attribute_ids) point at what was kept, each once."""
+    gone = moves.where("old <> new")
+    names_ = F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    taken = register.select("id", F.explode(names_).alias("name")).where("name IS NOT NULL").join(gone, F.col("id") == F.col("old")).select(F.col("new").alias("id"), "name")
+    kept = register.join(gone.select(F.col("old").alias("id")), "id", "left_anti")
+    return with_alias(kept, taken), repointed(rules, gone)
+
+
+def formula_inputs(formulas: DataFrame) -> DataFrame:
+    """(attribute_id, leaf_id, depth): the attributes without a formula that each formula rests on in the end.
+
+    formulas: attribute_id, input_ids. Levels are joined until none is left; an input that rests on itself ends there, and
+    a formula is followed through no more levels than there are formulas."""
+    edges = formulas.select("attribute_id", F.explode("input_ids").alias("input")).distinct()
+    formed = edges.select(F.col("attribute_id").alias("input")).distinct().withColumn("formed", F.lit(True))
+    steps = edges.join(formed, "input", "left").select("attribute_id", "input", F.coalesce("formed", F.lit(False)).alias("formed"))
+    steps = checkpointed(steps)
+    front, done, depth = steps.withColumn("depth", F.lit(1)), None, 1
+    while True:
+        leaves = front.where("NOT formed").select("attribute_id", F.col("input").alias("leaf_id"), "depth")
+        done = leaves if done is None else done.unionByName(leaves)
+        open_ = front.where("formed AND attribute_id <> input")
+        below = steps.select(F.col("attribute_id").alias("input"), F.col("input").alias("next"), F.col("formed").alias("next_formed"))
+        depth += 1
+        front = checkpointed(open_.join(below, "input").select("attribute_id", F.col("next").alias("input"), F.col("next_formed").alias("formed")).distinct().withColumn("depth", F.lit(depth)))
+        if depth > 64 or not front.limit(1).count():
+            break
+    return done.groupBy("attribute_id", "leaf_id").agg(F.min("depth").alias("depth"))
 
 
 def linked_names(rules: DataFrame, register: DataFrame, reference: str = r"\[(\w+\.\w+)\]") -> DataFrame:

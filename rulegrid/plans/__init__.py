@@ -3,9 +3,9 @@
 
 def core() -> dict:
     """Every query of the core by name."""
-    from rulegrid.plans import agreement, linking, problems, reference, surveys
+    from rulegrid.plans import agreement, linking, problems, reference, surveys, trees
 
     out: dict = {}
-    for module in (problems, reference, linking, agreement, surveys):
+    for module in (problems, reference, linking, agreement, surveys, trees):
         out |= module.QUERIES
     return out

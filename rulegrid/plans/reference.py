@@ -149,19 +149,67 @@ def res_bands(spark, d):
 
 
 def _mentions(spark, d):
-    rows = _rules(spark, d).where("rule_expression IS NOT NULL").select("id", "rule_expression").distinct()
+    rows = _rules(spark, d).where("rule_expression IS NOT NULL").select("id", "rule_expression", F.to_date("created_at").alias("date")).distinct()
     hit = F.explode(F.regexp_extract_all(F.lower("rule_expression"), F.lit(r"\[(\w+\.\w+)\]"), F.lit(1))).alias("m")
-    return rows.select(hit).select(F.substring_index("m", ".", 1).alias("category"), F.substring_index("m", ".", -1).alias("name"))
+    return rows.select(hit, "date").select(F.substring_index("m", ".", 1).alias("category"), F.substring_index("m", ".", -1).alias("name"), "date")
 
 
 def res_tripwire(spark, d):
-    return resolution.tripwire(_mentions(spark, d), _register(spark, d))
+    return resolution.tripwire(_mentions(spark, d).drop("date"), _register(spark, d))
+
+
+_AS_OF = "2026-01-01"
 
 
 def res_name_choice(spark, d):
-    found = resolution.tripwire(_mentions(spark, d), _register(spark, d)).where("id IS NOT NULL")
-    spread = _mentions(spark, d).join(found.select("category", "name", "id"), ["category", "name"]).select(F.col("id").alias("group"), F.col("name").alias("token"))
-    return resolution.named_best(spread)
+    found = resolution.tripwire(_mentions(spark, d).drop("date"), _register(spark, d)).where("id IS NOT NULL")
+    spread = _mentions(spark, d).join(found.select("category", "name", "id"), ["category", "name"]).select(F.col("id").alias("group"), F.col("name").alias("token"), "date")
+    return resolution.named_best(spread, F.lit(_AS_OF).cast("date"))
+
+
+def _queries(spark, d):
+    """Every entry of the register asked for again under its first alias, if it has one."""
+    rows = _register(spark, d)
+    return rows.select(F.col("id").alias("query_id"), "category", F.coalesce(F.try_element_at("aliases", F.lit(1)), "canonical_name").alias("name"), "data_type", "unit", "vector")
+
+
+def res_gate(spark, d):
+    return resolution.candidates(_queries(spark, d), _register(spark, d), resolution.JUDGE).select("query_id", "id", F.round("distance", 4).alias("distance"), "rejected")
+
+
+def res_funnel(spark, d):
+    return resolution.funnel(_queries(spark, d), _register(spark, d))
+
+
+def res_alias_provenance(spark, d):
+    heard = resolution.tripwire(_mentions(spark, d).drop("date"), _register(spark, d)).where("id IS NOT NULL").select("id", "name")
+    return resolution.with_alias(_register(spark, d), heard).select("id", F.array_join("aliases", "|").alias("aliases"))
+
+
+def res_composites(spark, d):
+    """Distinct texts to embed, with how many entries share each, batched by 128."""
+    text = resolution.composite(F.regexp_replace("canonical_name", "_", " "), F.col("description"), F.col("category"))
+    one = _register(spark, d).groupBy(text.alias("composite")).agg(F.count(F.lit(1)).alias("entries"), F.min("id").alias("first_id"))
+    # Batches are numbered over the texts of a data dictionary, a bounded table.
+    from pyspark.sql import Window
+
+    return one.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("first_id")) - 1) / 128).cast("int"))
+
+
+def res_types(spark, d):
+    rows = _register(spark, d)
+    return rows.groupBy("data_type", resolution.data_type(F.col("data_type")).alias("type"), resolution.dimension(F.lower(F.trim("unit"))).alias("dimension")).agg(F.count(F.lit(1)).alias("attributes"))
+
+
+def exp_formula_leaves(spark, d):
+    """Derived entries rest on the derived one before them in their category and on the category's first entry."""
+    from pyspark.sql import Window
+
+    rows = _register(spark, d).select("id", "category", "is_derived")
+    first = rows.groupBy("category").agg(F.min("id").alias("first"))
+    derived = rows.where("is_derived").withColumn("before", F.lag("id").over(Window.partitionBy("category").orderBy("id"))).join(first, "category")
+    formulas = derived.select(F.col("id").alias("attribute_id"), F.array_compact(F.array("before", "first")).alias("input_ids"))
+    return resolution.formula_inputs(formulas)
 
 
 def res_jaccard_judge(spark, d):
@@ -191,14 +239,42 @@ near AS (
 ),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM near)
 """
+_DATED = r"mentioned AS (SELECT split_part(m, '.', 1) AS category, split_part(m, '.', 2) AS name, date FROM (SELECT unnest(regexp_extract_all(lower(rule_expression), '\[(\w+\.\w+)\]', 1)) AS m, date FROM (SELECT DISTINCT id, rule_expression, CAST(created_at AT TIME ZONE 'UTC' AS DATE) AS date FROM obligations WHERE rule_expression IS NOT NULL)))"
 NAME_CHOICE_SQL = f"""
-WITH {_NAMES}, {_MENTIONED}, counted AS (SELECT n.id AS grp, m.name AS token, count(*) AS n FROM mentioned m JOIN names n USING (category, name) GROUP BY ALL),
-parts AS (SELECT *, list_filter(regexp_split_to_array(token, '[_\\W]+'), lambda w: length(w) > 0) AS ws FROM counted),
+WITH {_NAMES}, {_DATED}, counted AS (SELECT n.id AS grp, m.name AS token, count(*) AS n, min(m.date) AS first, max(greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(1 - date_diff('day', m.date, DATE '{_AS_OF}') / 365.25::DOUBLE / 10, 0.5::DOUBLE)))) AS recent FROM mentioned m JOIN names n USING (category, name) GROUP BY ALL),
+parts AS (SELECT *, list_filter(regexp_split_to_array(token, '[_\\s]+'), lambda w: length(w) > 0) AS ws FROM counted),
 scored AS (
-  SELECT grp, token, round(log2(n + 1.0) * 3 + least(len(ws), 4) * 2.0 + greatest(len(ws) - 4, 0) * 0.25 - len(list_filter(ws, lambda w: length(w) <= 3)) * 3.0
-         + least(list_sum(list_transform(ws, lambda w: length(w))) / len(ws), 8.0) / 4, 6) AS score FROM parts
+  SELECT grp, token, n, first, round(log2(n + 1.0) * 3 + recent * 1.5::DOUBLE + least(len(ws), 4) * 2.0::DOUBLE + greatest(len(ws) - 4, 0) * 0.25::DOUBLE - len(list_filter(ws, lambda w: length(w) <= 3 OR NOT regexp_matches(w, '[aeiou]'))) * 3.0::DOUBLE
+         - len(list_filter(ws, lambda w: regexp_matches(w, '{resolution.NOISE}'))) * 4.0::DOUBLE + least(list_sum(list_transform(ws, lambda w: length(w))) / len(ws), 8.0::DOUBLE) / 4, 6) AS score FROM parts
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, first NULLS LAST, token) AS rn FROM scored),
+other AS (SELECT grp, arg_min(token, (-n, token)) AS runner_up FROM ranked WHERE rn > 1 GROUP BY grp)
+SELECT r.grp AS "group", r.token, r.score, r.n AS uses, o.runner_up FROM ranked r LEFT JOIN other o ON o.grp = r.grp WHERE rn = 1
+"""
+_DIMENSION = "CASE " + " ".join(f"WHEN {{u}} IN ({', '.join(repr(w) for w in words.split())}) THEN '{k}'" for k, words in resolution.DIMENSIONS.items()) + " END"
+_ALL = "reg AS (SELECT DISTINCT ON (id) id, category, canonical_name, aliases, data_type, lower(trim(coalesce(unit, ''))) AS unit, description, is_derived, CAST(vector AS DOUBLE[]) AS v FROM attributes)"
+_GATE = f"""
+{_ALL}, asked AS (SELECT id AS query_id, lower(category) AS category, coalesce(aliases[1], canonical_name) AS name, data_type, unit, v FROM reg),
+pairs AS (
+  SELECT a.query_id, b.id, 1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS distance, a.name AS an, b.canonical_name AS bn,
+         coalesce(lower(trim(a.data_type)), '') AS ta, coalesce(lower(trim(b.data_type)), '') AS tb, a.unit AS au, b.unit AS bu
+  FROM asked a JOIN reg b ON a.category = lower(b.category) AND a.query_id <> b.id WHERE len(a.v) > 0 AND len(b.v) > 0
+),
+gate AS (
+  SELECT query_id, id, distance, CASE WHEN NOT (ta = '' OR tb = '' OR ta = tb OR ta = 'string' OR tb = 'string') THEN 'type' WHEN NOT (au = '' OR bu = '' OR au = bu OR coalesce({_DIMENSION.format(u='au')} = {_DIMENSION.format(u='bu')}, false)) THEN 'unit'
+         WHEN an <> bn AND regexp_replace(an, '_?\\d+$', '') = regexp_replace(bn, '_?\\d+$', '') AND regexp_matches(an, '\\d$') AND regexp_matches(bn, '\\d$') THEN 'index' END AS rejected FROM pairs WHERE distance <= 0.45
 )
-SELECT grp AS "group", token, score FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, token) AS rn FROM scored) WHERE rn = 1
+"""
+FUNNEL_SQL = f"""
+WITH {_GATE}, {_NAMES}, wire AS (SELECT a.query_id, min(n.id) AS wired FROM asked a JOIN names n ON n.category = a.category AND n.name = lower(trim(a.name)) AND n.id <> a.query_id JOIN reg b ON b.id = n.id
+  WHERE coalesce(lower(trim(a.data_type)), '') IN ('', 'string', coalesce(lower(trim(b.data_type)), '')) OR coalesce(lower(trim(b.data_type)), '') IN ('', 'string') GROUP BY 1),
+near AS (SELECT query_id, min(round(distance, 9)) AS distance, arg_min(id, (round(distance, 9), id)) AS id FROM gate WHERE rejected IS NULL GROUP BY 1)
+SELECT a.query_id, CASE WHEN w.wired IS NOT NULL THEN 'tripwire' WHEN n.id IS NULL THEN 'new' WHEN n.distance < 0.15 THEN 'reuse' ELSE 'judge' END AS decision, coalesce(w.wired, n.id) AS id FROM asked a LEFT JOIN wire w USING (query_id) LEFT JOIN near n USING (query_id)
+"""
+LEAVES_SQL = f"""
+WITH RECURSIVE {_ALL}, f AS (SELECT id, lag(id) OVER (PARTITION BY category ORDER BY id) AS before, first FROM (SELECT r.*, min(id) OVER (PARTITION BY category) AS first FROM reg r) WHERE is_derived),
+e AS (SELECT id AS a, before AS b FROM f WHERE before IS NOT NULL UNION SELECT id, first FROM f), w AS (SELECT a AS root, b, 1 AS depth FROM e UNION SELECT w.root, e.b, w.depth + 1 FROM w JOIN e ON e.a = w.b WHERE w.root <> w.b AND w.depth < 64)
+SELECT root AS attribute_id, b AS leaf_id, min(depth) AS depth FROM w WHERE b NOT IN (SELECT a FROM e) GROUP BY ALL
 """
 
 
@@ -370,6 +446,12 @@ QUERIES = {
     "res_bands": Query(res_bands, f"WITH {_NEAR} SELECT CASE WHEN distance < 0.15 THEN 'reuse' WHEN distance <= 0.45 THEN 'judge' ELSE 'new' END AS decision, count(*) AS attributes FROM ranked WHERE rank = 1 GROUP BY 1"),
     "res_tripwire": Query(res_tripwire, f"WITH {_NAMES}, {_MENTIONED}, c AS (SELECT category, name, count(*) AS mentions FROM mentioned GROUP BY ALL) SELECT c.category, c.name, c.mentions, n.id FROM c LEFT JOIN names n ON n.category = c.category AND n.name = c.name"),
     "res_name_choice": Query(res_name_choice, NAME_CHOICE_SQL),
+    "res_gate": Query(res_gate, f"WITH {_GATE} SELECT query_id, id, round(distance, 4) AS distance, rejected FROM gate"),
+    "res_funnel": Query(res_funnel, FUNNEL_SQL),
+    "res_alias_provenance": Query(res_alias_provenance, f"WITH {_ALL}, {_NAMES}, {_MENTIONED}, h AS (SELECT n.id, list_sort(list_distinct(list(m.name))) AS heard FROM mentioned m JOIN names n USING (category, name) GROUP BY n.id) SELECT reg.id, array_to_string(list_concat(coalesce(list_filter(aliases, lambda x, i: list_position(aliases, x) = i), []), list_filter(coalesce(h.heard, []), lambda x: x <> canonical_name AND NOT list_contains(list_transform(coalesce(aliases, []), lambda y: lower(y)), lower(x)))), '|') AS aliases FROM reg LEFT JOIN h ON h.id = reg.id"),
+    "res_composites": Query(res_composites, f"WITH {_ALL}, c AS (SELECT concat_ws(' ', CASE WHEN length(trim(replace(canonical_name, '_', ' '))) > 0 THEN 'name: ' || trim(replace(canonical_name, '_', ' ')) END, CASE WHEN length(trim(description)) > 0 THEN 'meaning: ' || trim(description) END, CASE WHEN length(trim(category)) > 0 THEN 'topic: ' || trim(category) END) AS composite, count(*) AS entries, min(id) AS first_id FROM reg GROUP BY 1) SELECT *, CAST((row_number() OVER (ORDER BY first_id) - 1) // 128 AS INTEGER) AS batch FROM c"),
+    "res_types": Query(res_types, f"WITH {_ALL} SELECT data_type, CASE WHEN lower(trim(data_type)) IN ('number', 'date', 'boolean', 'string', 'document') THEN lower(trim(data_type)) ELSE 'string' END AS type, {_DIMENSION.format(u='unit')} AS dimension, count(*) AS attributes FROM reg GROUP BY ALL"),
+    "exp_formula_leaves": Query(exp_formula_leaves, LEAVES_SQL),
     "res_jaccard_judge": Query(res_jaccard_judge, "WITH r AS (SELECT DISTINCT id, canonical_name, category, list_distinct(list_filter(regexp_split_to_array(lower(description), '[^a-z]+'), lambda w: length(w) > 2)) AS w FROM attributes), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS i, len(list_distinct(list_concat(a.w, b.w))) AS u FROM r a JOIN r b ON a.canonical_name = b.canonical_name AND a.id < b.id AND a.category <> b.category) SELECT a, b, round(i / u, 6) AS similarity FROM p WHERE round(i / u, 6) >= 0.55"),
     "res_blast_radius": Query(res_blast_radius, "WITH u AS (SELECT DISTINCT id AS rule_id, unnest(attribute_ids) AS id FROM obligations), d AS (SELECT DISTINCT id FROM attributes WHERE is_derived) SELECT d.id, count(u.rule_id) AS rules FROM d LEFT JOIN u ON u.id = d.id GROUP BY 1"),
     "res_repoint": Query(res_repoint, "WITH n AS (SELECT DISTINCT id, canonical_name FROM attributes WHERE data_type = 'number'), m AS (SELECT id AS old, min(id) OVER (PARTITION BY canonical_name) AS nw FROM n), o AS (SELECT DISTINCT id, attribute_ids FROM obligations), u AS (SELECT id, unnest(attribute_ids) AS old FROM o), x AS (SELECT u.id, string_agg(DISTINCT CAST(coalesce(m.nw, u.old) AS VARCHAR), ',' ORDER BY CAST(coalesce(m.nw, u.old) AS VARCHAR)) AS unsorted, list_sort(list_distinct(list(coalesce(m.nw, u.old)))) AS ids FROM u LEFT JOIN m ON m.old = u.old GROUP BY u.id) SELECT o.id AS rule_id, coalesce(array_to_string(x.ids, ','), '') AS attribute_ids FROM (SELECT DISTINCT id FROM o) o LEFT JOIN x ON x.id = o.id"),
