@@ -20,6 +20,22 @@ def verdicts(log: DataFrame) -> DataFrame:
     return rows.join(first, "identity_hash").select("seq", "identity_hash", replayed.alias("replayed"))
 
 
+def classified(log: DataFrame) -> DataFrame:
+    """(seq, identity_hash, lane, verdict) of every assertion of an identity.
+
+    A citation decides first: of one rule that it repeals or supersedes, `repeal`; that it amends, `amendment`; of several
+    rules, `ambiguous`. Without one the fingerprint decides, as in `verdicts`. Of differing rows of one seq the least counts.
+    """
+    rows = log.where("identity_hash IS NOT NULL").groupBy("seq").agg(F.min(F.struct("effective_from", F.lower("identity_hash").alias("identity_hash"), F.lower("full_hash").alias("full_hash"), "citations")).alias("r")).select("seq", "r.*")
+    ending, changing = ("repeals", "supersedes"), ("repeals", "supersedes", "amends")
+    cites = F.filter(F.coalesce("citations", F.array().cast(rows.schema["citations"].dataType)), lambda c: c["kind"].isin(*changing))
+    targets = F.size(F.array_distinct(F.transform(cites, lambda c: c["target_identity_hash"])))
+    first = rows.groupBy("identity_hash").agg(F.min(F.struct("effective_from", "seq", "full_hash")).alias("f"))
+    plain = F.when(F.col("seq") == F.col("f.seq"), "new").when(F.col("full_hash").eqNullSafe(F.col("f.full_hash")), "restatement").otherwise("amendment")
+    cited = F.when(targets > 1, "ambiguous").when(F.exists(cites, lambda c: c["kind"].isin(*ending)), "repeal").otherwise("amendment")
+    return rows.join(first, "identity_hash").select("seq", "identity_hash", F.when(targets > 0, "citation").otherwise("fingerprint").alias("lane"), F.when(targets > 0, cited).otherwise(plain).alias("verdict"))
+
+
 def as_believed(log: DataFrame, at: str) -> DataFrame:
     """What was in force by the rows that had arrived before the time `at`."""
     return in_force(log.where(F.col("created_at") < F.lit(at).cast("timestamp")))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rulegrid.operators import segment, texts
+from rulegrid.plans.problems import _keyed
 from rulegrid.plans.reference import _CURRENT, _current
 from rulegrid.plans.registry import Query
 from rulegrid.runtime import table
@@ -176,7 +177,7 @@ QUERIES = {
     "seg_back_references": Query(seg_back_references, _BACK),
     "seg_gap_classes": Query(seg_gap_classes, _GAPS),
     "src_upload_gate": Query(src_upload_gate, r"WITH r AS (SELECT DISTINCT doc_id, coalesce(circular_no, 'no number') AS name, length(text) AS size FROM documents) SELECT substr(regexp_replace(name, '[^\w.-]+', '-', 'g'), 1, 120) AS slug, CASE WHEN size IS NULL OR size = 0 THEN 'empty' WHEN size > 4000 THEN 'too large' END AS refused, count(*) AS uploads FROM r GROUP BY ALL"),
-    "src_whole_dedupe": Query(src_whole_dedupe),
+    "src_whole_dedupe": Query(src_whole_dedupe, _keyed("WITH r AS (SELECT DISTINCT doc_id, sha256(text) AS content, dockey(circular_no) AS doc FROM documents WHERE text IS NOT NULL), f AS (SELECT content, min(doc_id) AS first_doc FROM r GROUP BY 1 HAVING count(*) > 1), c AS (SELECT DISTINCT dockey(doc_id) AS doc FROM ingestion_runs WHERE lower(trim(status)) = 'completed') SELECT r.doc_id, f.first_doc, CASE WHEN c.doc IS NOT NULL THEN 'skip' ELSE 'flag' END AS verdict FROM r JOIN f USING (content) LEFT JOIN c ON c.doc = r.doc WHERE r.doc_id <> f.first_doc")),
     "src_tree_store": Query(src_tree_store, f"WITH {_CURRENT}, i AS (SELECT id, doc_id, parent_id, row_number() OVER (PARTITION BY doc_id ORDER BY id) AS idx FROM cur) SELECT i.id, i.doc_id, i.idx, p.idx AS parent_idx FROM i LEFT JOIN i p ON p.id = i.parent_id AND p.doc_id = i.doc_id"),
     "src_delete_document": Query(src_delete_document, "WITH r AS (SELECT DISTINCT id, source_spans FROM obligations), o AS (SELECT id, list_transform(source_spans, lambda s: s.doc_id) AS docs FROM r), m AS (SELECT arg_max(doc, (n, doc)) AS gone FROM (SELECT doc, count(*) AS n FROM (SELECT id, unnest(list_distinct(docs)) AS doc FROM o) GROUP BY 1)) SELECT coalesce(CAST(len(list_distinct(docs)) AS INTEGER), -1) AS circulars, count(*) AS rules FROM o, m WHERE NOT coalesce(list_contains(docs, gone), false) GROUP BY 1"),
     "src_progress": Query(src_progress, "WITH r AS (SELECT DISTINCT id, stages FROM ingestion_runs), k AS (SELECT unnest(json_keys(stages)) AS stage, stages FROM r) SELECT stage, stages ->> ('$.' || stage) AS outcome, count(*) AS runs FROM k GROUP BY ALL"),
