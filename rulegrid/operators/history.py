@@ -26,20 +26,22 @@ def same_spelling(value: Column) -> Column:
     return F.when(text.rlike(_NUMBER) & text.rlike(r"\d") & number.isNotNull(), plain).otherwise(text)
 
 
-def payload_fields(payload: Column, fields: tuple[str, ...] = FIELDS) -> dict[str, Column]:
-    """For each field a struct<value> where the payload names it (a null value for an explicit null), else null.
+def with_fields(rows: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """The rows with `f`, a struct of the fields, in place of `payload`: for each a struct<value> where the payload names it
+    (a null value for an explicit null), else null.
 
-    Keys may be in snake or camel case, on top or one level down (the top wins). An unreadable payload names none.
+    Keys may be in snake or camel case, on top or one level down (the top wins, then the order of the text). An
+    unreadable payload names none. Each step is a column of its own, which the next ones use more than once: within one
+    expression the parse would be repeated for every use.
     """
-    # Parsed once, to a variant; objects one level down are maps of the same kind.
-    as_map = "map<string,variant>"
-    top = F.map_entries(F.try_parse_json(payload).try_cast(as_map))
-    nested = F.flatten(F.transform(F.filter(top, lambda e: F.schema_of_variant(e["value"]).startswith("OBJECT")), lambda e: F.map_entries(e["value"].try_cast(as_map))))
-    spelt = lambda e: F.struct(F.lower(F.replace(e["key"], F.lit("_"), F.lit(""))).alias("key"), e["value"].try_cast("string").alias("value"))
-    entries = F.transform(F.concat(top, nested), spelt)
-    # Of two entries of one key the first counts: the top, then the order of the text.
-    hits = {field: F.get(F.filter(entries, _has_key(F.lit(field.replace("_", "")))), F.lit(0)) for field in fields}
-    return {field: F.when(hit.isNotNull(), F.struct(same_spelling(hit["value"]).alias("value"))) for field, hit in hits.items()}
+    as_map = "map<string,string>"
+    top = rows.withColumn("top_", F.when(F.try_parse_json("payload").isNotNull(), F.from_json("payload", as_map))).drop("payload")
+    inner = top.withColumn("in_", F.transform(F.filter(F.map_values("top_"), lambda v: v.startswith("{")), lambda v: F.map_entries(F.from_json(v, as_map))))
+    one_name = lambda e: F.struct(F.lower(F.replace(e["key"], F.lit("_"), F.lit(""))).alias("key"), e["value"].alias("value"))
+    named = inner.withColumn("e_", F.transform(F.concat(F.map_entries("top_"), F.flatten("in_")), one_name)).drop("top_", "in_")
+    hits = named.withColumns({f"h_{n}": F.get(F.filter("e_", _has_key(F.lit(n.replace("_", "")))), F.lit(0)) for n in fields}).drop("e_")
+    spelt = [F.when(F.col(f"h_{n}").isNotNull(), F.struct(same_spelling(F.col(f"h_{n}.value")).alias("value"))).alias(n) for n in fields]
+    return hits.withColumn("f", F.struct(*spelt)).drop(*[f"h_{n}" for n in fields])
 
 
 def _has_key(key: Column):
@@ -56,8 +58,8 @@ def net_changes(log: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
         .where(F.col("verdict").isin("new", "amendment", "repeal") & (F.length("identity_hash") > 0) & F.col("effective_from").isNotNull())
         .select("identity_hash", "effective_from", "seq", "verdict", F.when(F.col("verdict") != "repeal", F.col("payload")).alias("payload"))
     )
-    # Cheap columns first: the payload is parsed once per row, into one struct that the aggregates share.
-    named = live.withColumn("f", F.struct(*[c.alias(n) for n, c in payload_fields(F.col("payload"), fields).items()])).drop("payload")
+    # The payload is parsed once per row, into one struct that the aggregates share.
+    named = with_fields(live, fields)
     nothing = F.struct(F.lit(None).cast("string").alias("value"))
     is_new, is_set = F.col("verdict") == "new", F.col("verdict") == "amendment"
     day = named.groupBy("identity_hash", "effective_from").agg(
