@@ -389,7 +389,8 @@ def similar(vectors: DataFrame, k: int = 5, floor: float = 0.9) -> DataFrame:
     asking = held.where("asks").toDF(*held.columns).withColumn("furthest", F.lit(wanted))
     both = held.where("NOT asks").groupBy(*place).cogroup(asking.groupBy(*place)).applyInPandas(_searcher(k), _PAIR)
     # A pair is found from the row whose reach is the nearer box; it counts for both.
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("w")
+    both = both.select(ways, "similarity").select("w.a", "w.b", "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     return _to_rows(both, latest, heads, k, F.lit(True))
 
 
