@@ -47,3 +47,27 @@ def test_uploads(spark, tmp_path):
 
     done = spark.createDataFrame([("d1", hashlib.sha256(b"t").hexdigest())], "doc_id string, content_hash string")
     assert {r.doc_id: r.status for r in uploads.to_skip(docs, done).collect()} == {"d1": "done", "d2": "renamed", "d3": "new"}
+
+
+def test_a_queue_is_retried_with_each_batch_of_clauses(spark, tmp_path):
+    queue = [(1, None, None, "depends_on", "PENDING", 0, "D", None, "4", None), (2, None, None, "depends_on", "PENDING", 3, "D", None, "99", None), (3, None, None, "amends", "RESOLVED", 1, "D", None, "4", 7)]
+    spark.createDataFrame(queue, "id int, from_clause_id int, from_obligation_id int, edge_type string, state string, attempts int, target_doc string, target_container string, target_clause_no string, resolved_clause_id int").write.parquet(str(tmp_path / "q/version=0"))
+    schema = "id int, doc_id string, clause_no string, container string, citable boolean, created_at timestamp"
+    for rows in ([(5, "D", "3", None, True, dt.datetime(2024, 1, 1))], [(6, "D", "4", None, True, dt.datetime(2024, 1, 2))]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    assertions.retry(stream, str(tmp_path / "q"), str(tmp_path / "cp")).awaitTermination()
+    last = {r.id: (r.state, r.attempts, r.resolved_clause_id) for r in spark.read.parquet(str(tmp_path / "q/version=2")).collect()}
+    assert last[2] == ("ABANDONED", 5, None) and last[3] == ("RESOLVED", 1, 7) and last[1][0] == "RESOLVED" and last[1][2] == 6
+
+
+def test_functions_for_sql(spark):
+    from rulegrid.functions import surface
+
+    surface.register(spark)
+    row = spark.sql("SELECT parse_rule('days_since([A.d]) <= 180 AND [A.x] == 5') AS p, parse_rule('a ~ b') AS q").first()
+    assert row.p.valid and row.p.functions == ["days_since"] and row.p.identifiers == ["A.d", "A.x"] and row.p.literals == ["180", "5"] and not row.q.valid and row.q.error.startswith("bad character")
+    nodes = spark.sql("SELECT n.* FROM (SELECT 'a < 1 AND b' AS t) CROSS JOIN LATERAL rule_nodes(t) AS n").collect()
+    assert [(r.node, r.parent, r.kind, r.head) for r in nodes] == [(0, None, "and", None), (1, 0, "cmp", "<"), (2, 1, "ref", "a"), (3, 1, "num", "1"), (4, 0, "ref", "b")]
+    assert [r.number for r in spark.sql("SELECT c.number FROM (SELECT 'clauses 4 and 5' AS t) CROSS JOIN LATERAL citations_in(t) AS c").collect()] == ["4", "5"]
+    assert tuple(spark.sql("SELECT round(cosine_distance(array(1D, 0D), array(0.6D, 0.8D)), 6), jaccard(array('a', 'b'), array('b'))").first()) == (0.4, 0.5)
