@@ -1,7 +1,7 @@
 """rulegrid: a PySpark-native analytics engine for regulatory rule graphs.
 
-Operators are plain functions ``(DataFrame, ...) -> DataFrame``; nothing here starts
-a session, collects a table or caches behind the caller's back.
+Operators are plain functions ``(DataFrame, ...) -> DataFrame``. What goes through the driver is bounded by a documented
+parameter (a sample, a tree, a list of test items); lineage is cut by tables in the shared folder.
 """
 
 __version__ = "0.1.0"

@@ -27,7 +27,8 @@ def _register(spark, d):
 
 
 def _parsed(spark, d):
-    return _register(spark, d).select("audience_id", audiences.parsed(F.col("predicate")).alias("conditions"))
+    """The register with its conditions, written once: an expression that is used several times would be read as often."""
+    return checkpointed(_register(spark, d).select("audience_id", audiences.parsed(F.col("predicate")).alias("conditions")))
 
 
 def aud_normalise(spark, d):
