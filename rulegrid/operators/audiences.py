@@ -86,13 +86,15 @@ def laddered(incoming: DataFrame, register: DataFrame, near: DataFrame | None =
     return found.select("key", rung.alias("rung"), F.when(F.col("bad").isNull(), F.coalesce("by_hash", "by_meaning", "by_judge")).alias("audience_id"))
 
 
-def composed(parent: Column, added: Column, independent: Column | None = None) -> tuple[Column, Column]:
-    """(predicate, refused) of a parent's predicate narrowed by added conditions, or of the added ones alone where they are
-    independent; refused, with a null predicate, where one property would have to equal two values."""
-    both = F.concat_ws(" && ", F.nullif(parent, F.lit("")), F.nullif(added, F.lit("")))
-    whole = predicates.normalised(predicates.conditions(F.when(independent, added).otherwise(both) if independent is not None else both), IMPLIED)
-    bad = predicates.contradictory(predicates.conditions(whole))
-    return F.when(~bad, whole), bad
+def composed(rows: DataFrame, parent: str, added: str, independent: Column | None = None) -> DataFrame:
+    """The rows with `composed` and `refused`: a parent's predicate narrowed by added conditions, or the added ones alone where
+    they are independent; refused, with a null predicate, where one property would have to equal two values."""
+    both = F.concat_ws(" && ", F.nullif(F.col(parent), F.lit("")), F.nullif(F.col(added), F.lit("")))
+    text = F.when(independent, F.col(added)).otherwise(both) if independent is not None else both
+    # Each step is a column of its own: within one expression it would be computed for every use.
+    whole = rows.withColumn("conds_", predicates.conditions(text)).withColumn("whole_", predicates.normalised(F.col("conds_"), IMPLIED))
+    judged = whole.withColumn("conds_", predicates.conditions(F.col("whole_"))).withColumn("refused", predicates.contradictory(F.col("conds_")))
+    return judged.withColumn("composed", F.when(~F.col("refused"), F.col("whole_"))).drop("conds_", "whole_")
 
 
 _MANY = 8

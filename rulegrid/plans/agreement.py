@@ -58,8 +58,7 @@ def aud_compose(spark, d):
     pairs = rows.join(up, "parent_id").groupBy("above", "audience_id").agg(F.count(F.lit(1)).alias("clauses"))
     own = _register(spark, d)
     both = pairs.join(own, "audience_id").join(own.withColumnsRenamed({"audience_id": "above", "predicate": "wider"}), "above")
-    predicate, refused = audiences.composed(F.col("wider"), F.col("predicate"))
-    return both.select("above", "audience_id", "clauses", predicate.alias("composed"), refused.alias("refused"))
+    return audiences.composed(both, "wider", "predicate").select("above", "audience_id", "clauses", "composed", "refused")
 
 
 def aud_promote(spark, d):
@@ -67,10 +66,9 @@ def aud_promote(spark, d):
     rows = table(spark, d, "obligations").where("audience_id IS NOT NULL AND context IS NOT NULL").select("id", "audience_id", "context").distinct()
     pairs = rows.groupBy("audience_id", "context").agg(F.count(F.lit(1)).alias("rules"))
     condition = audiences.heading_audience(F.col("context"))
-    told = pairs.withColumn("condition", condition).join(_register(spark, d), "audience_id")
-    predicate, refused = audiences.composed(F.col("predicate"), F.col("condition"))
-    state = F.when(F.col("condition").isNull(), "REVIEW").when(refused, "REFUSED").otherwise("PROMOTED")
-    return told.select(state.alias("state"), "rules", F.when(state == "PROMOTED", predicate).alias("p")).groupBy("state").agg(F.count(F.lit(1)).alias("pairs"), F.sum("rules").alias("rules"), F.countDistinct("p").alias("audiences"))
+    told = audiences.composed(pairs.withColumn("condition", condition).join(_register(spark, d), "audience_id"), "predicate", "condition")
+    state = F.when(F.col("condition").isNull(), "REVIEW").when(F.col("refused"), "REFUSED").otherwise("PROMOTED")
+    return told.select(state.alias("state"), "rules", F.when(state == "PROMOTED", F.col("composed")).alias("p")).groupBy("state").agg(F.count(F.lit(1)).alias("pairs"), F.sum("rules").alias("rules"), F.countDistinct("p").alias("audiences"))
 
 
 def aud_document(spark, d):

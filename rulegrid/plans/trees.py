@@ -147,7 +147,7 @@ def src_tree_store(spark, d):
     rows = _current(spark, d, "doc_id", "parent_id")
     idx = rows.withColumn("idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("id")))
     up = idx.select(F.col("id").alias("parent_id"), "doc_id", F.col("idx").alias("parent_idx"))
-    return idx.join(up, ["parent_id", "doc_id"], "left").select("id", "doc_id", "idx", "parent_idx")
+    return idx.join(up, ["parent_id", "doc_id"], "left").select("id", "doc_id", F.col("idx").cast("long").alias("idx"), F.col("parent_idx").cast("long").alias("parent_idx"))
 
 
 def src_delete_document(spark, d):
