@@ -48,9 +48,10 @@ def resolved(citations: DataFrame, clauses: DataFrame, paths: DataFrame) -> Data
     the root down, joined by slashes. Counts per key are aggregated before they are joined; only ambiguous citations are
     compared with the candidates of their number, by ancestor.
     """
-    cites, keyed = keyed_citations(citations, clauses), keyed_clauses(clauses)
+    cites, keyed = keyed_citations(citations, clauses), checkpointed(keyed_clauses(clauses))
     targets = keyed.groupBy("doc", "box", "no").agg(F.count(F.lit(1)).alias("candidates"), F.min("id").alias("first"))
     found = cites.join(targets, ["doc", "box", "no"], "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
+    found = checkpointed(found)
     several = found.where("candidates > 1 AND from_clause_id IS NOT NULL")
     above = paths.select("id", F.posexplode(F.split("path", "/")).alias("depth", "ancestor"))
     asking = several.select("citation_id", "from_clause_id", "doc", "box", "no").join(above.withColumnRenamed("id", "from_clause_id"), "from_clause_id")

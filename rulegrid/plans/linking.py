@@ -15,7 +15,7 @@ def _tables(spark, d):
 
 
 def _paths(spark, d):
-    return hierarchy.hierarchy(table(spark, d, "source_clauses")).select(F.col("id").cast("int").alias("id"), "path")
+    return checkpointed(hierarchy.hierarchy(table(spark, d, "source_clauses")).select(F.col("id").cast("int").alias("id"), "path"))
 
 
 def _resolved(spark, d):
