@@ -147,3 +147,20 @@ def tiered(firms: DataFrame, thresholds: DataFrame) -> DataFrame:
     """
     hits = firms.join(thresholds, "type").where(F.col("size") >= F.col("least"))
     return hits.groupBy("firm_id").agg(F.max(F.struct("rank", "tier"))["tier"].alias("tier"))
+
+
+def with_labels(register: DataFrame, labels: DataFrame) -> DataFrame:
+    """(audience_id, aliases): the labels (audience_id, label) under which each audience was met, each once whatever its case
+    and blanks, in their order; an empty list where there were none."""
+    tidy = labels.where("label IS NOT NULL").select("audience_id", F.trim(F.regexp_replace("label", r"\s+", " ")).alias("label"))
+    one = tidy.groupBy("audience_id", F.lower("label").alias("low")).agg(F.min("label").alias("label"))
+    held = one.groupBy("audience_id").agg(F.array_sort(F.collect_list("label")).alias("aliases"))
+    return register.select("audience_id").distinct().join(held, "audience_id", "left").select("audience_id", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+
+
+def approved(register: DataFrame, asked: DataFrame) -> DataFrame:
+    """(audience_id, state, changed): the register (audience_id, state) after approving the asked audience_ids. Only a PROPOSED
+    audience is approved; others stay as they are, and ids that are not there change nothing."""
+    hit = register.join(asked.select("audience_id").distinct().withColumn("asked", F.lit(True)), "audience_id", "left")
+    changed = F.coalesce(F.col("asked"), F.lit(False)) & (F.col("state") == "PROPOSED")
+    return hit.select("audience_id", F.when(changed, "APPROVED").otherwise(F.col("state")).alias("state"), changed.alias("changed"))

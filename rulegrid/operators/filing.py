@@ -36,6 +36,18 @@ def classified(log: DataFrame) -> DataFrame:
     return rows.join(first, "identity_hash").select("seq", "identity_hash", F.when(targets > 0, "citation").otherwise("fingerprint").alias("lane"), F.when(targets > 0, cited).otherwise(plain).alias("verdict"))
 
 
+def overlapping(log: DataFrame) -> DataFrame:
+    """(seq, identity_hash, candidates): assertions classified as new whose audience has other identities on one of their
+    attributes - they stay new, but may be another wording of one of those; candidates is the most on any attribute.
+
+    Identities are counted per audience and attribute before anything is joined; no pair of assertions is formed."""
+    fresh = classified(log).where("lane = 'fingerprint' AND verdict = 'new'").select("seq", "identity_hash")
+    uses = log.where("identity_hash IS NOT NULL AND audience_id IS NOT NULL").select("seq", F.lower("identity_hash").alias("identity_hash"), "audience_id", F.explode("attribute_ids").alias("attribute_id")).distinct()
+    held = uses.groupBy("audience_id", "attribute_id").agg(F.countDistinct("identity_hash").alias("n")).where("n > 1")
+    hits = uses.join(fresh, ["seq", "identity_hash"]).join(held, ["audience_id", "attribute_id"])
+    return hits.groupBy("seq", "identity_hash").agg((F.max("n") - 1).alias("candidates"))
+
+
 def as_believed(log: DataFrame, at: str) -> DataFrame:
     """What was in force by the rows that had arrived before the time `at`."""
     return in_force(log.where(F.col("created_at") < F.lit(at).cast("timestamp")))

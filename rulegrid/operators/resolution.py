@@ -27,7 +27,7 @@ def nearest(queries: DataFrame, register: DataFrame, k: int, within: float | Non
     """(query_id, id, distance, rank): each query's k nearest register entries of the same data type, by cosine.
 
     queries: query_id, data_type, vector; register: id, data_type, vector. The gate on the type is the join key. Null or
-    empty vectors take no part. For a register beyond some thousand entries use rulegrid.llm.neighbours instead.
+    empty vectors take no part. Every pair of one data type is compared: a data dictionary holds some thousand entries.
     """
     left = queries.where("size(vector) > 0").select("query_id", "data_type", F.col("vector").alias("qv"))
     right = register.where("size(vector) > 0").select("id", "data_type", F.col("vector").alias("rv"))

@@ -229,6 +229,21 @@ def fil_lanes(spark, d):
     return filing.classified(_log(spark, d)).groupBy("lane", "verdict").agg(F.count(F.lit(1)).alias("assertions"), F.countDistinct("identity_hash").alias("identities"))
 
 
+def fil_overlaps(spark, d):
+    return filing.overlapping(_log(spark, d))
+
+
+def aud_aliases(spark, d):
+    labels = _current(spark, d, "audience_id", "heading").where("audience_id IS NOT NULL").select("audience_id", F.col("heading").alias("label"))
+    return audiences.with_labels(_audiences(spark, d), labels).select("audience_id", F.array_join("aliases", "|").alias("aliases"))
+
+
+def aud_approve(spark, d):
+    """Every fourth audience is proposed; those with an even id are asked to be approved."""
+    register = _audiences(spark, d).select("audience_id", F.when(F.col("audience_id") % 4 == 0, "PROPOSED").when(F.col("audience_id") % 4 == 1, "RETIRED").otherwise("APPROVED").alias("state"))
+    return audiences.approved(register, register.where("audience_id % 2 = 0 AND audience_id % 8 <> 0").select("audience_id"))
+
+
 def fil_provenance(spark, d):
     """Rules with the circulars that restated them, each once."""
     rows = filing.classified(_log(spark, d)).where("verdict = 'restatement'").join(_log(spark, d).select("seq", "doc_id").distinct(), "seq")
@@ -373,6 +388,9 @@ QUERIES = {
     "rep_impact": Query(rep_impact, f"WITH {_STATUS} SELECT status AS was, later AS now, count(*) AS firms FROM statuses WHERE rule = 'large' GROUP BY ALL"),
     "rep_document": Query(rep_document, f"WITH {_CURRENT}, c AS (SELECT doc_id, count(*) AS clauses FROM cur GROUP BY 1), s AS (SELECT doc_id, count(*) AS rules FROM (SELECT DISTINCT id, unnest(list_transform(source_spans, lambda s: s.doc_id)) AS doc_id FROM obligations) GROUP BY 1) SELECT coalesce(c.doc_id, s.doc_id) AS doc_id, coalesce(clauses, 0) AS clauses, coalesce(rules, 0) AS rules FROM c FULL JOIN s ON s.doc_id = c.doc_id"),
     "fil_lanes": Query(fil_lanes, f"WITH {_CLASSIFIED} SELECT lane, verdict, count(*) AS assertions, count(DISTINCT identity_hash) AS identities FROM classified GROUP BY ALL"),
+    "fil_overlaps": Query(fil_overlaps, f"WITH {_CLASSIFIED}, u AS (SELECT DISTINCT seq, identity_hash, audience_id, attribute_id FROM (SELECT seq, lower(identity_hash) AS identity_hash, audience_id, unnest(attribute_ids) AS attribute_id FROM rule_assertions WHERE identity_hash IS NOT NULL AND audience_id IS NOT NULL)), h AS (SELECT audience_id, attribute_id, count(DISTINCT identity_hash) AS n FROM u GROUP BY ALL HAVING count(DISTINCT identity_hash) > 1) SELECT u.seq, u.identity_hash, max(h.n) - 1 AS candidates FROM u JOIN classified c ON c.seq = u.seq AND c.identity_hash = u.identity_hash JOIN h ON h.audience_id = u.audience_id AND h.attribute_id = u.attribute_id WHERE c.lane = 'fingerprint' AND c.verdict = 'new' GROUP BY ALL"),
+    "aud_aliases": Query(aud_aliases, rf"WITH {_CURRENT}, {_REGISTER}, t AS (SELECT audience_id, trim(regexp_replace(heading, '\s+', ' ', 'g')) AS label FROM cur WHERE audience_id IS NOT NULL AND heading IS NOT NULL), o AS (SELECT audience_id, min(label) AS label FROM t GROUP BY audience_id, lower(label)), g AS (SELECT audience_id, string_agg(label, '|' ORDER BY label) AS aliases FROM o GROUP BY 1) SELECT r.audience_id, coalesce(g.aliases, '') AS aliases FROM reg r LEFT JOIN g ON g.audience_id = r.audience_id"),
+    "aud_approve": Query(aud_approve, f"WITH {_REGISTER} SELECT audience_id, CASE WHEN audience_id % 4 = 1 THEN 'RETIRED' WHEN audience_id % 4 = 0 AND audience_id % 8 = 0 THEN 'PROPOSED' ELSE 'APPROVED' END AS state, audience_id % 4 = 0 AND audience_id % 8 <> 0 AS changed FROM reg"),
     "fil_provenance": Query(fil_provenance, f"WITH {_CLASSIFIED} SELECT c.identity_hash, count(DISTINCT l.doc_id) AS restated_by, min(l.doc_id) AS first_doc FROM classified c JOIN rule_assertions l ON l.seq = c.seq WHERE c.verdict = 'restatement' GROUP BY 1"),
     "fil_log_read": Query(fil_log_read, "SELECT doc_id, count(*) AS assertions, arg_min(seq, (coalesce(effective_from, DATE '0001-01-01'), seq)) AS first_seq, arg_max(seq, (coalesce(effective_from, DATE '0001-01-01'), seq)) AS last_seq FROM (SELECT DISTINCT seq, doc_id, effective_from FROM rule_assertions) GROUP BY doc_id"),
     "chk_constraints": Query(chk_constraints, """SELECT 'clause_id_twice' AS "check", count(*) AS rows FROM (SELECT id FROM (SELECT DISTINCT id, created_at FROM source_clauses) GROUP BY id HAVING count(*) > 1)

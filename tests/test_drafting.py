@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from rulegrid.operators import checks, drafting, evaluation, filing, segment
+from rulegrid.operators import audiences, checks, drafting, evaluation, filing, segment
 
 
 @pytest.mark.parametrize(
@@ -80,3 +80,15 @@ def test_headings_carving_and_dates(spark):
     assert {r.idx: r.parent_idx for r in tree.where("kind = 'clause'").collect()} == {2: 1, 4: 3, 6: 5}
     one = spark.range(1)
     assert one.select(segment.unglued(F.lit("18.6The firm")), segment.effective_date(F.lit("Circular of March 5, 2021 on audits"), F.lit("2026-01-01").cast("date")).cast("string"), segment.effective_date(F.lit("May 99, 2021"), F.lit("2026-01-01").cast("date")).cast("string")).first()[:] == ("18.6 The firm", "2021-03-05", "2026-01-01")
+
+
+def test_labels_approval_and_overlaps(spark):
+    reg = spark.createDataFrame([(1, "PROPOSED"), (2, "APPROVED"), (3, "PROPOSED")], "audience_id int, state string")
+    labels = spark.createDataFrame([(1, "Stock  Brokers"), (1, "stock brokers"), (1, "Audit"), (2, None), (9, "x")], "audience_id int, label string")
+    assert {r.audience_id: r.aliases for r in audiences.with_labels(reg, labels).collect()} == {1: ["Audit", "Stock Brokers"], 2: [], 3: []}
+    asked = spark.createDataFrame([(1,), (1,), (2,), (7,)], "audience_id int")
+    assert {r.audience_id: (r.state, r.changed) for r in audiences.approved(reg, asked).collect()} == {1: ("APPROVED", True), 2: ("APPROVED", False), 3: ("PROPOSED", False)}
+    schema = "seq long, identity_hash string, full_hash string, effective_from date, audience_id int, attribute_ids array<int>, citations array<struct<kind:string,target_identity_hash:string,raw:string>>"
+    rows = [(1, "a", "f", dt.date(2024, 1, 1), 7, [1, 2], None), (2, "b", "f", dt.date(2024, 1, 1), 7, [2], []), (3, "c", "f", dt.date(2024, 1, 1), 8, [2], []), (4, "d", "f", dt.date(2024, 1, 1), None, [2], []), (5, "A", "g", dt.date(2025, 1, 1), 7, [2], [])]
+    log = spark.createDataFrame(rows, schema)
+    assert {r.seq: r.candidates for r in filing.overlapping(log).collect()} == {1: 1, 2: 1} and filing.overlapping(log.limit(0)).collect() == []
